@@ -5,9 +5,10 @@ from __future__ import annotations
 from tidemark.llm.bpe import op4_bpe
 from tidemark.llm.cleaning import op6_cleaning
 from tidemark.llm.language import op7_language
+from tidemark.llm.near_texts import op10_minhash
 from tidemark.llm.quality import op3_quality
 from tidemark.llm.tokens import op9_token_counts
 from tidemark.llm.toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_quality, op4_bpe, op6_cleaning, op7_language, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_quality, op4_bpe, op6_cleaning, op7_language, op9_token_counts, op10_minhash)}
 ORACLES: dict[str, str] = {}

@@ -321,13 +321,12 @@ def without(data: bytes, found: list, least: int) -> tuple[bytes, int, int]:
     return np.frombuffer(data, np.uint8)[~gone].tobytes(), int(gone.sum()), int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
 
 
-def remove_repeats(docs: DataFrame, least: int = 100, most_segments: int = 20_000, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """(id, row, n_bytes, n_removed, n_spans, kept_text) of each row, row being a hash of id and text; with digests the lowercase hex sha256 of the
-    remaining bytes instead of the text. Bytes of characters that were cut through do not appear in kept_text."""
+def _search(docs: DataFrame, carried: list[str], least: int, most_segments: int, id_col: str, text_col: str, digests: bool) -> DataFrame:
+    """Struct _id of the carried columns, n_bytes, n_removed, n_spans, _last (the remaining text, or its digest) of each row."""
     text = F.coalesce(text_col, F.lit(""))
-    keyed = docs.select(F.xxhash64(F.col(id_col), text).alias("_k"), F.col(id_col).alias("_id"), text.alias("_text"))
-    doc = F.coalesce(F.col("_id").cast("bigint"), F.lit(2**63 - 1)).alias("_doc")
-    found = keyed.select("_k", doc, "_text").mapInArrow(_first_pass(least), "a bigint, h bigint, doc bigint, k bigint, start int, n int, gone boolean")
+    keyed = docs.select(F.xxhash64(F.col(id_col), text).alias("_k"), F.struct(*[F.col(c) for c in carried]).alias("_id"), text.alias("_text"))
+    doc = F.coalesce(F.col(id_col).cast("bigint"), F.lit(2**63 - 1)).alias("_doc")
+    found = docs.select(F.xxhash64(F.col(id_col), text).alias("_k"), doc, text.alias("_text")).mapInArrow(_first_pass(least), "a bigint, h bigint, doc bigint, k bigint, start int, n int, gone boolean")
     by_segment = Window.partitionBy("a", "h").orderBy("doc", "k", "start")
     by_anchor = Window.partitionBy("a")
     ranked = found.repartition("a").sortWithinPartitions("a", "h", "doc", "k", "start").withColumn("_rank", F.rank().over(by_segment)).withColumn("_several", F.min("h").over(by_anchor) != F.max("h").over(by_anchor))
@@ -358,12 +357,26 @@ def remove_repeats(docs: DataFrame, least: int = 100, most_segments: int = 20_00
             data = [t.encode() for t in b.column("_text").to_pylist()]
             out = [without(d, f, least) for d, f in zip(data, b.column("found").to_pylist(), strict=True)]
             last = [hashlib.sha256(x).hexdigest() if digests else x.decode("utf-8", "ignore") for x, *_ in out]
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_k"), pa.array([len(d) for d in data], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array(last, pa.string())], ["_id", "row", "n_bytes", "n_removed", "n_spans", "_last"])
+            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array([len(d) for d in data], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array(last, pa.string())], ["_id", "n_bytes", "n_removed", "n_spans", "_last"])
+
+    kind = keyed.schema["_id"].dataType.simpleString()
+    return rows.join(gone.hint("shuffle_hash"), "_k", "left").select("_id", "_k", "_text", "found").drop("_k").mapInArrow(finish, f"_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, _last string")
+
+
+def remove_repeats(docs: DataFrame, least: int = 100, most_segments: int = 20_000, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_text) of each row; with digests kept_sha256, the lowercase hex sha256 of the remaining bytes, instead of the
+    text. Bytes of characters that were cut through do not appear in kept_text."""
+    out = _search(docs, [id_col], least, most_segments, id_col, text_col, digests)
+    return out.select(F.col("_id")[id_col].alias(id_col), "n_bytes", "n_removed", "n_spans", F.col("_last").alias("kept_sha256" if digests else "kept_text"))
+
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = rows.join(gone.hint("shuffle_hash"), "_k", "left").select("_id", "_k", "_text", "found").mapInArrow(finish, f"_id {kind}, row bigint, n_bytes bigint, n_removed bigint, n_spans bigint, _last string")
-    return out.withColumnRenamed("_id", id_col).withColumnRenamed("_last", "kept_sha256" if digests else "kept_text")
+def rewrite(docs: DataFrame, least: int = 100, most_segments: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows with all their columns and the remaining text; rows that lost bytes and have no word left go. A null text stays null."""
+    out = _search(docs.withColumn("_was_null", F.col(text_col).isNull()), [c for c in docs.columns if c != text_col] + ["_was_null"], least, most_segments, id_col, text_col, False)
+    out = out.where((F.col("n_removed") == 0) | (F.trim(F.translate("_last", "\t\n\x0b\x0c\r", "     ")) != ""))
+    text = F.when(~F.col("_id")["_was_null"], F.col("_last"))
+    return out.select(*[text.alias(c) if c == text_col else F.col("_id")[c].alias(c) for c in docs.columns])
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), digests=True).drop("row")
+    return remove_repeats(table(spark, sf_dir, "documents"), digests=True)

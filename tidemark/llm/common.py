@@ -37,13 +37,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, label, fold) of the documents with a 0/1 label; the larger label wins where an id has several."""
-    marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("label"))
-    own = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    return own.hint("shuffle_hash").join(marks.hint("shuffle_hash"), "_id").withColumn("fold", fold_of("_id"))
+def sample_ids(rows: DataFrame, n: int, seed: int = 17) -> DataFrame:
+    """At most n distinct non-null `_id`s with what stands beside them, those of the smallest seeded hash: the same under any partitioning."""
+    return rows.where(F.col("_id").isNotNull()).orderBy(F.xxhash64(F.lit(seed), F.col("_id")), "_id").limit(n)
+
 
+def marks_of(labels: DataFrame, label_col: str, id_col: str = "doc_id") -> DataFrame:
+    """(_id, label, fold) of the ids with a 0/1 label; the larger label wins where an id has several."""
+    return labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("label")).withColumn("fold", fold_of("_id"))
 
-def bounded(df: DataFrame, n: int, id_col: str = "_id", seed: int = 17) -> DataFrame:
-    """At most n rows, those of the smallest seeded hash of the id: the same rows under any partitioning."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), F.col(id_col), F.xxhash64("text")).limit(n)
+
+def texts_of(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The sampled ids with one whole text each. The sample has a fixed bound, so it is broadcast and no text is shuffled but the sample's."""
+    own = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    beside = [c for c in ids.columns if c != "_id"]
+    return own.join(F.broadcast(ids), "_id").groupBy("_id", *beside).agg(F.min("text").alias("text"))

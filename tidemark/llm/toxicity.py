@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded, fold_of, labelled, table
+from tidemark.llm.common import fold_of, marks_of, sample_ids, table, texts_of
 
 BITS = 20
 WORD = re.compile(r"[^\W\d_]+")
@@ -87,11 +87,12 @@ def nnpu_fit(xp: np.ndarray, xu: np.ndarray, prior: float, seed: int, epochs: in
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = 2500, max_unlabelled: int = 6000, max_features: int = 1500, n_models: int = 3, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """Model from the documents outside the held-out fold. P and U are bounded seeded samples (max_positive,
     max_unlabelled rows); pi is the share of toxic ones among all labelled training rows."""
-    marked = labelled(docs, labels, "toxic", id_col, text_col).where("fold <> 0")
-    total = labels.where(F.col("toxic").isin(0, 1)).withColumn("_f", fold_of(id_col)).where("_f <> 0").agg(F.avg("toxic")).first()[0]
-    prior = min(max(float(total or 0.0), 1e-3), 0.9)
-    own = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("text")).where(F.col("_id").isNotNull() & (fold_of("_id") != 0))
-    both = bounded(marked.where("label = 1").select("_id", "text"), max_positive).withColumn("is_p", F.lit(True)).unionByName(bounded(own, max_unlabelled, seed=18).withColumn("is_p", F.lit(False)))
+    marked = marks_of(labels, "toxic", id_col).where("fold <> 0")
+    prior = min(max(float(marked.agg(F.avg("label")).first()[0] or 0.0), 1e-3), 0.9)
+    p_ids = sample_ids(marked.where("label = 1").select("_id"), max_positive).withColumn("is_p", F.lit(True))
+    own = docs.select(F.col(id_col).alias("_id"))
+    u_ids = sample_ids(own.where(fold_of("_id") != 0).distinct(), max_unlabelled, seed=18).withColumn("is_p", F.lit(False))
+    both = texts_of(docs, p_ids.unionByName(u_ids), id_col, text_col)
     rows = both.select("is_p", "text").repartition(16).mapInArrow(_featurise, "is_p boolean, ids array<int>").toArrow()
     is_p = rows.column("is_p").to_pylist()
     ids = [np.asarray(x, dtype=np.int32) for x in rows.column("ids").to_pylist()]

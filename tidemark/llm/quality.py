@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded, fold_of, labelled, table
+from tidemark.llm.common import fold_of, marks_of, sample_ids, table, texts_of
 
 
 class Sizes:
@@ -71,10 +71,13 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, max_dictionary: int = 3000, max_calibration: int = 3000, dict_bytes: int = 60_000, level: int = 3, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """Dictionaries from folds 1 to 3 (at most max_dictionary labelled rows of each label) and a calibration from fold 4
     (at most max_calibration rows): bounded seeded samples."""
-    marked = labelled(docs, labels, "quality", id_col, text_col)
-    take = lambda df, n: [(r["_id"], r["text"], r["label"]) for r in bounded(df, n).select("_id", "text", "label").collect()]
-    good, bad = (dictionary([t for _, t, _ in take(marked.where(f"fold in (1, 2, 3) and label = {k}"), max_dictionary)], dict_bytes) for k in (1, 0))
-    rest = take(marked.where("fold = 4"), max_calibration)
+    marked = marks_of(labels, "quality", id_col)
+    groups = [marked.where(f"fold in (1, 2, 3) and label = {k}") for k in (1, 0)] + [marked.where("fold = 4")]
+    sizes_of = (max_dictionary, max_dictionary, max_calibration)
+    picked = [sample_ids(g, n).withColumn("part", F.lit(i)) for i, (g, n) in enumerate(zip(groups, sizes_of, strict=True))]
+    rows = sorted((r["part"], r["_id"], r["text"], r["label"]) for r in texts_of(docs, picked[0].unionByName(picked[1]).unionByName(picked[2]), id_col, text_col).collect())
+    good, bad = (dictionary([t for p, _, t, _ in rows if p == k], dict_bytes) for k in (0, 1))
+    rest = [(i, t, y) for p, i, t, y in rows if p == 2]
     sizes = Sizes(good, bad, level)
     y = np.array([k for *_, k in rest], dtype=np.float64)
     if not len(y) or y.min() == y.max():

@@ -6,12 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 from tidemark.functions.windows import sequences, series, top_per_day, with_ewm
 from tidemark.operators import evaluate as E
+from tidemark.operators import learn as M
 from tidemark.operators import strategy as K
 from tidemark.operators import writes as W
 from tidemark.plans import features as X
 from tidemark.plans import labels as L
 from tidemark.sources import filings as I
 from tidemark.sources import market as S
+from tidemark.sources.schemas import SCORES
 
 
 def walk(rng, n, start):
@@ -170,5 +172,28 @@ def test_filings(spark):
     assert [r.v for r in got] == [0.0, 12.5, 0.0, 0.0] and not math.isnan(got[0].v)
 
 
-def test_series_is_a_window():
-    assert series() is not None
+def test_score_files_and_universe(spark, tmp_path):
+    df = spark.createDataFrame([("2024-01-02", "AAPL", 1, 3, 0.25), ("2024-01-03", "ZZZ", 0, 3, 0.5)], "d string, ticker string, label int, fold int, p double")
+    df = df.select(F.to_date("d").alias("date"), "ticker", F.col("label").cast("byte").alias("label"), "fold", "p")
+    for csv in (True, False):
+        W.write_scores(df, f"{tmp_path}/{csv}", csv)
+        assert sorted(W.read_scores(spark, f"{tmp_path}/{csv}", SCORES, csv).collect()) == sorted(df.collect())
+    assert S.restricted(df, S.DEV_UNIVERSE).count() == S.restricted(df, spark.createDataFrame([("AAPL",)], "ticker string")).count() == 1
+    assert [r.close for r in S.stock(spark.createDataFrame([("A", 2, 1.0, 1.0, 1.0, 7.0, 1), ("A", 1, 1.0, 1.0, 1.0, 6.0, 1), ("B", 1, 1.0, 1.0, 1.0, 5.0, 1)], "ticker string, date int, open double, high double, low double, close double, volume long"), "A").collect()] == [6.0, 7.0]
+
+
+def test_models(spark):
+    rng = np.random.default_rng(5)
+    rows = [(d, t, int(x > 0), float(x + rng.normal(0, 0.3)), float(rng.normal())) for t in ("A", "B", "C") for d, x in zip(pd.date_range("2012-01-01", "2016-12-31", freq="7D").date, rng.normal(size=261), strict=True)]
+    df = spark.createDataFrame(rows, "date date, ticker string, label int, x double, z double").withColumn("label", F.col("label").cast("byte"))
+    folds = L.folds_table(spark, L.yearly_folds(2013, 2014) + [("1990-12-31", "1991-04-01", "1992-03-31")])
+    trees = M.walk_forward_trees(df, folds, ["x", "z"], rounds=5)
+    lines = M.walk_forward_sequences(df, folds, ["x", "z"], length=5, iterations=20)
+    for got in (trees, lines):
+        out = got.toPandas()
+        assert set(out.fold) == {1, 2} and out.p.between(0, 1).all()
+        assert (out[out.fold == 1].date.min(), out[out.fold == 1].date.max()) >= (pd.Timestamp("2014-04-01").date(), pd.Timestamp("2015-03-01").date())
+        assert E.auc(got).first()["auc"] > 0.8
+    both = trees.withColumnRenamed("p", "p1").join(lines.select("date", "ticker", F.col("p").alias("p2")), ["date", "ticker"])
+    report = M.ensemble_report(M.stacked(both, 1)).first()
+    assert report.auc_stack > 0.8 and report.best_single == max(report.auc_c1, report.auc_c2)

@@ -113,43 +113,48 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 2500, max_unla
     return {"features": features, "weights": np.mean([w for w, _ in fits], axis=0), "bias": float(np.mean([b for _, b in fits]))}
 
 
+class Scorer:
+    """Scores texts with a model of at most max_features numbers, which travels with the tasks."""
+
+    def __init__(self, model: dict):
+        self.weight_of = dict(zip(model["features"].tolist(), model["weights"].tolist(), strict=True))
+        self.bias = model["bias"]
+        self.known: dict[str, tuple] = {}
+
+    def score(self, text: str | None) -> float:
+        found: set[int] = set()
+        for w in set(WORD.findall((text or "").lower())):
+            if (f := self.known.get(w)) is None:
+                if len(self.known) > 200_000:
+                    self.known.clear()
+                f = self.known[w] = tuple(x for x in word_features(w) if x in self.weight_of)
+            if f:
+                found.update(f)
+        z = self.bias + sum(self.weight_of[x] for x in sorted(found))
+        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every whole text. The model is at most max_features numbers, so it travels with the tasks."""
-    weight_of = dict(zip(model["features"].tolist(), model["weights"].tolist(), strict=True))
-    bias = model["bias"]
+    """(id, score) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple] = {}
+        scorer = Scorer(model)
         for b in batches:
-            out = []
-            for text in b.column("text").to_pylist():
-                found: set[int] = set()
-                for w in set(WORD.findall((text or "").lower())):
-                    if (f := known.get(w)) is None:
-                        if len(known) > 200_000:
-                            known.clear()
-                        f = known[w] = tuple(x for x in word_features(w) if x in weight_of)
-                    if f:
-                        found.update(f)
-                z = bias + sum(weight_of[x] for x in sorted(found))
-                out.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
-            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(out, pa.float64())], ["_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array([scorer.score(t) for t in b.column("text").to_pylist()], pa.float64())], ["_id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).mapInArrow(run, f"_id {kind}, score double").withColumnRenamed("_id", id_col)
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **params) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_col: str = "text", **params) -> DataFrame:
     """The documents scored below the threshold, with all their columns."""
-    model = train(docs, labels, **params)
-    weight_of = dict(zip(model["features"].tolist(), model["weights"].tolist(), strict=True))
-    bias, names = model["bias"], docs.columns
+    model = train(docs, labels, text_col=text_col, **params)
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index("text")
+        scorer = Scorer(model)
         for b in batches:
-            z = [bias + sum(weight_of.get(int(x), 0.0) for x in text_features(t)) for t in b.column(at).to_pylist()]
-            yield b.filter(pa.array([1 / (1 + np.exp(-np.clip(x, -30, 30))) < threshold for x in z], pa.bool_()))
+            yield b.filter(pa.array([scorer.score(t) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -98,7 +98,12 @@ curve1 AS (SELECT *, (wins * 3.0 * 0.01 - (trades - wins) * 0.01 - trades * 0.00
 curve2 AS (SELECT *, 1000.0 * exp(sum(ln(1 + ret)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)) AS equity FROM curve1),
 curve AS (SELECT *, greatest(max(equity) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING), 1000.0) AS peak FROM curve2)"""
 CFG = K.Config()
-SHIFT = 3e-10
+
+
+def shift(digits: int) -> float:
+    """Added before rounding, in queries and SQL alike: the data's exact halves leave the border between two roundings."""
+    return float(f"3e-{digits + 4}")
+
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -112,12 +117,12 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles to some digits, as sums of floats differ in their last bits between engines. SHIFT moves the exact halves of such data off the border."""
-    return df.select(*[(F.round(F.col(f"`{c}`") + SHIFT, digits) + 0.0).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+    """Doubles to some digits, as sums of floats differ in their last bits between engines."""
+    return df.select(*[(F.round(F.col(f"`{c}`") + shift(digits), digits) + 0.0).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 def _r(*columns: str, digits: int = 6) -> str:
-    return ", ".join(f'round("{c}" + {SHIFT}, {digits}) + 0.0 AS "{c}"' for c in columns)
+    return ", ".join(f'round("{c}" + {shift(digits)}, {digits}) + 0.0 AS "{c}"' for c in columns)
 
 
 def context(spark: SparkSession, d: str) -> DataFrame:
@@ -455,7 +460,7 @@ def scaler_stats(spark, d):
 _STATS = "stats AS (SELECT fold, " + ", ".join(f'min("{c}") AS "{c}_min", max("{c}") AS "{c}_max"' for c in X.LEAN) + " FROM assigned WHERE role = 'train' GROUP BY fold)"
 
 
-@query(f"WITH {FULL}, {_STATS} SELECT fold, role, ticker, date, " + ", ".join(f'round(("{c}" - "{c}_min") / (CASE WHEN "{c}_max" = "{c}_min" THEN 1 ELSE "{c}_max" - "{c}_min" END) + {SHIFT}, 5) + 0.0 AS "{c}"' for c in X.LEAN) + " FROM assigned JOIN stats USING (fold) WHERE role = 'test'")
+@query(f"WITH {FULL}, {_STATS} SELECT fold, role, ticker, date, " + ", ".join(f'round(("{c}" - "{c}_min") / (CASE WHEN "{c}_max" = "{c}_min" THEN 1 ELSE "{c}_max" - "{c}_min" END) + {shift(5)}, 5) + 0.0 AS "{c}"' for c in X.LEAN) + " FROM assigned JOIN stats USING (fold) WHERE role = 'test'")
 def scaled_rows(spark, d):
     rows = assigned(spark, d)
     out = E.scaled(rows.where("role = 'test'").select("fold", "role", "ticker", "date", *X.LEAN), E.scaler_stats(rows, X.LEAN), X.LEAN)
@@ -468,7 +473,7 @@ def class_balance(spark, d):
 
 
 @query(f"""WITH {FULL}, n AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS seq, count(*) OVER (PARTITION BY ticker) AS n FROM pool)
-SELECT b.ticker, b.date, CAST(60 AS INTEGER) AS length, round(sum(a."Daily_Return"::FLOAT) + 3e-10, 4) + 0.0 AS return_sum, round(any_value(b."Vol_Surge"::FLOAT) + 3e-10, 4) AS last_surge FROM n b JOIN n a ON a.ticker = b.ticker AND a.seq BETWEEN b.seq - 59 AND b.seq WHERE b.seq >= 60 AND b.n > 60 GROUP BY b.ticker, b.date""", name="sequences")
+SELECT b.ticker, b.date, CAST(60 AS INTEGER) AS length, round(sum(a."Daily_Return"::FLOAT) + {shift(4)}, 4) + 0.0 AS return_sum, round(any_value(b."Vol_Surge"::FLOAT) + {shift(4)}, 4) AS last_surge FROM n b JOIN n a ON a.ticker = b.ticker AND a.seq BETWEEN b.seq - 59 AND b.seq WHERE b.seq >= 60 AND b.n > 60 GROUP BY b.ticker, b.date""", name="sequences")
 def sequence_windows(spark, d):
     out = sequences(pool(spark, d), X.LEAN, 60)
     total = F.aggregate("sequence", F.lit(0.0), lambda a, x: a + F.get(x, F.lit(0)))
@@ -494,7 +499,7 @@ def agreement_gate(spark, d):
     return scores(spark, d).select("date", "ticker", E.agreement(F.col("p1"), F.col("p2"), 0.55).alias("gate"))
 
 
-@query(f"WITH {FULL} SELECT date, ticker, label, fold, {_r('p1', 'p2')}, round(0.5 * p1 + 0.5 * p2 + {SHIFT}, 6) AS blend FROM scores")
+@query(f"WITH {FULL} SELECT date, ticker, label, fold, {_r('p1', 'p2')}, round(0.5 * p1 + 0.5 * p2 + {shift(6)}, 6) AS blend FROM scores")
 def blend(spark, d):
     s = scores(spark, d).drop("close")
     return rounded(E.blended(s.drop("p2"), s.select("date", "ticker", "p2")))

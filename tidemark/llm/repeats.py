@@ -9,10 +9,11 @@ A byte goes if a string of `least` bytes that covers it also starts earlier: in
 2. The different segments of one anchor meet in a block: their concatenation's Burrows-Wheeler transform is searched breadth first by backward
    extension. Level by level the intervals of all strings of length 1, 2, ... give the borders with a common prefix of that length less one;
    the search stops at `least`. Suffixes without a border between them share `least` bytes or more; all but the first go.
-3. Anchors with more than most_segments different segments (short frequent lines in many contexts) are dealt out
-   again by the hash of each single window, whose first place is an aggregate.
+3. Anchors with more than most_segments different segments (short frequent lines in many contexts) are dealt out again before that: their windows are
+   split into parts by the anchor's place in the window, and the bytes that a part's windows share are its key. Parts that still are too many
+   under one key are dealt out by single windows.
 
-Texts are shuffled once, by row; the other shuffles carry hashes and the segments of step 2. Windows of step 1 and 3 are told apart by 128 bits of hash.
+Texts are shuffled once, by row; the other shuffles carry hashes and the segments of steps 2 and 3. Segments are told apart by 128 bits of hash.
 
 Defined cases: null text counts as empty; a null id counts as the largest; rows with equal ids come in the order of a hash; repeated rows
 (equal id and text) are one document and all get its result. Other columns are never read.
@@ -293,18 +294,44 @@ def _search_blocks(least: int):
     return run
 
 
-def _single_windows(least: int):
-    """Segments of anchors with too many -> the hashes of each single window."""
+def anchor_place(part: np.ndarray, least: int) -> int:
+    """Where the anchor of a segment's windows stands in it."""
+    hashes = Hashes(part[:least])
+    grams = mixed((hashes.sums[GRAM:] - hashes.sums[:-GRAM]) * hashes.down[: least - GRAM + 1])
+    top = grams >> np.uint64(PLACE)
+    return int(np.flatnonzero(top == top.min())[-1])
+
+
+def _split(least: int, size: int):
+    """Segments -> their windows in parts of at most `size`, by the anchor's place in the window. The windows of a part share a core of least - size + 1 bytes,
+    whose hash is the part's new key, so parts meet only if they agree in more bytes. Equal parts are settled within a batch."""
+    names = ("a", "h", "doc", "k", "start", "n", "gone", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, k, start, part in zip(*(b.column(c).to_pylist() for c in ("doc", "k", "start", "part")), strict=True):
-                data = np.frombuffer(part, np.uint8)
-                s = np.arange(len(data) - least + 1)
-                w1 = mixed(Hashes(data).of(s, s + least))
-                w2 = mixed(Hashes(data ^ 0xA5).of(s, s + least))
-                n = len(s)
-                yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(np.full(n, doc, np.int64)), pa.array(np.full(n, k, np.int64)), pa.array((s + start).astype(np.int32))], ["w1", "w2", "doc", "k", "start"])
+            out: dict[str, list] = {c: [] for c in names}
+            for doc, k, start, raw in zip(*(b.column(c).to_pylist() for c in ("doc", "k", "start", "part")), strict=True):
+                part = np.frombuffer(raw, np.uint8)
+                hashes, place = Hashes(part), anchor_place(part, least)
+                last = len(part) - least
+                for t in range((place - last) // size, place // size + 1):
+                    s, e = max(0, place - (t * size + size - 1)), min(last, place - t * size)
+                    core = (max(place - t * size, 0), place - min(t * size + size - 1, least - GRAM) + least)
+                    ends = np.array([[core[0], core[1]], [s, e + least]])
+                    x = hashes.of(ends[:, 0], ends[:, 1])
+                    key = mixed(x + np.array([(t + 1) * 64 + size, (e - s + 1) * 8192 + size], np.uint64) * np.uint64(0xE7037ED1A0B428DB)).view(np.int64)
+                    for c, v in zip(names, (int(key[0]), int(key[1]), doc, k, start + s, e - s + 1, False, raw[s : e + least] if size > 1 else b""), strict=True):
+                        out[c].append(v)
+            first: dict[tuple[int, int], tuple] = {}
+            keys = [*zip(out["a"], out["h"], strict=True)]
+            places = [*zip(out["doc"], out["k"], out["start"], strict=True)]
+            for x, y in zip(keys, places, strict=True):
+                first[x] = min(y, first.get(x, y))
+            out["gone"] = [y > first[x] for x, y in zip(keys, places, strict=True)]
+            out["part"] = [b"" if g else x for g, x in zip(out["gone"], out["part"], strict=True)]
+            out["a"] = [hash((y, 1)) % (1 << 62) if g else x for x, y, g in zip(out["a"], places, out["gone"], strict=True)]  # settled: anywhere
+            kinds = dict.fromkeys(("a", "h", "doc", "k"), pa.int64()) | {"start": pa.int32(), "n": pa.int32(), "gone": pa.bool_(), "part": pa.binary()}
+            yield pa.RecordBatch.from_arrays([pa.array(out[c], kinds[c]) for c in names], [*names])
 
     return run
 
@@ -321,32 +348,45 @@ def without(data: bytes, found: list, least: int) -> tuple[bytes, int, int]:
     return np.frombuffer(data, np.uint8)[~gone].tobytes(), int(gone.sum()), int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
 
 
+#: Segments with their bytes, and the number of windows of a part in step 3.
+SEGMENT = "a bigint, doc bigint, k bigint, start int, part binary"
+SPLIT = 17
+
+
+def settle(found: DataFrame) -> DataFrame:
+    """Of equal segments all but the first are gone; those whose anchor has no other segment drop out. One exchange and one sort serve both windows."""
+    by_segment = Window.partitionBy("a", "h").orderBy("doc", "k", "start")
+    by_anchor = Window.partitionBy("a")
+    ranked = found.repartition("a").sortWithinPartitions("a", "h", "doc", "k", "start").withColumn("_rank", F.rank().over(by_segment)).withColumn("_several", F.min("h").over(by_anchor) != F.max("h").over(by_anchor))
+    return ranked.withColumn("gone", F.col("gone") | (F.col("_rank") > 1)).where("gone or _several").drop("_rank", "_several")
+
+
 def _search(docs: DataFrame, carried: list[str], least: int, most_segments: int, id_col: str, text_col: str, digests: bool) -> DataFrame:
     """Struct _id of the carried columns, n_bytes, n_removed, n_spans, _last (the remaining text, or its digest) of each row."""
     text = F.coalesce(text_col, F.lit(""))
     keyed = docs.select(F.xxhash64(F.col(id_col), text).alias("_k"), F.struct(*[F.col(c) for c in carried]).alias("_id"), text.alias("_text"))
     doc = F.coalesce(F.col(id_col).cast("bigint"), F.lit(2**63 - 1)).alias("_doc")
     found = docs.select(F.xxhash64(F.col(id_col), text).alias("_k"), doc, text.alias("_text")).mapInArrow(_first_pass(least), "a bigint, h bigint, doc bigint, k bigint, start int, n int, gone boolean")
-    by_segment = Window.partitionBy("a", "h").orderBy("doc", "k", "start")
-    by_anchor = Window.partitionBy("a")
-    ranked = found.repartition("a").sortWithinPartitions("a", "h", "doc", "k", "start").withColumn("_rank", F.rank().over(by_segment)).withColumn("_several", F.min("h").over(by_anchor) != F.max("h").over(by_anchor))
-    settled = materialise(ranked.withColumn("gone", F.col("gone") | (F.col("_rank") > 1)).where("gone or _several").drop("h", "_rank", "_several"), "repeats")
+    settled = materialise(settle(found).drop("h"), "repeats")
+
+    def few_and_many(open_: DataFrame) -> DataFrame:
+        many = open_.groupBy("a").count().where(F.col("count") > most_segments).select("a", F.lit(True).alias("hot"))
+        return open_.join(many.hint("merge"), "a", "left")
 
-    open_ = settled.where("not gone")
-    many = open_.groupBy("a").count().where(F.col("count") > most_segments).select("a", F.lit(True).alias("hot"))
-    marked = open_.join(many.hint("merge"), "a", "left")
-    places = marked.groupBy("k").agg(F.collect_list(F.struct("a", "doc", "k", "start", "n", "hot")).alias("found"))
-    rows = keyed.repartition("_k")  # both branches take the same columns of it, so Spark reuses the exchange
+    places = few_and_many(settled.where("not gone")).groupBy("k").agg(F.collect_list(F.struct("a", "doc", "k", "start", "n", "hot")).alias("found"))
+    rows = keyed.repartition("_k")  # all branches take the same columns of it, so Spark reuses the exchange
 
     def cut(hot: bool) -> DataFrame:
-        own = places.select(F.col("k").alias("_k"), F.filter("found", lambda x: x["hot"].isNotNull() if hot else x["hot"].isNull()).alias("found"))
-        return rows.join(own.hint("shuffle_hash"), "_k", "left").select("_id", "_text", "found").mapInArrow(_cut_segments(least), "a bigint, doc bigint, k bigint, start int, part binary")
-
-    goes = [settled.where("gone").select("k", "start", "n"), cut(False).repartition("a").sortWithinPartitions("a").mapInArrow(_search_blocks(least), "k bigint, start int, n int")]
-    if not many.isEmpty():
-        single = materialise(cut(True).mapInArrow(_single_windows(least), "w1 bigint, w2 bigint, doc bigint, k bigint, start int"), "windows")
-        first = single.groupBy("w1", "w2").agg(F.min(F.struct("doc", "k", "start")).alias("first"))
-        goes.append(single.join(first.hint("merge"), ["w1", "w2"]).where(F.struct("doc", "k", "start") > F.col("first")).select("k", "start", F.lit(1).cast("int").alias("n")))
+        own = places.select(F.col("k").alias("_k"), F.filter("found", lambda x: x["hot"].isNotNull() if hot else x["hot"].isNull()).alias("found")).where(F.size("found") > 0)
+        return rows.join(own.hint("shuffle_hash"), "_k").select("_id", "_text", "found").mapInArrow(_cut_segments(least), SEGMENT)
+
+    split = "a bigint, h bigint, doc bigint, k bigint, start int, n int, gone boolean, part binary"
+    parts = settle(cut(True).mapInArrow(_split(least, SPLIT), split))
+    parted = few_and_many(parts.where("not gone").select("a", "doc", "k", "start", "part"))
+    windows = settle(parted.where("hot").select("doc", "k", "start", "part").mapInArrow(_split(least, 1), split))
+    few = cut(False).unionByName(parted.where("hot is null").drop("hot"))
+    searched = few.repartition("a").sortWithinPartitions("a").mapInArrow(_search_blocks(least), "k bigint, start int, n int")
+    goes = [x.where("gone").select("k", "start", "n") for x in (settled, parts, windows)] + [searched]
     gone = goes[0]
     for x in goes[1:]:
         gone = gone.unionByName(x)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import materialise, table
 from tidemark.llm.tokens import encoder
 
-WINDOW, MEAN, LEAST, MOST = 32, 1024, 256, 8192
+WINDOW, MEAN, LEAST, MOST = 32, 2048, 512, 16384
 #: An odd multiplier of the rolling hash and its inverse modulo 2 ** 64.
 P = 0x9E3779B97F4A7C15
 P_INVERSE = pow(P, -1, 1 << 64)
@@ -194,8 +194,8 @@ def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
     shared = chunks.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("_k", "at")).alias("first")).where("n > 1")
     marks = materialise(chunks.join(shared.hint("merge"), "h").select("h", "_k", "at", (F.col("first") == F.struct("_k", "at")).alias("is_first")), "marks")
     firsts = marks.where("is_first").groupBy("_k").agg(F.collect_list("at").alias("firsts"))
-    rows = keyed.repartition("_k")
-    cores = rows.join(firsts.hint("shuffle_hash"), "_k", "left").select("_text", "firsts").mapInArrow(_encode_chunks(vocabulary), "h binary, ids binary")
+    rows = keyed.repartition("_k")  # both branches take the same columns of it, so Spark reuses the exchange
+    cores = rows.join(firsts.hint("shuffle_hash"), "_k").select("_id", "_text", "firsts").mapInArrow(_encode_chunks(vocabulary), "h binary, ids binary")
     known = marks.select("h", "_k", "at").join(cores.hint("merge"), "h").groupBy("_k").agg(F.collect_list(F.struct("at", "h", "ids")).alias("known"))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"_id {kind}, " + ("n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids array<bigint>, decoded string")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold_of, table
+from tidemark.llm.common import fold_of, table, texts_of
 
 BLOCK = 1024
 #: Symbol 0 is anything but a letter or one of the learned letters' symbols.
@@ -74,10 +74,11 @@ def symbols_of(text: str, code: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, max_chars: int = 30_000, max_docs: int = 200, max_languages: int = 64, sigma: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
     """Phrase tables from rows outside the held-out fold with a non-null lang: per language at most max_docs seeded rows,
     of which max_chars characters are used. Only the max_languages most frequent languages are learned."""
-    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("_id").isNotNull() & F.col("lang").isNotNull() & (F.trim("text") != "") & (fold_of("_id") != 0))
+    own = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("lang")).where(F.col("_id").isNotNull() & F.col("lang").isNotNull() & (fold_of("_id") != 0))
     top = [r["lang"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    w = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(17), F.col("_id")), "_id", F.xxhash64("text"))
-    rows = own.where(F.col("lang").isin(top)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_docs).orderBy("lang", "rank").select("lang", "text").collect() if top else []
+    w = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(17), F.col("_id")), "_id")
+    ids = own.where(F.col("lang").isin(top)).distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_docs)
+    rows = texts_of(docs, ids, id_col, text_col).orderBy("lang", "rank").select("lang", "text").collect() if top else []
     samples: dict[str, str] = {}
     for r in rows:
         if len(samples.setdefault(r["lang"], "")) < max_chars:

@@ -77,7 +77,8 @@ def train(docs: DataFrame, max_chars: int = 30_000, max_docs: int = 200, max_lan
     own = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("lang")).where(F.col("_id").isNotNull() & F.col("lang").isNotNull() & (fold_of("_id") != 0))
     top = [r["lang"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
     w = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(17), F.col("_id")), "_id")
-    ids = own.where(F.col("lang").isin(top)).distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_docs)
+    ids = own.where(F.col("lang").isin(top)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_docs)  # limited in each task before the shuffle
+    ids = ids.groupBy("_id", "lang").agg(F.min("rank").alias("rank"))  # repeated rows make the sample smaller
     rows = texts_of(docs, ids, id_col, text_col).orderBy("lang", "rank").select("lang", "text").collect() if top else []
     samples: dict[str, str] = {}
     for r in rows:

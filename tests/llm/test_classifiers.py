@@ -77,6 +77,16 @@ def test_language(corpus):
     assert {r.lang_pred for r in language.predict(docs, language.train(docs.limit(0))).collect()} == {"und"}
 
 
+def test_many_languages_and_scripts(spark):
+    """More languages than a block of tables has, each with letters of its own from the rare ones; every one must be told apart."""
+    rng = random.Random(5)
+    word = lambda k: "".join(chr(0x4E00 + 40 * k + rng.randrange(40)) for _ in range(rng.randint(1, 3)))
+    rows = [(i, " ".join(word(i % 70) for _ in range(40)), f"l{i % 70:02}") for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = language.predict(docs, language.train(docs)).collect()
+    assert len(out) == 700 and {r.doc_id: r.lang_pred for r in out} == {i: lang for i, _, lang in rows}
+
+
 def test_phrases_against_greedy_search():
     rng = random.Random(1)
     sample = "".join(rng.choice("abc") for _ in range(300))

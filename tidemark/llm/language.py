@@ -5,6 +5,10 @@ longest match with the sample. A text is cut greedily into such longest matches
 that needs the fewest phrases per letter wins. Texts are parsed in blocks of BLOCK symbols (a
 phrase ends at a block's end), so that a numpy table walks many blocks of whole texts side by side.
 
+Every non-null lang value with a row outside the held-out fold is learned, and every letter of a sample is a symbol of its own, whatever the
+script. The tables are kept by edges, so their size does not grow with the alphabet; languages are scored in blocks of LANGUAGES, of which
+a worker holds one at a time, and the least phrase count over all blocks wins.
+
 Defined cases: `und` with score 0 if the text is null, empty or has no letter, or if no language was learned; ties go to
 the first language by name. Null ids are predicted and never learned from. Other columns are never read.
 """
@@ -23,10 +27,12 @@ from tidemark.llm.common import fold_of, table, texts_of
 BLOCK = 1024
 #: Symbol 0 is anything but a letter or one of the learned letters' symbols.
 OTHER = 0
+#: Languages whose tables are held at once.
+LANGUAGES = 32
 
 
-def suffix_automaton(symbols: list[int], sigma: int) -> np.ndarray:
-    """Transitions [state, symbol] -> state of the suffix automaton of one string, -1 where there is none; state 0 is the root."""
+def suffix_automaton(symbols: list[int], sigma: int) -> tuple[list[dict[int, int]], int]:
+    """Each state's transitions symbol -> state in the suffix automaton of one string, and the number of symbols; state 0 is the root."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols:
@@ -52,17 +58,43 @@ def suffix_automaton(symbols: list[int], sigma: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    out = np.full((len(nxt), sigma), -1, np.int32)
-    for s, edges in enumerate(nxt):
+    return nxt, sigma
+
+
+def phrase_table(automaton: tuple[list[dict[int, int]], int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base, slots, root). Slot base[state] + symbol has state * 2 ** 32 + next if the state has that transition, else another state's or -1; a phrase
+    then ends before the symbol, which starts the next phrase at root[symbol] (the root itself for an unlearned symbol)."""
+    states, sigma = automaton
+    base, used, found = np.zeros(len(states), np.int64), bytearray(4 * len(states) + sigma), {}
+    at: dict[int, int] = {}  # by number of transitions: where the last such state went
+    first = 0
+    for s in sorted(range(len(states)), key=lambda s: -len(states[s])):
+        edges = states[s]
+        if not edges:
+            break
+        c0 = min(edges)
+        f = max(first, c0) if len(edges) == 1 else at.get(len(edges), 0) + c0
+        while True:
+            if f + sigma > len(used):
+                used.extend(bytes(len(used) + sigma))
+            free = used.find(0, f)
+            f = len(used) if free < 0 else free
+            if free >= 0 and f + sigma <= len(used):
+                if not any(used[f - c0 + c] for c in edges):
+                    break
+                f += 1
+        base[s] = at[len(edges)] = f - c0
         for c, t in edges.items():
-            out[s, c] = t
-    return out
-
-
-def phrase_table(automaton: np.ndarray) -> np.ndarray:
-    """Entries 2 * next + 1 where a phrase ends before the symbol (the symbol then starts the next phrase at the root), else 2 * next."""
-    root = np.maximum(automaton[0], 0)
-    return np.where(automaton >= 0, 2 * automaton, 2 * root[None, :] + 1).astype(np.int32)
+            used[f - c0 + c] = 1
+            found[f - c0 + c] = (s << 32) + t
+        free = used.find(0, first)
+        first = len(used) if free < 0 else free
+    slots = np.full(int(base.max()) + sigma, -1, np.int64)
+    slots[list(found)] = list(found.values())
+    root = np.zeros(sigma, np.int64)
+    for c, t in states[0].items():
+        root[c] = t
+    return base, slots, root
 
 
 def symbols_of(text: str, code: np.ndarray) -> np.ndarray:
@@ -71,55 +103,59 @@ def symbols_of(text: str, code: np.ndarray) -> np.ndarray:
     return x[(x != OTHER) | np.append(True, x[:-1] != OTHER)] if len(x) else x
 
 
-def train(docs: DataFrame, max_chars: int = 30_000, max_docs: int = 200, max_languages: int = 64, sigma: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
-    """Phrase tables from rows outside the held-out fold with a non-null lang: per language at most max_docs seeded rows,
-    of which max_chars characters are used. Only the max_languages most frequent languages are learned."""
+def train(docs: DataFrame, max_chars: int = 30_000, max_docs: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
+    """Samples from rows outside the held-out fold with a non-null lang: per language at most max_docs seeded rows, of which max_chars characters are used."""
     own = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("lang")).where(F.col("_id").isNotNull() & F.col("lang").isNotNull() & (fold_of("_id") != 0))
-    top = [r["lang"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
     w = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(17), F.col("_id")), "_id")
-    ids = own.where(F.col("lang").isin(top)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_docs)  # limited in each task before the shuffle
+    ids = own.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_docs)  # limited in each task before the shuffle
     ids = ids.groupBy("_id", "lang").agg(F.min("rank").alias("rank"))  # repeated rows make the sample smaller
-    rows = texts_of(docs, ids, id_col, text_col).orderBy("lang", "rank").select("lang", "text").collect() if top else []
+    before = F.sum(F.length("text") + 1).over(Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))  # lower case is never shorter
+    rows = texts_of(docs, ids, id_col, text_col).withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < max_chars)
     samples: dict[str, str] = {}
-    for r in rows:
+    for r in rows.orderBy("lang", "rank").select("lang", F.substring("text", 1, max_chars).alias("text")).collect():  # less than 2 * max_chars characters a language
         if len(samples.setdefault(r["lang"], "")) < max_chars:
             samples[r["lang"]] += r["text"].lower() + "\n"
-    samples = {k: v[:max_chars] for k, v in samples.items()}
-    seen = np.zeros(0x110000, np.int64)
-    for v in samples.values():
-        seen += np.bincount(np.frombuffer(v.encode("utf-32-le"), dtype=np.uint32), minlength=len(seen))
-    letters = [c for c in np.argsort(-seen, kind="stable")[: 4 * sigma] if seen[c] and chr(c).isalpha()][: sigma - 2]
-    return {"letters": letters, "sigma": sigma, "tables": {k: phrase_table(suffix_automaton(symbols_of(v, letter_codes(letters, sigma)).tolist(), sigma)) for k, v in sorted(samples.items())}}
+    samples = {k: v[:max_chars] for k, v in sorted(samples.items())}
+    letters = sorted(map(ord, {c for v in samples.values() for c in set(v) if c.isalpha()}))
+    return {"letters": letters, "sigma": len(letters) + 2, "samples": samples}
+
+
+def tables_of(spark: SparkSession, model: dict, names: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The phrase tables of some languages, each built by a task of its own."""
+    letters, sigma = model["letters"], model["sigma"]
+    build = lambda x: (x[0], phrase_table(suffix_automaton(symbols_of(x[1], letter_codes(letters, sigma)).tolist(), sigma)))
+    return dict(spark.sparkContext.parallelize([(k, model["samples"][k]) for k in names], len(names)).map(build).collect())
 
 
 def letter_codes(letters: list[int], sigma: int) -> np.ndarray:
     """code point -> symbol: a learned letter has its own, another letter the last, anything else OTHER."""
-    code = np.zeros(0x110000, np.uint8)
+    code = np.zeros(0x110000, np.int32)
     code[[c for c in range(0x3400) if chr(c).isalpha()]] = sigma - 1
     code[0x3400:0xD800] = sigma - 1
     code[0xF900:0xFE00] = sigma - 1
     code[0x10000:] = sigma - 1
-    for i, c in enumerate(letters):
-        code[c] = i + 1
+    code[letters] = np.arange(1, len(letters) + 1)
     return code
 
 
-def count_phrases(blocks: np.ndarray, lengths: np.ndarray, phrases: np.ndarray) -> np.ndarray:
+def count_phrases(blocks: np.ndarray, lengths: np.ndarray, phrases: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     """Phrases of each row of blocks [n, BLOCK], of which the first lengths symbols count; rows must come longest first."""
-    state, count = np.zeros(len(blocks), np.int32), np.ones(len(blocks), np.int64)
-    flat, sigma = phrases.ravel(), phrases.shape[1]
+    state, count = np.zeros(len(blocks), np.int64), np.ones(len(blocks), np.int64)
+    base, slots, root = phrases
     live = np.searchsorted(-lengths, -np.arange(blocks.shape[1]), side="left")
     columns = np.ascontiguousarray(blocks.T)
     for j in range(int(lengths[0]) if len(lengths) else 0):
         n = live[j]
-        step = flat[state[:n] * sigma + columns[j, :n]]
-        count[:n] += step & 1
-        state[:n] = step >> 1
+        c, s = columns[j, :n], state[:n]
+        step = slots[base[s] + c]
+        goes = step >> 32 == s
+        count[:n] += ~goes
+        state[:n] = np.where(goes, step & 0xFFFFFFFF, root[c])
     return count
 
 
-def phrase_counts(texts: list[str | None], model: dict, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(phrases [text, language], symbols [text]) of whole texts."""
+def laid_out(texts: list[str | None], code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(blocks, their lengths, the text each is of, symbols [text]) of whole texts, longest blocks first."""
     parts, owner = [], []
     total = np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
@@ -128,33 +164,49 @@ def phrase_counts(texts: list[str | None], model: dict, code: np.ndarray) -> tup
         for at in range(0, len(s), BLOCK):
             parts.append(s[at : at + BLOCK])
             owner.append(i)
-    out = np.zeros((len(texts), len(model["tables"])), np.int64)
-    if parts:
-        lengths = np.array([len(x) for x in parts])
-        order = np.argsort(-lengths, kind="stable")
-        blocks = np.zeros((len(parts), BLOCK), np.uint8)
-        for row, k in enumerate(order):
-            blocks[row, : lengths[k]] = parts[k]
-        for j, phrases in enumerate(model["tables"].values()):
-            np.add.at(out[:, j], np.array(owner)[order], count_phrases(blocks, lengths[order], phrases))
-    return out, total
+    lengths = np.array([len(x) for x in parts], np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    blocks = np.zeros((len(parts), BLOCK), np.int32)
+    for row, k in enumerate(order):
+        blocks[row, : lengths[k]] = parts[k]
+    return blocks, lengths[order], np.array(owner, np.int64)[order], total
+
+
+def counts_in(blocks: np.ndarray, lengths: np.ndarray, owner: np.ndarray, n: int, tables: dict) -> np.ndarray:
+    """Phrases [text, language] of n texts."""
+    out = np.zeros((n, len(tables)), np.int64)
+    for j, phrases in enumerate(tables.values()):
+        np.add.at(out[:, j], owner, count_phrases(blocks, lengths, phrases))
+    return out
+
+
+def phrase_counts(texts: list[str | None], model: dict, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(phrases [text, language], symbols [text]) of whole texts."""
+    *where, total = laid_out(texts, code)
+    return counts_in(*where, len(texts), model["tables"]), total
 
 
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score): score is the winner's share of the softmax of -8 * (phrases over the fewest phrases)."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # at most max_languages tables of 2 * max_chars * sigma numbers
+    names, letters, sigma = [*model["samples"]], model["letters"], model["sigma"]
+    groups = [names[at : at + LANGUAGES] for at in range(0, len(names), LANGUAGES)]
+    sent = [spark.sparkContext.broadcast(tables_of(spark, model, group)) for group in groups]  # a table takes some 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        code, names = letter_codes(m["letters"], m["sigma"]), [*m["tables"]]
+        code = letter_codes(letters, sigma)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
                 texts = b.column("text").to_pylist()
-                counts, _ = phrase_counts(texts, m, code)
+                *where, _ = laid_out(texts, code)
+                counts = []
+                for one in sent:
+                    counts.append(counts_in(*where, len(texts), one.value))
+                    if len(sent) > 1 and getattr(one, "_path", None):
+                        vars(one).pop("_value", None)  # read again from the executor's file when its turn comes
                 pred, score = [], []
-                for t, c in zip(texts, counts, strict=True):
+                for t, c in zip(texts, np.hstack(counts) if counts else texts, strict=True):
                     if not names or not t or not any(map(str.isalpha, t)):
                         pred.append("und")
                         score.append(0.0)

@@ -197,3 +197,21 @@ def test_models(spark):
     both = trees.withColumnRenamed("p", "p1").join(lines.select("date", "ticker", F.col("p").alias("p2")), ["date", "ticker"])
     report = M.ensemble_report(M.stacked(both, 1)).first()
     assert report.auc_stack > 0.8 and report.best_single == max(report.auc_c1, report.auc_c2)
+
+
+def test_learning_queries_do_the_whole_job(spark, monkeypatch):
+    """All four folds of the other fold queries, and the operators' own rounds and iterations."""
+    import inspect
+
+    from tidemark.plans import catalog as C
+
+    given = {}
+    monkeypatch.setattr(C, "pool", lambda spark, d: None)
+    for name in ("walk_forward_trees", "walk_forward_sequences"):
+        real = getattr(M, name)
+        monkeypatch.setattr(M, name, lambda *a, name=name, real=real, **k: given.update({name: inspect.signature(real).bind(*a, **k).arguments}))
+    C.QUERIES["walk_forward_trees"](spark, "")
+    C.QUERIES["walk_forward_sequence"](spark, "")
+    for args, size, least in ((given["walk_forward_trees"], "rounds", 300), (given["walk_forward_sequences"], "iterations", 50)):
+        assert args.get(size, least) >= least
+        assert sorted(args["folds"].collect()) == sorted(C.test_folds(spark).collect()) and args["folds"].count() == 4

@@ -592,12 +592,12 @@ def backtest_report(spark, d):
 
 @query()
 def walk_forward_trees(spark, d):
-    return M.walk_forward_trees(pool(spark, d), L.folds_table(spark, L.yearly_folds(1998, 1999)), X.WIDE, rounds=5)
+    return M.walk_forward_trees(pool(spark, d), test_folds(spark), X.WIDE)
 
 
 @query()
 def walk_forward_sequence(spark, d):
-    return M.walk_forward_sequences(pool(spark, d), L.folds_table(spark, L.yearly_folds(1998, 1999)), X.LEAN, length=60, iterations=10)
+    return M.walk_forward_sequences(pool(spark, d), test_folds(spark), X.LEAN)
 
 
 @query()

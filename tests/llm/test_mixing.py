@@ -75,3 +75,17 @@ def test_shortage_stays_in_the_family(spark):
         tokens[r.domain, r.lang, r.source] += r.n_tokens * r.copies
     # 102 documents of 10 words: 408 tokens, 204 for each domain; s3 in English fills only 20 of its 51, its sibling s6 takes the rest of 102
     assert tokens == {("d0", "en", "s3"): 20, ("d0", "en", "s6"): 80, ("d0", "de", "s3"): 100, ("d1", "en", "s1"): 200}
+
+
+def test_a_leaf_without_tokens_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, "a b c d", "en", "src1"), (2, "e f", "en", "src1"), (3, None, "en", "src3"), (4, "", "en", "src3"), (5, None, None, "src9"), (6, "g h i", "de", "src2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as c:
+        c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+        want = dict(c.execute(f"select doc_id, copies from ({mixing.MIXING_SQL})").fetchall())
+    got = {r.doc_id: r.copies for r in mixing.mix(docs, weights=mixing.WEIGHTS).collect()}
+    assert got == want and got[3] == got[4] == got[5] == 1
+    assert {3, 4, 5} <= {r.doc_id for r in mixing.keep_mixed(docs, 0.5, mixing.WEIGHTS).collect()}

@@ -10,6 +10,7 @@ their running token count stays within the rest. The running count is taken over
 in which the budget ends is counted row by row; a leaf with a third of all rows is no single task's work.
 
 Defined cases: a null language, source or text counts as ''; empty texts have no tokens and go with the documents before them in the order;
+a leaf without any token is wholly within its rest, so its rows are taken once;
 weights not given are 1; a weight of 0 or less takes nothing; repeated rows (equal ids) share one place in the order and go together;
 an empty table gives no rows. Token counts times the sum of a node's children's weights must stay under 2 ** 63.
 """
@@ -88,7 +89,7 @@ def order_key(seed: int) -> Column:
 def copies() -> Column:
     """How often a row with the columns of its leaf's plan is taken."""
     within = F.coalesce((F.col("_range") < F.col("_end_range")) | ((F.col("_range") == F.col("_end_range")) & (F.col("_key") <= F.col("_last"))), F.lit(False))
-    return F.col("_epochs") + within.cast("bigint")
+    return F.col("_epochs") + (F.col("_end_range").isNull() | within).cast("bigint")  # only a leaf without tokens has no end range
 
 
 def plan(base: DataFrame, budget_share: float, max_epochs: int, weights: dict[str, int], seed: int) -> DataFrame:

@@ -215,3 +215,16 @@ def test_learning_queries_do_the_whole_job(spark, monkeypatch):
     for args, size, least in ((given["walk_forward_trees"], "rounds", 300), (given["walk_forward_sequences"], "iterations", 50)):
         assert args.get(size, least) >= least
         assert sorted(args["folds"].collect()) == sorted(C.test_folds(spark).collect()) and args["folds"].count() == 4
+
+
+def test_cik_payloads_stay_small(spark, tmp_path, monkeypatch):
+    """More customers make more payloads, not longer ones; the later entry of a ticker still counts."""
+    from tidemark.plans import catalog as C
+
+    n, seen, real = 45_000, {}, I.cik_map
+    spark.range(n).select(F.col("id").alias("c_custkey"), F.concat(F.lit("n"), "id").alias("c_name")).write.parquet(f"{tmp_path}/customer.parquet")
+    monkeypatch.setattr(C.I, "cik_map", lambda df: real(seen.setdefault("df", df)))
+    out = C.cik_map(spark, str(tmp_path))
+    sizes = [r[0] for r in seen["df"].select(F.size(F.json_object_keys("payload"))).collect()]
+    assert len(sizes) == 45 and max(sizes) == 2000
+    assert out.count() == n and out.where("cast(cik as bigint) <> cast(substring(ticker, 2) as bigint) * 7 + 1").count() == 0

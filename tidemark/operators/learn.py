@@ -1,4 +1,4 @@
-"""Learning operators on pyspark.ml: walk-forward models, calibration, stacking."""
+"""Learning operators on pyspark.ml: walk-forward models, calibration, stacking. Rows that several fits read are written once as a scratch table."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.windows import sequences
 from tidemark.operators.evaluate import auc, blend, scaled, scaler_stats
+from tidemark.operators.scratch import materialise
 from tidemark.plans.labels import assigned
 
 
@@ -36,7 +37,8 @@ def fold_list(folds: DataFrame) -> list[int]:
 
 def walk_forward_trees(pooled: DataFrame, folds: DataFrame, columns: list[str], rounds: int = 300) -> DataFrame:
     """(date, ticker, label, fold, p): each fold's model sees only rows before its purged cut. Folds without train or test rows are left out."""
-    rows = assigned(pooled, folds).select("date", "ticker", "label", "fold", "role", *columns).persist()
+    rows = assigned(pooled, folds).select("date", "ticker", "label", "fold", "role", *columns)
+    rows = materialise(rows, "folds")
     out = None
     for k in fold_list(folds):
         train, test = rows.where(f"fold = {k} and role = 'train'"), rows.where(f"fold = {k} and role = 'test'")
@@ -57,7 +59,8 @@ def walk_forward_sequences(pooled: DataFrame, folds: DataFrame, columns: list[st
     stats = stats.select("fold", low.alias("_low"), width.alias("_width"))
     rows = assigned(windows, folds).join(F.broadcast(stats), "fold")  # a row per fold
     flat = F.flatten(F.transform("sequence", lambda row: F.transform(row, lambda x, i: (x - F.get("_low", i)) / F.get("_width", i))))
-    rows = rows.select("date", "ticker", "label", "fold", "role", array_to_vector(flat.cast("array<double>")).alias("features")).persist()
+    rows = rows.select("date", "ticker", "label", "fold", "role", array_to_vector(flat.cast("array<double>")).alias("features"))
+    rows = materialise(rows, "folds")
     out = None
     for k in fold_list(folds):
         train, test = rows.where(f"fold = {k} and role = 'train'"), rows.where(f"fold = {k} and role = 'test'")
@@ -82,7 +85,8 @@ def apply_logistic(model, rows: DataFrame, columns: list[str], name: str) -> Dat
 
 def stacked(scores: DataFrame, last_fit_fold: int) -> DataFrame:
     """(date, ticker, label, fold, p1, p2) -> the later folds with calibrated scores c1 and c2, their blend, and the stacker's score. All is fitted on the earlier folds."""
-    fit, rest = scores.where(F.col("fold") <= last_fit_fold).persist(), scores.where(F.col("fold") > last_fit_fold)
+    scores = materialise(scores, "scores")
+    fit, rest = scores.where(F.col("fold") <= last_fit_fold), scores.where(F.col("fold") > last_fit_fold)
     for p, c in (("p1", "c1"), ("p2", "c2")):
         model = fit_logistic(fit, [p])
         fit, rest = apply_logistic(model, fit, [p], c), apply_logistic(model, rest, [p], c)

@@ -26,36 +26,47 @@ EPSILON, BETA_EPSILON = 1e-8, 1e-12
 CONTEXT_COLUMNS = ["spy", "vix", "hyg", "tnx"]
 
 
-def _own(w) -> dict[str, Column]:
-    """Features of rolling windows over an instrument's own bars; Daily_Return must be there."""
+def _rolled(w) -> dict[str, Column]:
+    """Each rolling statistic that the features over an instrument's own bars need, once."""
     close, volume = F.col("close"), F.col("volume").cast("double")
-    out: dict[str, Column] = {f"Mom_{n}": pct_change(close, n, w) for n in (5, 10, 20)}
+    typical = (F.col("high") + F.col("low") + close) / 3
+    up, down = (F.when(F.col("_d").isNotNull(), x) for x in (F.greatest("_d", F.lit(0.0)), -F.least("_d", F.lit(0.0))))
+    out = {f"_mean_{n}": rolling(F.avg, [close], n, w) for n in (5, 10, 20, 50, 60, 100)}
+    out |= {f"_sd_{n}": rolling(F.stddev_samp, [close], n, w) for n in (20, 60)}
     out |= {f"Vol_{n}": rolling(F.stddev_samp, [F.col("Daily_Return")], n, w) for n in (5, 10, 20)}
-    mean = lambda n: rolling(F.avg, [close], n, w)
-    sd = lambda n: rolling(F.stddev_samp, [close], n, w)
-    out |= {f"SMA_{n}_Dist": F.try_divide(close - mean(n), mean(n)) for n in (5, 10, 20, 50, 100)}
+    out |= {"_gain": rolling(F.avg, [up], 14, w), "_loss": rolling(F.avg, [down], 14, w), "_true_range": rolling(F.avg, [F.col("_range")], 14, w)}
+    out |= {"_traded": rolling(F.sum, [typical * volume], 20, w), "_volume": rolling(F.sum, [volume], 20, w)}
+    return out | {f"Mom_{n}": pct_change(close, n, w) for n in (5, 10, 20)}
+
+
+def _own() -> dict[str, Column]:
+    """Features out of the rolling statistics."""
+    close, mean, sd = F.col("close"), (lambda n: F.col(f"_mean_{n}")), (lambda n: F.col(f"_sd_{n}"))
+    out: dict[str, Column] = {f"SMA_{n}_Dist": F.try_divide(close - mean(n), mean(n)) for n in (5, 10, 20, 50, 100)}
     out |= {f"ZScore_{n}": (close - mean(n)) / (sd(n) + EPSILON) for n in (20, 60)}
-    gain = rolling(F.avg, [F.when(F.col("_d").isNotNull(), F.greatest("_d", F.lit(0.0)))], 14, w)
-    loss = rolling(F.avg, [F.when(F.col("_d").isNotNull(), -F.least("_d", F.lit(0.0)))], 14, w)
-    out["RSI_14"] = 100 - 100 / (1 + gain / (loss + EPSILON))
+    out["RSI_14"] = 100 - 100 / (1 + F.col("_gain") / (F.col("_loss") + EPSILON))
     lower, upper = mean(20) - 2 * sd(20), mean(20) + 2 * sd(20)
     out |= {"BB_Width": F.try_divide(upper - lower, mean(20)), "Boll_Pos": (close - lower) / (upper - lower + EPSILON)}
-    out["NATR_14"] = F.try_divide(rolling(F.avg, [F.col("_range")], 14, w), close) * 100
-    out["Vol_Surge"] = F.try_divide(volume, rolling(F.avg, [volume], 20, w))
-    typical = (F.col("high") + F.col("low") + close) / 3
-    out["VWAP_Dist"] = F.try_divide(close, F.try_divide(rolling(F.sum, [typical * volume], 20, w), rolling(F.sum, [volume], 20, w))) - 1
+    out["NATR_14"] = F.try_divide("_true_range", close) * 100
+    out["Vol_Surge"] = F.try_divide(F.col("volume") * 20.0, F.col("_volume"))
+    out["VWAP_Dist"] = F.try_divide(close, F.try_divide("_traded", "_volume")) - 1
+    out |= {"EMA_9_Dist": F.try_divide(close, F.col("_e9")) - 1, "MACD_Norm": F.try_divide(F.col("_e12") - F.col("_e26"), close)}
     return out
 
 
 def own_features(bars: DataFrame) -> DataFrame:
-    """Bars with the features that need no market context."""
+    """Bars with the features that need no market context.
+
+    Windows cost far more per byte than a scan, so the one exchange keeps the session's number of shuffle partitions instead of being joined to larger ones by size.
+    """
     w = series()
     close = F.col("close")
-    df = with_ewm(bars, "close", {"_e9": 9, "_e12": 12, "_e26": 26})
+    n = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = with_ewm(bars.repartition(n, "ticker"), "close", {"_e9": 9, "_e12": 12, "_e26": 26})
     previous = F.lag("close").over(w)
     df = df.withColumns({"Daily_Return": pct_change(close, 1, w), "_d": change(close, w), "_range": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - previous), F.abs(F.col("low") - previous))})
-    df = df.withColumns({"EMA_9_Dist": F.try_divide(close, F.col("_e9")) - 1, "MACD_Norm": F.try_divide(F.col("_e12") - F.col("_e26"), close)})
-    return df.withColumns(_own(w)).drop("_e9", "_e12", "_e26", "_d", "_range")
+    df = df.withColumns(_rolled(w)).withColumns(_own())
+    return df.drop(*[c for c in df.columns if c.startswith("_")])
 
 
 def market_context(df: DataFrame, context: DataFrame, strict_regime: bool = False) -> DataFrame:

@@ -25,7 +25,7 @@ def append_if_absent(stored: DataFrame, batch: DataFrame, keys: list[str], order
 def replace_rows(stored: DataFrame, batch: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Full-row upsert: a key's row in the batch (the first by the order) replaces the stored one."""
     newest = first_of(batch, keys, order)
-    return stored.join(newest.select(*keys), keys, "left_anti").select(*stored.columns).unionByName(newest.select(*stored.columns))
+    return stored.join(newest.select(*keys).hint("merge"), keys, "left_anti").select(*stored.columns).unionByName(newest.select(*stored.columns))
 
 
 def upsert_universe(stored: DataFrame, listed: DataFrame, today: Column, position: str = "position") -> DataFrame:

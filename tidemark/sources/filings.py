@@ -16,8 +16,14 @@ def lenient_double(x: Column) -> Column:
 def cik_map(df: DataFrame, text: str = "payload") -> DataFrame:
     """(ticker, cik) out of JSON objects of records; of a repeated ticker the last entry counts."""
     entries = df.select(F.posexplode(F.map_entries(F.from_json(text, schemas.CIK_MAP))).alias("at", "e"))
-    ranked = entries.select(F.upper("e.value.ticker").alias("ticker"), F.col("e.value.cik_str").alias("cik"), F.row_number().over(Window.partitionBy(F.upper("e.value.ticker")).orderBy(F.desc("at"), F.desc("e.value.cik_str"))).alias("r"))
-    return ranked.where("r = 1").select("ticker", F.lpad(F.col("cik").cast("string"), 10, "0").alias("cik"))
+    ranked = entries.select("e.value.ticker", F.col("e.value.cik_str").alias("cik"), F.row_number().over(Window.partitionBy("e.value.ticker").orderBy(F.desc("at"), F.desc("e.value.cik_str"))).alias("r"))
+    return ranked.where("r = 1").select("ticker", "cik")
+
+
+def cik_lookup(tickers: DataFrame, ciks: DataFrame) -> DataFrame:
+    """(ticker, cik, skipped) of each ticker: those that the map lacks, or has under 0, are skipped."""
+    known = ciks.where("cik <> 0").select("ticker", "cik")
+    return tickers.select("ticker").distinct().join(known.hint("merge"), "ticker", "left").withColumn("skipped", F.col("cik").isNull())
 
 
 def form4_filings(df: DataFrame, key: str, text: str = "payload") -> DataFrame:
@@ -39,7 +45,8 @@ def primary_document(df: DataFrame, accession: str = "accession", text: str = "p
 
 
 def field(x: Column) -> Column:
-    """The text of a field; of a repeated field, Spark's parser keeps one."""
+    """The text of a field, the last if it is repeated."""
+    x = F.try_element_at(x, F.lit(-1))
     return F.nullif(F.trim(F.coalesce(x["value"], x["_VALUE"]), F.lit(" \t\r\n")), F.lit(""))
 
 
@@ -82,7 +89,8 @@ def daily_flow(filings: DataFrame, text: str = "xml") -> DataFrame:
 def flow_totals(filings: DataFrame, flow: DataFrame) -> DataFrame:
     """Per ticker: filings, days with a row, purchases."""
     n = filings.groupBy("ticker").agg(F.count("*").alias("n_filings"))
-    return n.join(flow.groupBy("ticker").agg(F.count("*").alias("n_days"), F.sum("n_buys").alias("n_buys")), "ticker", "left").na.fill(0)
+    days = flow.groupBy("ticker").agg(F.count("*").alias("n_days"), F.sum("n_buys").alias("n_buys"))
+    return n.join(days.hint("merge"), "ticker", "left").na.fill(0)
 
 
 def point_in_time(prices: DataFrame, flow: DataFrame) -> DataFrame:

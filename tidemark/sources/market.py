@@ -10,8 +10,6 @@ from tidemark.sources import schemas
 #: The symbols of the market context, and the start of history where nothing is stored.
 BASELINE_SYMBOLS = {"SPY": "spy", "^VIX": "vix", "HYG": "hyg", "^TNX": "tnx"}
 HISTORY_START = "2010-01-01"
-#: The small universe for development.
-DEV_UNIVERSE = ["AAPL", "MSFT", "NVDA", "JPM", "BAC", "XOM", "CVX", "JNJ", "UNH", "PG", "KO", "WMT", "HD", "CAT", "BA"]
 
 
 def read_universe(spark: SparkSession, path: str) -> DataFrame:
@@ -32,19 +30,18 @@ def finite(x: Column) -> Column:
 def normalise_prices(raw: DataFrame, key: str | None = None) -> DataFrame:
     """A vendor's frame with columns in any case, or named like "('Close', 'XYZ')", as date, open, high, low, close, volume.
 
-    The first of equal names counts. The date is `date` or `datetime`, taken by its wall clock; without one the result is empty.
-    Missing columns are NULL, rows without a close go, a missing volume is 0.
+    The first of equal names counts, and the last of those that differ in case only. The date is the first `date` or `datetime`, taken by its wall
+    clock; without one the result is empty. Missing columns are NULL, rows without a close go, a missing volume is 0.
     """
-    found: dict[str, str] = {}
-    for c in raw.columns:
-        plain = c.strip("()").split(",")
-        name = next((p.strip(" '\"") for p in plain if p.strip(" '\"")), c).lower()
-        found.setdefault(name, c)
-    pick = lambda n, t: F.col(f"`{found[n]}`").cast(t) if n in found else F.lit(None).cast(t)
-    stamp = next((n for n in ("date", "datetime") if n in found), None)
-    keys = [F.col(key)] if key else []
-    day = F.expr(f"try_cast(substring(cast(`{found[stamp]}` as string), 1, 10) as date)") if stamp else F.lit(None).cast("date")
-    out = raw.select(*keys, day.alias("date"), *[finite(pick(n, "double")).alias(n) for n in ("open", "high", "low", "close")], F.coalesce(finite(pick("volume", "double")), F.lit(0.0)).cast("bigint").alias("volume"))
+    plain = [next((p.strip(" '\"") for p in c.strip("()").split(",") if p.strip(" '\"")), c) for c in raw.columns]
+    places = {name: i for i, name in reversed([*enumerate(plain)])}  # by position, as Spark does not tell such names apart
+    found = {name.lower(): i for name, i in sorted(places.items(), key=lambda x: x[1])}
+    stamp = min((i for name, i in places.items() if name.lower() in ("date", "datetime")), default=None)
+    rows = raw.toDF(*[f"_{i}" for i in range(len(plain))])
+    pick = lambda n, t: F.col(f"_{found[n]}").cast(t) if n in found else F.lit(None).cast(t)
+    keys = [F.col(f"_{raw.columns.index(key)}").alias(key)] if key else []
+    day = F.substring(F.col(f"_{stamp}").cast("string"), 1, 10).try_cast("date") if stamp is not None else F.lit(None).cast("date")
+    out = rows.select(*keys, day.alias("date"), *[finite(pick(n, "double")).alias(n) for n in ("open", "high", "low", "close")], F.coalesce(finite(pick("volume", "double")), F.lit(0.0)).cast("bigint").alias("volume"))
     return out.where(F.col("close").isNotNull() & F.col("date").isNotNull())
 
 

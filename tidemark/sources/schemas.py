@@ -8,8 +8,8 @@ INSIDER_FLOW = "ticker STRING, date DATE, n_buys INT, n_sells INT, buy_value DOU
 RUN_LOG = "run_at TIMESTAMP, mode STRING, stocks_updated INT, rows_added BIGINT, errors INT, duration_sec DOUBLE, status STRING"
 SCORES = "date DATE, ticker STRING, label BYTE, fold INT, p DOUBLE"
 FOLDS = "fold INT, train_end DATE, test_start DATE, test_end DATE"
-#: One filing document: a field's text stands in a <value> child or in the field itself.
-_FIELD = "STRUCT<value: STRING, _VALUE: STRING>"
+#: One filing document: a field's text stands in a <value> child or in the field itself, and a field may be repeated.
+_FIELD = "ARRAY<STRUCT<value: STRING, _VALUE: STRING>>"
 FORM4_XML = (
     "STRUCT<nonDerivativeTable: STRUCT<nonDerivativeTransaction: ARRAY<STRUCT<"
     f"transactionCoding: STRUCT<transactionCode: {_FIELD}>, "

@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.writes import new_rows
 
 
-def append_stream(spark: SparkSession, landing: str, target: str, checkpoint: str, schema: str, keys: list[str]) -> None:
-    """Take in all files that have landed since the last call. Late rows are new keys and are appended; keys that are stored stay as they are."""
+def month_of(date: str = "date") -> Column:
+    return F.date_format(date, "yyyy-MM")
+
+
+def append_stream(spark: SparkSession, landing: str, target: str, checkpoint: str, schema: str, keys: list[str], date: str = "date") -> None:
+    """Take in all files that have landed since the last call. Late rows are new keys and are appended; keys that are stored stay as they are.
+
+    The target is partitioned by `month` of the date, which is one of the keys: a batch is compared with the months that it touches, not with the whole target.
+    """
 
     def load(batch: DataFrame, _: int) -> None:
-        stored = spark.read.schema(schema).parquet(target)
+        first, last = batch.agg(F.min(month_of(date)), F.max(month_of(date))).first()
+        if first is None:
+            return
+        stored = spark.read.schema(f"{schema}, month string").parquet(target).where(F.col("month").between(first, last))
         order = [F.col(c) for c in batch.columns if c not in keys]
-        new_rows(stored, batch, keys, order).select(*stored.columns).write.mode("append").parquet(target)
+        new_rows(stored, batch, keys, order).withColumn("month", month_of(date)).write.mode("append").partitionBy("month").parquet(target)
 
     source = spark.readStream.schema(schema).parquet(landing)
     source.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -16,17 +16,21 @@ from tidemark.sources import market as S
 from tidemark.sources.schemas import SCORES
 
 
-def walk(rng, n, start):
-    close = start * np.exp(np.cumsum(rng.normal(0, 0.01, n)))
-    return pd.DataFrame({"date": pd.bdate_range("2020-01-01", periods=n).date, "open": close, "high": close * 1.01, "low": close * 0.99, "close": close, "volume": rng.integers(1_000_000, 5_000_000, n)})
+def series_of(n, level, period, seed):
+    """Bars that swing around a slow trend, without weekends; nothing of them repeats exactly."""
+    t = np.arange(n)
+    noise = np.random.default_rng(seed).uniform(-0.004, 0.004, n)
+    close = level * (1 + 0.0003 * t + 0.06 * np.sin(2 * np.pi * t / period) + noise)
+    spread = 0.002 + 0.003 * np.abs(np.cos(t))
+    return pd.DataFrame({"date": pd.bdate_range("2019-03-04", periods=n).date, "open": close * (1 - spread / 3), "high": close * (1 + spread), "low": close * (1 - spread), "close": close, "volume": 1000 + 37 * (t * t % 911)})
 
 
 @pytest.fixture(scope="module")
 def panel(spark):
-    rng = np.random.default_rng(42)
-    frames = {"AAA": walk(rng, 400, 100), "BBB": walk(rng, 260, 50)}
+    frames = {"KIL": series_of(380, 71.5, 47, 1), "WEM": series_of(245, 18.25, 33, 2)}
     bars = pd.concat([f.assign(ticker=t) for t, f in frames.items()])[["ticker", "date", "open", "high", "low", "close", "volume"]]
-    context = pd.DataFrame({"date": frames["AAA"]["date"]} | {c: walk(rng, 400, s)["close"] for c, s in (("spy", 400), ("vix", 20), ("hyg", 80), ("tnx", 15))})
+    kinds = {"spy": (310, 61, 3), "vix": (17, 19, 4), "hyg": (77, 83, 5), "tnx": (3.4, 101, 6)}
+    context = pd.DataFrame({"date": frames["KIL"]["date"]} | {c: series_of(380, *x)["close"] for c, x in kinds.items()})
     return frames, spark.createDataFrame(bars), context, spark.createDataFrame(context)
 
 
@@ -53,7 +57,7 @@ def test_features_against_pandas(spark, panel):
 
 def test_no_look_ahead_and_one_exchange(panel):
     _, bars, _, wide = panel
-    cut = pd.Timestamp("2020-12-01").date()
+    cut = pd.Timestamp("2019-12-02").date()
     whole = X.feature_table(bars, wide).where(F.col("date") <= F.lit(cut)).toPandas().sort_values(["ticker", "date"])
     past = X.feature_table(bars.where(F.col("date") <= F.lit(cut)), wide).toPandas().sort_values(["ticker", "date"])
     assert len(past) and np.allclose(whole[X.WIDE].astype(float), past[X.WIDE].astype(float))
@@ -72,15 +76,18 @@ def test_long_exponential_means(spark):
 
 
 def test_labels(spark):
-    def labels(close):
-        df = spark.createDataFrame([("A", i, float(c)) for i, c in enumerate(close)], "ticker string, date int, close double")
-        return [r.label for r in L.triple_barrier(df, 0.03, -0.01, 3).orderBy("date").collect()]
-
-    assert labels([100, 101, 103.5, 100])[0] == 1
-    assert labels([100, 98.5, 105, 100])[0] == 0
-    assert labels([100, 100.4, 100.2, 100.5])[0] == 0
-    assert labels([100] * 10)[-4:] == [0, None, None, None]
-    assert labels([100, 101]) == [None, None]
+    """Every window of up and down steps against a plain reading of the rule."""
+    rng = np.random.default_rng(8)
+    close = np.round(40 * np.cumprod(1 + rng.choice([-0.016, -0.004, 0.002, 0.009, 0.021], 90)), 4)
+    df = spark.createDataFrame([("KIL", i, float(c)) for i, c in enumerate(close)], "ticker string, date int, close double")
+    for take, stop, hold in ((0.04, -0.02, 6), (0.012, -0.03, 4)):
+        want = []
+        for i, c in enumerate(close):
+            moves = [x / c - 1 for x in close[i + 1 : i + 1 + hold]]
+            touched = [m for m in moves if m >= take or m <= stop]
+            want.append(None if len(moves) < hold else int(bool(touched) and touched[0] >= take))
+        got = [r.label for r in L.triple_barrier(df, take, stop, hold).orderBy("date").collect()]
+        assert got == want and {0, 1, None} == set(got)
 
 
 def test_folds_purge_and_roles(spark):
@@ -130,15 +137,42 @@ def test_regimes(spark):
 
 
 def test_strategy(spark):
-    cfg = K.Config(k=3, cost=0.0)
-    trades = spark.createDataFrame([(d, f"T{i}", i / 10, i % 2) for d in (1, 2) for i in range(8 if d == 1 else 2)], "date int, ticker string, blend double, label int")
-    top = top_per_day(trades, "blend", 3).collect()
-    assert sorted((r.date, r.ticker) for r in top) == [(1, "T5"), (1, "T6"), (1, "T7"), (2, "T0"), (2, "T1")]
-    assert K.edge(spark.createDataFrame([(1,), (0,), (1,), (0,)], "label int"), cfg).first()["ev"] == pytest.approx(1.0)
-    curve = K.equity(spark.createDataFrame([(0, 1, 3, 3), (0, 2, 0, 3)], "path int, period int, wins int, trades int"), cfg).orderBy("period").collect()
-    assert [r.equity for r in curve] == pytest.approx([1090.0, 1090 * 0.97]) and curve[1].drawdown == pytest.approx(0.03)
-    good, bad = (K.path_stats(K.equity(K.draws(spark, 300, 125, p, K.Config(), 1), K.Config()), K.Config()).first() for p in (0.45, 0.10))
-    assert good.median > 1000 > bad.median and bad.ruin > 0.9 and good.p5 < good.median < good.p95
+    cfg = K.Config(k=2, risk=0.02, reward_risk=2.0, cost=0.05, capital=500.0)
+    trades = spark.createDataFrame([(7, "KIL", 0.61, 1), (7, "WEM", 0.61, 0), (7, "ROD", 0.4, 1), (9, "ROD", 0.2, 0)], "date int, ticker string, blend double, label int")
+    top = top_per_day(trades, "blend", cfg.k)
+    assert sorted((r.date, r.ticker) for r in top.collect()) == [(7, "KIL"), (7, "WEM"), (9, "ROD")]  # ties by name
+    third = 1 / 3
+    assert K.edge(top, cfg).first()["ev"] == pytest.approx(2 * third - 2 * third - 0.05)
+    curve = K.equity(K.realised(top, cfg), cfg).orderBy("period").collect()
+    first, second = 0.02 * (2.0 - 1 - 2 * 0.05), 0.02 * (-1 - 0.05)
+    assert [r.ret for r in curve] == pytest.approx([first, second])
+    assert [r.equity for r in curve] == pytest.approx([500 * (1 + first), 500 * (1 + first) * (1 + second)]) and curve[1].drawdown == pytest.approx(-second)
+    lost = K.equity(spark.createDataFrame([(0, 1, 0, 60), (0, 2, 9, 9)], "path int, period int, wins long, trades long"), cfg).orderBy("period").collect()
+    assert [r.equity for r in lost] == [0.0, 0.0]  # a loss of more than everything
+
+
+def test_report_reads_the_trades_once(spark):
+    rng = np.random.default_rng(12)
+    days = pd.date_range("2018-01-01", periods=300).date
+    rows = [(d, f"T{i}", float(rng.random()), int(rng.random() < 0.4)) for d in days for i in range(7)]
+    scored = spark.createDataFrame(rows, "date date, ticker string, blend double, label int")
+    prices = spark.createDataFrame([(days[0], 10.0), (days[-1], 12.0)], "date date, close double")
+    cfg = K.Config()
+    trades = top_per_day(scored, "blend", cfg.k)
+    got = K.report(scored, prices, str(days[0]), str(days[-1]), cfg)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window") <= 2 * 6  # one choice and one path; a plan's text names each node up to twice
+    r = got.first().asDict()
+    for part in (K.edge(trades, cfg), K.span(trades), K.path_stats(K.equity(K.realised(trades, cfg), cfg), cfg), K.growth(prices, str(days[0]), str(days[-1]))):
+        for k, v in part.first().asDict().items():
+            assert r[k] == (pytest.approx(v) if isinstance(v, float) else v), k
+
+
+def test_resampled_paths(spark):
+    days = spark.createDataFrame([(i, i % 4, 5) for i in range(50)], "period int, wins long, trades long")
+    drawn = K.resampled(days, 30, 3).toPandas()
+    assert len(drawn) == 30 * 50 and drawn.groupby("path").period.nunique().eq(50).all() and set(drawn.wins) == {0, 1, 2, 3}
+    assert drawn.sort_values(["path", "period"]).equals(K.resampled(days.repartition(3), 30, 3).toPandas().sort_values(["path", "period"]).set_axis(drawn.sort_values(["path", "period"]).index))
 
 
 def test_writes(spark):
@@ -156,6 +190,9 @@ def test_vendor_frames(spark):
     rows = S.normalise_prices(raw).collect()
     assert [(str(r.date), r.close, r.volume, r.open) for r in rows] == [("2024-01-02", 1.0, 0, None)]
     assert S.normalise_prices(raw.select("volume")).count() == 0
+    twice = spark.createDataFrame([("2024-01-02", 1.0, 2.0, 3.0, 4)], "date string, a double, b double, c double, volume int").toDF("Date", "Close", "Close", "close", "volume")
+    assert [r.close for r in S.normalise_prices(twice).collect()] == [3.0]  # the first of equal names, the last of other case
+    assert [r.close for r in S.normalise_prices(twice.select("*").toDF("Date", "close", "Close", "Close", "volume")).collect()] == [2.0]
 
 
 def test_filings(spark):
@@ -165,6 +202,9 @@ def test_filings(spark):
     df = spark.createDataFrame([("A", "2024-01-02", xml), ("A", "2024-01-02", None), ("B", "2024-01-03", "<ownershipDocument/>"), ("C", "2024-01-04", "<broken")], "ticker string, d string, xml string").withColumn("filing_date", F.to_date("d"))
     rows = I.form4_transactions(df, ["ticker"]).collect()
     assert {(r.code, r.ad, r.shares, r.price) for r in rows} == {("P", "A", 1000.0, 50.5), ("S", "D", 200.0, 60.0)}
+    repeated = f"<ownershipDocument><nonDerivativeTable>{t(code('P') + code('S'), '<value>7</value><value>8</value>', '5', 'A')}</nonDerivativeTable></ownershipDocument>"
+    again = I.form4_transactions(spark.createDataFrame([("A", repeated)], "ticker string, xml string"), ["ticker"]).collect()
+    assert [r.code for r in again] == ["S"]  # the last of a repeated field
     flow = {r.ticker: r for r in I.daily_flow(df).collect()}
     assert (flow["A"].n_buys, flow["A"].sell_value, flow["B"].n_buys, flow["B"].buy_value) == (1, 12000.0, 0, 0.0)
     assert "C" in {r.ticker for r in I.malformed(df, ["ticker"]).collect()}
@@ -172,13 +212,47 @@ def test_filings(spark):
     assert [r.v for r in got] == [0.0, 12.5, 0.0, 0.0] and not math.isnan(got[0].v)
 
 
+def test_cik_lookup(spark):
+    payload = '{"0": {"cik_str": 5, "ticker": "KIL", "title": "a"}, "1": {"cik_str": 0, "ticker": "ROD", "title": "b"}, "2": {"cik_str": 9, "ticker": "KIL", "title": "c"}, "3": {"cik_str": 7, "ticker": "wem", "title": "d"}}'
+    ciks = I.cik_map(spark.createDataFrame([(payload,)], "payload string"))
+    assert {(r.ticker, r.cik) for r in ciks.collect()} == {("KIL", 9), ("ROD", 0), ("wem", 7)}
+    got = I.cik_lookup(spark.createDataFrame([("KIL",), ("WEM",), ("ROD",), ("KIL",)], "ticker string"), ciks)
+    assert {(r.ticker, r.cik, r.skipped) for r in got.collect()} == {("KIL", 9, False), ("WEM", None, True), ("ROD", None, True)}
+
+
+def test_stream_compares_with_the_months_it_touches(spark, tmp_path):
+    from tidemark.streaming.append import append_stream
+
+    schema = "ticker string, date date, close double"
+    row = lambda day, x: (pd.Timestamp(day).date(), x)
+    first, second = [row("2020-01-30", 1.0), row("2020-02-03", 2.0)], [row("2020-02-03", 9.0), row("2020-02-04", 3.0), row("2019-12-31", 4.0)]
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/target")
+    for rows in (first, second, second):
+        spark.createDataFrame([("KIL", *r) for r in rows], schema).write.mode("append").parquet(f"{tmp_path}/landing")
+        append_stream(spark, f"{tmp_path}/landing", f"{tmp_path}/target", f"{tmp_path}/offsets", schema, ["ticker", "date"])
+    got = spark.read.schema(f"{schema}, month string").parquet(f"{tmp_path}/target").collect()
+    assert sorted((str(r.date), r.close, r.month) for r in got) == [("2019-12-31", 4.0, "2019-12"), ("2020-01-30", 1.0, "2020-01"), ("2020-02-03", 2.0, "2020-02"), ("2020-02-04", 3.0, "2020-02")]
+
+
+def test_sweep_cuts_are_exact_quantiles(spark):
+    rng = np.random.default_rng(6)
+    blends = np.concatenate([rng.random(700), np.full(300, 0.5), rng.normal(0.5, 0.001, 400), [-0.2, 1.3]])
+    df = pd.DataFrame({"blend": blends, "label": rng.integers(0, 2, len(blends)), "regime": rng.choice(["bull", "bear", "warmup"], len(blends))})
+    got = {(r.scope, r.top_pct): r for r in E.sweep(spark.createDataFrame(df).repartition(5)).collect()}
+    for scope, part in (("ALL", df), ("bull", df[df.regime == "bull"]), ("bear", df[df.regime == "bear"])):
+        for p in (100, 50, 25, 10, 5):
+            own = part[part.blend >= np.quantile(part.blend, 1 - p / 100)]
+            assert got[scope, p].trades == len(own) and got[scope, p].win_rate == pytest.approx(own.label.mean())
+    assert len(got) == 15
+
+
 def test_score_files_and_universe(spark, tmp_path):
     df = spark.createDataFrame([("2024-01-02", "AAPL", 1, 3, 0.25), ("2024-01-03", "ZZZ", 0, 3, 0.5)], "d string, ticker string, label int, fold int, p double")
     df = df.select(F.to_date("d").alias("date"), "ticker", F.col("label").cast("byte").alias("label"), "fold", "p")
     for csv in (True, False):
         W.write_scores(df, f"{tmp_path}/{csv}", csv)
         assert sorted(W.read_scores(spark, f"{tmp_path}/{csv}", SCORES, csv).collect()) == sorted(df.collect())
-    assert S.restricted(df, S.DEV_UNIVERSE).count() == S.restricted(df, spark.createDataFrame([("AAPL",)], "ticker string")).count() == 1
+    assert S.restricted(df, ["AAPL", "MSFT"]).count() == S.restricted(df, spark.createDataFrame([("AAPL",)], "ticker string")).count() == 1
     assert [r.close for r in S.stock(spark.createDataFrame([("A", 2, 1.0, 1.0, 1.0, 7.0, 1), ("A", 1, 1.0, 1.0, 1.0, 6.0, 1), ("B", 1, 1.0, 1.0, 1.0, 5.0, 1)], "ticker string, date int, open double, high double, low double, close double, volume long"), "A").collect()] == [6.0, 7.0]
 
 

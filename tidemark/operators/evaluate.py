@@ -64,14 +64,31 @@ def value_at(p: Column, payoff: float = PAYOFF) -> Column:
 
 
 def sweep(df: DataFrame, percents: list[int] | None = None, payoff: float = PAYOFF) -> DataFrame:
-    """For all rows and for each of the regimes: trades with a blend in the top percents, their win rate and expected value. Ties at the cut are in."""
+    """For all rows and for each of the regimes: trades with a blend in the top percents, their win rate and expected value. Ties at the cut are in.
+
+    Cuts are exact quantiles, interpolated between two ranks. Rows are counted by blend, blends dealt into 1,024 ranges, and each range's
+    window starts from the totals of the ranges before it, so that no task sees all blends of a scope.
+    """
     percents = percents or TOP_PERCENTS
     scopes = F.array(F.lit("ALL"), F.when(F.col("regime").isin("bull", "sideways", "bear"), F.col("regime")))
-    rows = df.select(F.explode(F.array_compact(scopes)).alias("scope"), "blend", "label")
-    cuts = rows.groupBy("scope").agg(F.percentile("blend", F.array(*[F.lit(1 - p / 100) for p in percents])).alias("c"))
-    cuts = cuts.select("scope", F.posexplode("c").alias("at", "cut")).withColumn("top_pct", F.get(F.array(*[F.lit(p) for p in percents]), F.col("at")))
-    kept = rows.join(F.broadcast(cuts), "scope").where("blend >= cut")  # four scopes times the percents
-    out = kept.groupBy("scope", "top_pct").agg(F.count("*").alias("trades"), F.avg(F.col("label").cast("double")).alias("win_rate"))
+    rows = df.select(F.explode(F.array_compact(scopes)).alias("scope"), "blend", "label").groupBy("scope", "blend").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("won"))
+    rows = rows.withColumn("_r", F.floor(F.least(F.greatest("blend", F.lit(0.0)), F.lit(1.0)) * 1024))
+    before = Window.partitionBy("scope").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("scope", "_r").agg(F.sum("n").alias("_t")).select("scope", "_r", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_base"), F.sum("_t").over(Window.partitionBy("scope")).alias("_all"))
+    upto = F.col("_base") + F.sum("n").over(Window.partitionBy("scope", "_r").orderBy("blend"))
+    ranked = rows.join(F.broadcast(ranges), ["scope", "_r"]).withColumn("_upto", upto)  # at most 1,025 ranges in each of four scopes
+
+    def value_of(rank: Column) -> Column:
+        return F.max(F.when((F.col("_upto") - F.col("n") <= rank) & (rank < F.col("_upto")), F.col("blend")))
+
+    cuts = []
+    for p in percents:
+        at = (F.col("_all") - 1) * (1 - p / 100)
+        low, high, part = value_of(F.floor(at)), value_of(F.ceil(at)), F.max(at - F.floor(at))
+        cuts.append(F.struct(F.lit(p).alias("top_pct"), (low + (high - low) * part).alias("cut")))
+    found = ranked.groupBy("scope").agg(F.array(*cuts).alias("c")).select("scope", F.inline("c"))
+    kept = rows.join(F.broadcast(found), "scope").where("blend >= cut")  # four scopes times the percents
+    out = kept.groupBy("scope", "top_pct").agg(F.sum("n").alias("trades"), (F.sum("won") / F.sum("n")).alias("win_rate"))
     return out.withColumn("ev", value_at(F.col("win_rate"), payoff))
 
 

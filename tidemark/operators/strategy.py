@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import top_per_day
@@ -40,18 +40,20 @@ def growth(prices: DataFrame, start: str, end: str) -> DataFrame:
     return rows.agg((F.pow(ratio, 365.25 / F.datediff(b, a)) - 1).alias("cagr"))
 
 
-def draws(spark: SparkSession, n_paths: int, n_periods: int, p: float, cfg: Config, seed: int) -> DataFrame:
-    """(path, period, wins) of simulated trades: uniform numbers are hashes of their place, so any partitioning gives the same."""
-    u = F.xxhash64(F.lit(seed), "path", "period", "slot").bitwiseAND(F.lit(2**53 - 1)) / float(2**53)
-    slots = spark.range(n_paths).select(F.col("id").alias("path"), F.explode(F.sequence(F.lit(1), F.lit(n_periods))).alias("period")).select("*", F.explode(F.sequence(F.lit(1), F.lit(cfg.k))).alias("slot"))
-    return slots.groupBy("path", "period").agg(F.count_if(u < p).alias("wins")).withColumn("trades", F.lit(cfg.k).cast("bigint"))
-
-
 def realised(trades: DataFrame, cfg: Config) -> DataFrame:
     """Chosen trades as one path with a period per day."""
     return trades.groupBy("date").agg(F.count_if(F.col("label") == 1).alias("wins"), F.count("*").alias("trades")).withColumn("path", F.lit(0)).withColumnRenamed("date", "period")
 
 
+def resampled(days: DataFrame, n_paths: int, seed: int) -> DataFrame:
+    """Paths of as many periods as there are days, each with the wins and trades of a day drawn with replacement. days: one path with a row per day, so it is bounded by the
+    calendar. The draws are hashes of their place, so any partitioning gives the same."""
+    numbered = days.select(F.row_number().over(Window.orderBy("period")).alias("day"), "wins", "trades", F.count("*").over(Window.partitionBy()).alias("_n"))
+    grid = numbered.select(F.col("day").alias("period"), "_n", F.explode(F.sequence(F.lit(1), F.lit(n_paths))).alias("path"))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("path").cast("string"), F.col("period").cast("string"))), 1, 8), 16, 10).cast("bigint") % F.col("_n") + 1
+    return grid.withColumn("day", drawn.cast("int")).join(F.broadcast(numbered.drop("_n")), "day").select("path", "period", "wins", "trades")
+
+
 def equity(paths: DataFrame, cfg: Config) -> DataFrame:
     """(path, period, wins, trades) -> adds ret, equity, peak, drawdown. The peak starts at the capital."""
     w = Window.partitionBy("path").orderBy("period")
@@ -65,20 +67,28 @@ def equity(paths: DataFrame, cfg: Config) -> DataFrame:
     return out.withColumn("drawdown", 1 - F.col("equity") / F.col("peak"))
 
 
+def path_ends(curve: DataFrame, cfg: Config) -> DataFrame:
+    """Per path: final equity, largest drawdown, whether it fell under half the capital, and its trades, wins, first and last period."""
+    fell = F.max((F.col("equity") < cfg.capital / 2).cast("int"))
+    return curve.groupBy("path").agg(F.max_by("equity", "period").alias("final"), F.max("drawdown").alias("worst"), fell.alias("ruined"), F.sum("trades").alias("trades"), F.sum("wins").alias("wins"), F.min("period").alias("first"), F.max("period").alias("last"))
+
+
+def _stats() -> list[Column]:
+    q = F.percentile("final", F.array(*[F.lit(x) for x in (0.05, 0.5, 0.95)]))
+    return [F.count("*").alias("paths"), F.get(q, F.lit(1)).alias("median"), F.get(q, F.lit(0)).alias("p5"), F.get(q, F.lit(2)).alias("p95"), F.avg(F.col("ruined").cast("double")).alias("ruin"), F.percentile("worst", F.lit(0.5)).alias("median_drawdown")]
+
+
 def path_stats(curve: DataFrame, cfg: Config) -> DataFrame:
     """One row: median and 5 / 95 % quantiles of the final equity, share of paths that fell under half the capital, median of the largest drawdowns."""
-    ends = curve.groupBy("path").agg(F.max_by("equity", "period").alias("final"), F.max("drawdown").alias("worst"), F.max((F.col("equity") < cfg.capital / 2).cast("int")).alias("ruined"))
-    q = F.percentile("final", F.array(*[F.lit(x) for x in (0.05, 0.5, 0.95)]))
-    return ends.agg(F.count("*").alias("paths"), F.get(q, F.lit(1)).alias("median"), F.get(q, F.lit(0)).alias("p5"), F.get(q, F.lit(2)).alias("p95"), F.avg(F.col("ruined").cast("double")).alias("ruin"), F.percentile("worst", F.lit(0.5)).alias("median_drawdown"))
+    return path_ends(curve, cfg).agg(*_stats())
 
 
 def report(scored: DataFrame, benchmark: DataFrame, start: str, end: str, cfg: Config, years: int = 5) -> DataFrame:
-    """One row: edge and span of the chosen trades, statistics of their realised path, and the benchmark's growth over the years."""
-    trades = top_per_day(scored, "blend", cfg.k)
+    """One row: edge and span of the chosen trades, statistics of their realised path, and the benchmark's growth over the years. The trades are read once: all
+    but the benchmark comes out of their path."""
+    ends = path_ends(equity(realised(top_per_day(scored, "blend", cfg.k), cfg), cfg), cfg)
+    p, n = F.sum("wins") / F.sum("trades"), F.sum("trades")
+    span_years = F.datediff(F.max("last"), F.min("first")) / 365.25
+    found = ends.agg(n.alias("trades"), p.alias("win_rate"), (p * cfg.reward_risk - (1 - p) - cfg.cost).alias("ev"), F.min("first").alias("first_date"), F.max("last").alias("last_date"), span_years.alias("years"), F.try_divide(n.cast("double"), span_years).alias("trades_per_year"), *_stats())
     gain = growth(benchmark, start, end).withColumn("benchmark_gain", F.pow(1 + F.col("cagr"), years))
-    curve = equity(realised(trades, cfg), cfg)
-    parts = [edge(trades, cfg), span(trades), gain, path_stats(curve, cfg)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.crossJoin(p)  # one row each
-    return out
+    return found.crossJoin(F.broadcast(gain))  # one row each

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import sequences, top_per_day
@@ -14,11 +12,13 @@ from tidemark.operators import evaluate as E
 from tidemark.operators import learn as M
 from tidemark.operators import strategy as K
 from tidemark.operators import writes as W
+from tidemark.operators.scratch import materialise, new_path
 from tidemark.plans import features as X
 from tidemark.plans import labels as L
 from tidemark.sources import adapters as A
 from tidemark.sources import filings as I
 from tidemark.sources import market as S
+from tidemark.sources.schemas import SCORES
 from tidemark.streaming.append import append_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,12 +98,13 @@ curve1 AS (SELECT *, (wins * 3.0 * 0.01 - (trades - wins) * 0.01 - trades * 0.00
 curve2 AS (SELECT *, 1000.0 * exp(sum(ln(1 + ret)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)) AS equity FROM curve1),
 curve AS (SELECT *, greatest(max(equity) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING), 1000.0) AS peak FROM curve2)"""
 CFG = K.Config()
+SCORES_BASE = "date date, ticker string, label byte, fold int"
 
 
-def shift(digits: int) -> float:
-    """Added before rounding, in queries and SQL alike: the data's exact halves leave the border between two roundings."""
-    return float(f"3e-{digits + 4}")
-
+#: Columns that come out of the same few exact operations in any engine, so they are given as they are.
+EXACT = {*X.RETURNS, "SPY_Return", "Relative_Strength", "VIX_Level", "VIX_Change", "HYG_Return", "TNX_Change", "close", "p1", "p2"}
+#: Decimals of the others, which hold sums of floats: more for small numbers; 6 for those not named.
+DIGITS = dict.fromkeys([*X.VOLATILITY, *X.DISTANCES, *X.EXPONENTIAL, "BB_Width", "VWAP_Dist"], 8)
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -116,13 +117,13 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles to some digits, as sums of floats differ in their last bits between engines."""
-    return df.select(*[(F.round(F.col(f"`{c}`") + shift(digits), digits) + 0.0).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+def rounded(df: DataFrame, digits: int | None = None) -> DataFrame:
+    """Doubles that are not exact to some decimals, as sums of floats differ in their last bits between engines."""
+    return df.select(*[(F.round(f"`{c}`", digits or DIGITS.get(c, 6)) + 0.0).alias(c) if t == "double" and c not in EXACT else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
-def _r(*columns: str, digits: int = 6) -> str:
-    return ", ".join(f'round("{c}" + {shift(digits)}, {digits}) + 0.0 AS "{c}"' for c in columns)
+def _r(*columns: str, digits: int | None = None) -> str:
+    return ", ".join(f'"{c}"' if c in EXACT else f'round("{c}", {digits or DIGITS.get(c, 6)}) + 0.0 AS "{c}"' for c in columns)
 
 
 def context(spark: SparkSession, d: str) -> DataFrame:
@@ -152,25 +153,28 @@ def scores(spark: SparkSession, d: str) -> DataFrame:
     return assigned(spark, d).where("role = 'test'").select("date", "ticker", "label", "fold", "p1", "p2", "close")
 
 
+def score_files(spark: SparkSession, d: str, name: str = "scores") -> tuple[DataFrame, DataFrame]:
+    """The two models' score files, written once: every query on both reads these instead of computing features twice."""
+    path = new_path(spark, name)
+    W.write_scores(scores(spark, d), path)
+    both = W.read_scores(spark, path, f"{SCORES_BASE}, p1 double, p2 double, close double")
+    return both.drop("p2"), both.select("date", "ticker", "p2")
+
+
+def metric_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The folds' rows and the scores among them, from one table."""
+    rows = materialise(assigned(spark, d).select("date", "ticker", "label", "fold", "role", "p1"), "assigned")
+    return rows, rows.where("role = 'test'")
+
+
 def blended(spark: SparkSession, d: str) -> DataFrame:
-    s = scores(spark, d)
-    return E.blended(s.drop("p2"), s.select("date", "ticker", "p2"), L.regimes(context(spark, d)))
+    return E.blended(*score_files(spark, d), L.regimes(context(spark, d)))
 
 
 def chosen(spark: SparkSession, d: str) -> DataFrame:
     return top_per_day(blended(spark, d), "blend", CFG.k)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/tidemark-{uuid.uuid4().hex}"
-
-
 # ---- sources -------------------------------------------------------------------------------------------------------
 
 
@@ -188,7 +192,7 @@ def baseline_pivot(spark, d):
 def universe_normalise(spark, d):
     raw = A.read(spark, d, "part").select(F.replace("p_brand", F.lit("#"), F.lit(".")).alias("Symbol"), "p_name", "p_type")
     listed = S.normalise_universe(raw, "Symbol", "p_name", "p_type")
-    path = shared_dir(spark)
+    path = new_path(spark, "tables")
     listed.write.option("header", True).csv(path)
     return S.read_universe(spark, path)
 
@@ -197,20 +201,29 @@ def universe_normalise(spark, d):
 def vendor_normalise(spark, d):
     o = A.read(spark, d, "orders")
     raw = o.select(
-        F.col("o_orderkey").alias("key"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ssXXX").alias("('Datetime', '')"), F.col("o_totalprice").alias("('High', 'XYZ')"),
-        F.when(F.col("o_orderstatus") == "P", float("nan")).otherwise(F.col("o_totalprice") / 2).alias("CLOSE"), F.col("o_totalprice").alias("('Close', 'XYZ')"), F.when(F.col("o_orderstatus") != "O", F.col("o_custkey")).alias("volume"),
+        F.col("o_orderkey").alias("key"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ssXXX").alias("('Datetime', '')"), F.col("o_totalprice").alias("('High', 'XYZ')"), F.col("o_totalprice").alias("close"),
+        F.when(F.col("o_orderstatus") == "P", float("nan")).otherwise(F.col("o_totalprice") / 2).alias("('Close', 'XYZ')"), F.col("o_totalprice").alias("Close"), F.when(F.col("o_orderstatus") != "O", F.col("o_custkey")).alias("volume"),
     )
     return S.normalise_prices(raw, "key")
 
 
-@query("SELECT 'C' || c_custkey AS ticker, lpad(CAST(max(c_custkey * 7 + 1) AS VARCHAR), 10, '0') AS cik FROM customer GROUP BY c_custkey")
+@query("SELECT 'C' || c_custkey AS ticker, CAST(max(c_custkey * 7 + 1) AS BIGINT) AS cik FROM customer GROUP BY c_custkey")
 def cik_map(spark, d):
     c = A.read(spark, d, "customer").withColumn("g", F.expr("c_custkey div 1000"))  # payloads stay small, their number grows; both entries of a ticker share one
-    entry = lambda i: F.struct((F.col("c_custkey") * 2 + i).cast("string").alias("k"), F.struct((F.col("c_custkey") * 7 + i).alias("cik_str"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("ticker"), F.col("c_name").alias("title")).alias("v"))
+    entry = lambda i: F.struct((F.col("c_custkey") * 2 + i).cast("string").alias("k"), F.struct((F.col("c_custkey") * 7 + i).alias("cik_str"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("ticker"), F.col("c_name").alias("title")).alias("v"))
     entries = F.array_sort(F.flatten(F.collect_list(F.array(entry(0), entry(1)))), lambda a, b: F.when(a["v"]["cik_str"] < b["v"]["cik_str"], -1).when(a["v"]["cik_str"] > b["v"]["cik_str"], 1).otherwise(0))
     return I.cik_map(c.groupBy("g").agg(F.to_json(F.map_from_entries(entries)).alias("payload")))
 
 
+@query("""WITH t AS (SELECT 'C' || o_custkey AS ticker FROM orders UNION SELECT 'S' || s_suppkey FROM supplier)
+SELECT ticker, CAST(c_custkey * 7 + 1 AS BIGINT) AS cik, c_custkey IS NULL AS skipped FROM t LEFT JOIN (SELECT DISTINCT c_custkey FROM customer) ON ticker = 'C' || c_custkey""")
+def cik_lookup(spark, d):
+    """Customers with orders have an entry, suppliers none."""
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string")).alias("ticker")
+    tickers = A.read(spark, d, "orders").select(name("C", "o_custkey")).union(A.read(spark, d, "supplier").select(name("S", "s_suppkey")))
+    return I.cik_lookup(tickers, cik_map(spark, d))
+
+
 def filing_payloads(spark, d):
     f = A.filings(spark, d)
     part = lambda c: F.transform("rows", lambda x: x[c])
@@ -303,7 +316,11 @@ def incremental_load(spark, d):
     return report
 
 
-@query()
+_LOADED = SQL["incremental_load"]
+
+
+@query(f"""SELECT TIMESTAMP '2001-01-01 06:00:00' AS run_at, 'incremental' AS mode, CAST(count(*) FILTER (NOT failed) AS INTEGER) AS stocks_updated, sum(rows_added)::BIGINT AS rows_added,
+  CAST(count(*) FILTER (failed) AS INTEGER) AS errors, 61.3::DOUBLE AS duration_sec, CASE WHEN bool_or(failed) THEN 'partial' ELSE 'ok' END AS status FROM ({_LOADED})""")
 def run_log(spark, d):
     return W.run_log_row(incremental_load(spark, d), "incremental", "2001-01-01 06:00:00", 61.26)
 
@@ -332,14 +349,14 @@ def ready_prices(spark, d):
 
 @query(f"WITH {BARS} SELECT count(*) AS n, min(date) AS first_date, max(date) AS last_date FROM bars")
 def stream_append(spark, d):
-    base = shared_dir(spark)
+    base = new_path(spark, "stream")
     bars = A.bars(spark, d)
     schema = "ticker string, date date, open double, high double, low double, close double, volume bigint"
     bars.limit(0).write.parquet(f"{base}/target")
     for part in (f"date < date'{SPLIT}'", f"date >= date'{OVERLAP}'"):  # the second delivery repeats some days
         bars.where(part).write.mode("append").parquet(f"{base}/landing")
         append_stream(spark, f"{base}/landing", f"{base}/target", f"{base}/offsets", schema, ["ticker", "date"])
-    return spark.read.schema(schema).parquet(f"{base}/target").agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    return spark.read.schema(f"{schema}, month string").parquet(f"{base}/target").agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
 # ---- insider flow --------------------------------------------------------------------------------------------------
@@ -392,6 +409,11 @@ def feature_table(spark, d):
     return rounded(feature_rows(spark, d).select("ticker", "date", "close", *X.WIDE))
 
 
+@query(f"WITH {BARS} SELECT date, open, high, low, close, volume FROM bars WHERE ticker = 'Brand#23'")
+def stock_prices(spark, d):
+    return S.stock(A.bars(spark, d), "Brand#23")
+
+
 @query(f"WITH {FULL} SELECT ticker, date, {_WIDE} FROM feat WHERE ticker = 'Brand#23'")
 def feature_table_one(spark, d):
     return rounded(X.feature_table(A.bars(spark, d), context(spark, d), ticker="Brand#23").select("ticker", "date", *X.WIDE))
@@ -444,12 +466,12 @@ _METRICS = f"metrics AS (SELECT fold, count(*) FILTER (role = 'train') AS train_
 
 @query(f"WITH {FULL}, {_METRICS} SELECT fold, train_rows, test_rows, {_r('win_rate', 'auc')} FROM metrics")
 def fold_metrics(spark, d):
-    return rounded(E.fold_metrics(assigned(spark, d), scores(spark, d), "p1"))
+    return rounded(E.fold_metrics(*metric_inputs(spark, d), "p1"))
 
 
 @query(f"WITH {FULL}, {_METRICS} SELECT round(avg(round(auc, 4)), 6) AS auc_mean, round(stddev_samp(round(auc, 4)), 6) AS auc_sd FROM metrics")
 def auc_spread(spark, d):
-    return rounded(E.auc_spread(E.fold_metrics(assigned(spark, d), scores(spark, d), "p1")))
+    return rounded(E.auc_spread(E.fold_metrics(*metric_inputs(spark, d), "p1")))
 
 
 @query(f"WITH {FULL} SELECT fold, " + ", ".join(f'round(min("{c}"), 6) + 0.0 AS "{c}_min", round(max("{c}"), 6) + 0.0 AS "{c}_max"' for c in X.LEAN) + " FROM assigned WHERE role = 'train' GROUP BY fold")
@@ -460,11 +482,14 @@ def scaler_stats(spark, d):
 _STATS = "stats AS (SELECT fold, " + ", ".join(f'min("{c}") AS "{c}_min", max("{c}") AS "{c}_max"' for c in X.LEAN) + " FROM assigned WHERE role = 'train' GROUP BY fold)"
 
 
-@query(f"WITH {FULL}, {_STATS} SELECT fold, role, ticker, date, " + ", ".join(f'round(("{c}" - "{c}_min") / (CASE WHEN "{c}_max" = "{c}_min" THEN 1 ELSE "{c}_max" - "{c}_min" END) + {shift(5)}, 5) + 0.0 AS "{c}"' for c in X.LEAN) + " FROM assigned JOIN stats USING (fold) WHERE role = 'test'")
+_UNIT = {c: f'("{c}" - "{c}_min") / (CASE WHEN "{c}_max" = "{c}_min" THEN 1 ELSE "{c}_max" - "{c}_min" END)' for c in X.LEAN}
+
+
+@query(f"WITH {FULL}, {_STATS}, u AS (SELECT fold, role, ticker, date, " + ", ".join(f'{e} AS "{c}"' for c, e in _UNIT.items()) + " FROM assigned JOIN stats USING (fold) WHERE role = 'test') SELECT fold, role, ticker, date, " + _r(*X.LEAN, digits=6) + " FROM u")
 def scaled_rows(spark, d):
-    rows = assigned(spark, d)
+    rows = materialise(assigned(spark, d).select("fold", "role", "ticker", "date", *X.LEAN), "assigned")
     out = E.scaled(rows.where("role = 'test'").select("fold", "role", "ticker", "date", *X.LEAN), E.scaler_stats(rows, X.LEAN), X.LEAN)
-    return rounded(out, 5)
+    return rounded(out, 6)
 
 
 @query(f"WITH {FULL} SELECT fold, round(count(*) FILTER (label = 0) / greatest(count(*) FILTER (label = 1), 1), 6) AS positive_weight FROM assigned WHERE role = 'train' GROUP BY fold")
@@ -473,12 +498,15 @@ def class_balance(spark, d):
 
 
 @query(f"""WITH {FULL}, n AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS seq, count(*) OVER (PARTITION BY ticker) AS n FROM pool)
-SELECT b.ticker, b.date, CAST(60 AS INTEGER) AS length, round(sum(a."Daily_Return"::FLOAT) + {shift(4)}, 4) + 0.0 AS return_sum, round(any_value(b."Vol_Surge"::FLOAT) + {shift(4)}, 4) AS last_surge FROM n b JOIN n a ON a.ticker = b.ticker AND a.seq BETWEEN b.seq - 59 AND b.seq WHERE b.seq >= 60 AND b.n > 60 GROUP BY b.ticker, b.date""", name="sequences")
+SELECT b.ticker, b.date, CAST(60 AS INTEGER) AS length, """ + ", ".join(f'round(sum(a."{c}"::FLOAT::DOUBLE * (a.seq - b.seq + 60)), 3) + 0.0 AS "{c}"' for c in X.LEAN) + """ FROM n b JOIN n a ON a.ticker = b.ticker AND a.seq BETWEEN b.seq - 59 AND b.seq WHERE b.seq >= 60 AND b.n > 60 GROUP BY b.ticker, b.date""", name="sequences")
 def sequence_windows(spark, d):
+    """Each feature's values weighted by their place, so that every one of the 60 x 8 counts."""
     out = sequences(pool(spark, d), X.LEAN, 60)
-    total = F.aggregate("sequence", F.lit(0.0), lambda a, x: a + F.get(x, F.lit(0)))
-    last = F.get(F.element_at("sequence", -1), F.lit(X.LEAN.index("Vol_Surge")))
-    return rounded(out.select("ticker", "date", F.size("sequence").alias("length"), total.alias("return_sum"), last.cast("double").alias("last_surge")), 4)
+
+    def weighted(k: int) -> Column:
+        return F.aggregate(F.transform("sequence", lambda row, i: F.get(row, F.lit(k)).cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+
+    return out.select("ticker", "date", F.size("sequence").alias("length"), *[(F.round(weighted(k), 3) + 0.0).alias(c) for k, c in enumerate(X.LEAN)])
 
 
 @query(f"WITH {FULL}, c AS (SELECT quantile_cont(date_diff('day', DATE '1970-01-01', date)::DOUBLE, 0.85) AS cut FROM pool) SELECT CASE WHEN date_diff('day', DATE '1970-01-01', date) <= cut THEN 'train' ELSE 'validation' END AS part, count(*) AS n, min(date) AS first_date, max(date) AS last_date FROM pool, c GROUP BY 1")
@@ -499,10 +527,23 @@ def agreement_gate(spark, d):
     return scores(spark, d).select("date", "ticker", E.agreement(F.col("p1"), F.col("p2"), 0.55).alias("gate"))
 
 
-@query(f"WITH {FULL} SELECT date, ticker, label, fold, {_r('p1', 'p2')}, round(0.5 * p1 + 0.5 * p2 + {shift(6)}, 6) AS blend FROM scores")
+@query(f"WITH {FULL} SELECT kind, date, ticker, label, fold, p1 AS p FROM scores, (SELECT unnest(['csv', 'parquet']) AS kind)")
+def stored_scores(spark, d):
+    """Score files of both kinds, as read back."""
+    out, own = None, scores(spark, d).select("date", "ticker", "label", "fold", F.col("p1").alias("p"))
+    for kind in ("parquet", "csv"):
+        path = new_path(spark, kind)
+        W.write_scores(own, path, kind == "csv")
+        own = W.read_scores(spark, path, SCORES, kind == "csv")
+        found = own.withColumn("kind", F.lit(kind))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query(f"WITH {FULL} SELECT date, ticker, label, fold, {_r('p1', 'p2')}, round(0.5 * p1 + 0.5 * p2, 6) AS blend FROM scores")
 def blend(spark, d):
-    s = scores(spark, d).drop("close")
-    return rounded(E.blended(s.drop("p2"), s.select("date", "ticker", "p2")))
+    first, second = score_files(spark, d)
+    return rounded(E.blended(first.drop("close"), second))
 
 
 @query(f"WITH {FULL} SELECT * FROM regimes")
@@ -553,30 +594,35 @@ def benchmark_cagr(spark, d):
     return rounded(K.growth(S.baseline(A.baselines(spark, d), "SPY"), "1996-01-01", "2000-12-31"))
 
 
-@query(f"WITH {FULL}, {CURVE} SELECT date AS period, wins, trades, round(ret, 6) + 0.0 AS ret, round(equity, 4) AS equity, round(peak, 4) AS peak, round(1 - equity / peak, 6) + 0.0 AS drawdown FROM curve")
+@query(f"WITH {FULL}, {CURVE} SELECT date AS period, wins, trades, round(ret, 6) + 0.0 AS ret, round(equity, 2) AS equity, round(peak, 2) AS peak, round(1 - equity / peak, 6) + 0.0 AS drawdown FROM curve")
 def realised_equity(spark, d):
     out = K.equity(K.realised(chosen(spark, d), CFG), CFG)
-    return out.select("period", "wins", "trades", *[(F.round(c, n) + 0.0).alias(c) for c, n in (("ret", 6), ("equity", 4), ("peak", 4), ("drawdown", 6))])
+    return out.select("period", "wins", "trades", *[(F.round(c, n) + 0.0).alias(c) for c, n in (("ret", 6), ("equity", 2), ("peak", 2), ("drawdown", 6))])
 
 
-_PATHS = """rows_ AS (SELECT l_suppkey AS path, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS period, CAST(l_linenumber % 6 AS BIGINT) AS wins FROM lineitem),
-e0 AS (SELECT *, (wins * 3.0 * 0.01 - (5 - wins) * 0.01 - 5 * 0.001 * 0.01)::DOUBLE AS ret FROM rows_ WHERE period <= 125), e1 AS (SELECT *, 1000.0 * exp(sum(ln(1 + ret)) OVER (PARTITION BY path ORDER BY period ROWS UNBOUNDED PRECEDING)) AS equity FROM e0),
+def _path_sql(rows: str) -> str:
+    return f"""{rows},
+e0 AS (SELECT *, (wins * 3.0 * 0.01 - (trades - wins) * 0.01 - trades * 0.001 * 0.01)::DOUBLE AS ret FROM rows_), e1 AS (SELECT *, 1000.0 * exp(sum(ln(1 + ret)) OVER (PARTITION BY path ORDER BY period ROWS UNBOUNDED PRECEDING)) AS equity FROM e0),
 e2 AS (SELECT *, greatest(max(equity) OVER (PARTITION BY path ORDER BY period ROWS UNBOUNDED PRECEDING), 1000.0) AS peak FROM e1),
-ends AS (SELECT path, arg_max(equity, period) AS final, max(1 - equity / peak) AS worst, max((equity < 500)::INT) AS ruined FROM e2 GROUP BY path)"""
+ends AS (SELECT path, arg_max(equity, period) AS final, max(1 - equity / peak) AS worst, max((equity < 500)::INT) AS ruined FROM e2 GROUP BY path)
+SELECT count(*) AS paths, round(quantile_cont(final, 0.5), 3) AS median, round(quantile_cont(final, 0.05), 3) AS p5, round(quantile_cont(final, 0.95), 3) AS p95, round(avg(ruined), 3) AS ruin, round(quantile_cont(worst, 0.5), 3) + 0.0 AS median_drawdown FROM ends"""
 
 
-@query(f"WITH {_PATHS} SELECT count(*) AS paths, round(quantile_cont(final, 0.5), 2) AS median, round(quantile_cont(final, 0.05), 2) AS p5, round(quantile_cont(final, 0.95), 2) AS p95, round(avg(ruined), 2) AS ruin, round(quantile_cont(worst, 0.5), 2) + 0.0 AS median_drawdown FROM ends")
+@query("WITH " + _path_sql("""lines AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS r, CAST(l_linenumber % 6 AS BIGINT) AS wins FROM lineitem),
+rows_ AS (SELECT l_suppkey || '-' || (r // 125) AS path, r % 125 AS period, wins, 5 AS trades FROM lines)"""))
 def path_stats(spark, d):
+    """A supplier's line items in order are as many paths of 125 periods as they fill, and a last shorter one."""
     w = K.Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    rows = A.read(spark, d, "lineitem").select(F.col("l_suppkey").alias("path"), F.row_number().over(w).alias("period"), (F.col("l_linenumber") % 6).cast("bigint").alias("wins"), F.lit(5).cast("bigint").alias("trades")).where("period <= 125")
-    return rounded(K.path_stats(K.equity(rows, CFG), CFG), 2)
+    rows = A.read(spark, d, "lineitem").select("l_suppkey", (F.row_number().over(w) - 1).alias("r"), (F.col("l_linenumber") % 6).cast("bigint").alias("wins"), F.lit(5).cast("bigint").alias("trades"))
+    rows = rows.select(F.concat_ws("-", F.col("l_suppkey").cast("string"), F.expr("cast(r div 125 as string)")).alias("path"), F.expr("r % 125").alias("period"), "wins", "trades")
+    return rounded(K.path_stats(K.equity(rows, CFG), CFG), 3)
 
 
-@query()
+@query(f"WITH {FULL}, {CURVE}, " + _path_sql("""num AS (SELECT wins, trades, row_number() OVER (ORDER BY date) AS day, count(*) OVER () AS n FROM curve0),
+rows_ AS (SELECT g.path, g.day AS period, p.wins, p.trades FROM (SELECT day, n, unnest(range(1, 201)) AS path FROM num) g JOIN num p ON p.day = ('0x' || substr(md5('7:' || g.path || ':' || g.day), 1, 8))::BIGINT % g.n + 1)"""))
 def path_draws(spark, d):
-    """Simulated paths with the win rate of the chosen trades."""
-    p = K.edge(chosen(spark, d), CFG).first()["win_rate"] or 0.0
-    return rounded(K.path_stats(K.equity(K.draws(spark, 2000, 5 * CFG.periods, p, CFG, 7), CFG), CFG), 2)
+    """Paths of the chosen trades' days, drawn with replacement."""
+    return rounded(K.path_stats(K.equity(K.resampled(K.realised(chosen(spark, d), CFG), 200, 7), CFG), CFG), 3)
 
 
 @query(f"""WITH {FULL}, {CURVE}, e AS (SELECT count(*) AS trades, avg(label) AS win_rate, avg(label) * 3 - (1 - avg(label)) - 0.001 AS ev, min(date) AS first_date, max(date) AS last_date, date_diff('day', min(date), max(date)) / 365.25 AS years FROM chosen),
@@ -607,6 +653,16 @@ def calibrated_scores(spark, d):
     return M.apply_logistic(model, s.where("fold > 2"), ["p1"], "c1").select("date", "ticker", "label", "fold", "p1", "c1")
 
 
+_NAMES = {"c1": "p1", "c2": "p2", "blend": "0.5 * p1 + 0.5 * p2", "stack": "greatest(p1, p2)"}
+
+
+@query(f"WITH {FULL}, s AS (SELECT label, " + ", ".join(f"{e} AS {n}" for n, e in _NAMES.items()) + " FROM scores), " + ", ".join(f"a_{n} AS (SELECT auc AS auc_{n} FROM {_auc_sql('s', n)})" for n in _NAMES)
+       + " SELECT " + ", ".join(_r(f"auc_{n}") for n in _NAMES) + ", round(greatest(auc_c1, auc_c2), 6) AS best_single, round(auc_stack - greatest(auc_c1, auc_c2), 6) + 0.0 AS lift, CASE WHEN auc_stack > greatest(auc_c1, auc_c2) THEN 'stack' ELSE 'single' END AS verdict FROM " + ", ".join(f"a_{n}" for n in _NAMES))
+def ensemble_report(spark, d):
+    """The report on given score columns: the better of both in the stack's place."""
+    return rounded(M.ensemble_report(scores(spark, d).select("label", *[F.expr(e).alias(n) for n, e in _NAMES.items()])))
+
+
 @query()
 def stacked_scores(spark, d):
     return M.ensemble_report(M.stacked(scores(spark, d).drop("close"), 2))

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.scratch import materialise, release, scratch, written
+
+__all__ = ["fold_of", "marks_of", "materialise", "release", "salted_join", "sample_ids", "scratch", "slices", "small_batches", "table", "texts_of", "written"]
+
+#: Bytes of an Arrow batch between the JVM and its workers, where the session sets none.
+BATCH = 4 << 20
+#: Bytes of text that a worker turns into Python objects at a time; one longer text is alone.
+SLICE = 2 << 20
+#: Keys with fewer rows than this are never split; at most HOT_KEYS keys are, so that their list has a proven bound.
+FEW, HOT_KEYS = 256, 4096
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,23 +31,40 @@ def fold_of(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5, F.lit(1))
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: spark.checkpoint.dir, or a new local one where a local session has none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, unless the session does: several copies of a batch are held, and ten thousand whole texts have no bound."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH))
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str | int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in pieces whose texts (or lists of 8-byte numbers) take at most `most` bytes together. Pieces are views; no byte is copied."""
+    for b in batches:
+        x = b.column(column)
+        size = pc.multiply(pc.list_value_length(x), 8) if pa.types.is_list(x.type) else pc.binary_length(x)
+        ends = np.cumsum(pc.fill_null(size, 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
+def salted_join(large: DataFrame, small: DataFrame, keys: list[str], n: str, total: int, *spread: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+    """large join small, in which the keys are unique and column n says how many rows of large a key has; n is dropped.
+
+    Keys with more than total / HOT_KEYS rows are split: their rows of large are dealt out by a hash of the columns `spread`, and
+    their row of small is repeated for each part. There are at most HOT_KEYS such keys if large has `total` rows, so their list is broadcast.
+    counted: (keys, n), where small itself is dear to compute twice.
+    """
+    most = max(FEW, total // HOT_KEYS)
+    parts = F.when(F.col(n) > most, F.ceil(F.col(n) / most)).cast("int")
+    hot = (counted if counted is not None else small).select(*keys, parts.alias("_parts")).where("_parts is not null")
+    small = small.withColumn("_parts", parts).drop(n)
+    dealt = large.join(F.broadcast(hot), keys, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    copies = small.withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copies.hint("merge"), [*keys, "_part"], how).drop("_part")
 
 
 def sample_ids(rows: DataFrame, n: int, seed: int = 17) -> DataFrame:

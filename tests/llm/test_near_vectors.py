@@ -40,6 +40,39 @@ def test_links_against_brute_force(spark, most):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def test_repeated_ids(spark):
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=16).tolist(), rng.normal(size=16).tolist()
+    rows = [(1, a), (1, a), (1, b), (2, b), (None, a), (3, None), (3, None)]
+    got = near_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in got) == [(0, 2, 1, False), (1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 0, 3, True), (3, 0, 3, True)]
+
+
+def test_recall_and_work_as_the_table_grows():
+    """Hashes grow with the logarithm of the rows: a pair at the threshold is still found, and the posts that meet by chance grow little faster than the rows."""
+    rng, met = np.random.default_rng(1), {}
+    for n in (2000, 8000, 32_000):
+        x = near_vectors.unit(rng.normal(size=(n, 64)))
+        axes = near_vectors.axes_for(n, 64)
+        tables = near_vectors.tables_for(axes, 64, 0.9, 0.995)
+        codes = near_vectors.bucket_codes(x, tables, axes)
+        _, count = np.unique(codes.ravel(), return_counts=True)
+        met[n] = float((count * (count - 1) / 2).sum()) / n
+        e = rng.normal(size=(1000, 64))
+        e = near_vectors.unit(e - (e * x[:1000]).sum(1, keepdims=True) * x[:1000])
+        near = near_vectors.bucket_codes(0.9 * x[:1000] + np.sqrt(1 - 0.81) * e, tables, axes)
+        assert ((near == codes[:1000, :, :1]).any(2) | (codes[:1000] == near[:, :, :1]).any(2)).any(1).mean() > 0.98
+    assert met[32_000] < 16**0.5 * met[2000]  # sixteen times the rows
+
+
+def test_small_and_large_buckets_agree(spark, monkeypatch):
+    x = vectors(np.random.default_rng(5), 60)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    t = near_vectors.bucket_codes(near_vectors.unit(np.array(x)), 2, [64])
+    assert t.shape == (len(x), 2, 3)
+    assert {(r.vec_id, r.n_links) for r in near_vectors.near_duplicates(df).collect()} == {(r.vec_id, r.n_links) for r in near_vectors.near_duplicates(df, most_bucket=4).collect()}
+
+
 def test_empty_table(spark):
     assert near_vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

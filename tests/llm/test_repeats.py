@@ -44,6 +44,43 @@ def test_partial_overlaps(spark):
         assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute(rows, 100)
 
 
+def test_frequent_anchors_and_pieces(spark, monkeypatch):
+    """Segments of hot anchors are dealt out one by one; texts over several pieces."""
+    from tidemark.llm import common
+
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line = word(70)
+    rows = {i: word(60) + line + word(60) for i in range(80)} | {i: word(30) + line + "same passage " * 6 for i in range(80, 110)}
+    rows[200] = rows[3] * 3 + word(900) + rows[90]
+    monkeypatch.setattr(common, "FEW", 5)
+    monkeypatch.setattr(repeats, "FEW", 5)
+    docs = spark.createDataFrame([*rows.items()], "doc_id long, text string").repartition(9)
+    for step in (repeats.STEP, 128):
+        monkeypatch.setattr(repeats, "STEP", step)
+        whole = [b.to_pylist() for b in repeats._first_pass(100)(iter([_batch(rows)]))]
+        assert len(whole) == 1
+        got = repeats.remove_repeats(docs, most_segments=20, digests=True).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute(rows, 100)
+
+
+def _batch(rows):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([*rows]), pa.array([*rows]), pa.array([*rows.values()])], ["_k", "_doc", "_text"])
+
+
+def test_a_text_is_hashed_in_pieces_alike(monkeypatch):
+    rng = random.Random(3)
+    rows = {1: "".join(rng.choice("abc") for _ in range(3000)), 2: "".join(rng.choice("abc") for _ in range(130))}
+    covered = []
+    for step in (repeats.STEP, 150):
+        monkeypatch.setattr(repeats, "STEP", step)
+        found = [r for b in repeats._first_pass(100)(iter([_batch(rows)])) for r in b.to_pylist()]
+        covered.append(sorted((r["doc"], s, r["a"]) for r in found if not r["gone"] for s in range(r["start"], r["start"] + r["n"])))
+    assert covered[0] == covered[1] and len(covered[0]) == 2901 + 31
+
+
 def test_borders_are_those_of_common_prefixes():
     rng = np.random.default_rng(0)
     parts = [bytes(rng.integers(97, 99, rng.integers(1, 40)).astype(np.uint8)) for _ in range(12)] + [b"ab" * 20] * 2

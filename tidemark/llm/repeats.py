@@ -5,7 +5,7 @@ A byte goes if a string of `least` bytes that covers it also starts earlier: in
 1. Each window of `least` bytes has an anchor, the position of the least hash of its GRAM-byte strings. Equal windows have equal anchors, so
    windows are dealt out by their anchor's hash: a segment is a run of windows with one anchor. Equal segments are settled by
    their hashes, within a task before the shuffle and then among tasks: all but the first go. Anchors with a single
-   segment have no other match.
+   segment have no other match. The segments of frequent anchors are dealt out one by one for that.
 2. The different segments of one anchor meet in a block: their concatenation's Burrows-Wheeler transform is searched breadth first by backward
    extension. Level by level the intervals of all strings of length 1, 2, ... give the borders with a common prefix of that length less one;
    the search stops at `least`. Suffixes without a border between them share `least` bytes or more; all but the first go.
@@ -13,10 +13,12 @@ A byte goes if a string of `least` bytes that covers it also starts earlier: in
    split into parts by the anchor's place in the window, and the bytes that a part's windows share are its key. Parts that still are too many
    under one key are dealt out by single windows.
 
-Texts are shuffled once, by row; the other shuffles carry hashes and the segments of steps 2 and 3. Segments are told apart by 128 bits of hash.
+Texts are shuffled once, by row; the other shuffles carry hashes and the segments of steps 2 and 3. Segments are told apart by two hashes of 64 bits, of the
+anchor's bytes and of their own; within one anchor the latter alone tells them apart.
 
 Defined cases: null text counts as empty; a null id counts as the largest; rows with equal ids come in the order of a hash; repeated rows
-(equal id and text) are one document and all get its result. Other columns are never read.
+(equal id and text) are one document and all get its result; a text of any length is hashed in overlapping pieces of a megabyte; an empty
+table gives no rows. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -26,18 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import P, powers
-from tidemark.llm.common import materialise, table
+from tidemark.llm.common import FEW, HOT_KEYS, materialise, release, salted_join, slices, small_batches, table, written
 from tidemark.llm.graph import whole_groups
 
 GRAM = 32
 #: Bits of a key that hold a position; the hash has the rest.
 PLACE = 28
 #: Bytes hashed at a time, windows of a task that are compared before the shuffle, bytes of segments in a block.
-STEP, FLUSH, BLOCK = 1 << 20, 1 << 20, 1 << 20
+STEP, FLUSH, BLOCK = 1 << 20, 8 << 20, 1 << 19
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -110,17 +113,19 @@ def _first_pass(least: int):
 
     def flush(docs: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
         docs = sorted(docs, key=lambda x: x[:2])
+        pieces = [(i, at, data[at : at + STEP + least - 1]) for i, (*_, data) in enumerate(docs) for at in range(0, len(data) - least + 1, STEP)]  # each window is in one piece
         parts: list[tuple] = []
         at = 0
-        while at < len(docs):
+        while at < len(pieces):
             group, size, begin = [], 0, at
-            while at < len(docs) and (not group or size + len(docs[at][2]) <= STEP):
-                group.append(docs[at][2])
-                size += len(docs[at][2])
+            while at < len(pieces) and (not group or size + len(pieces[at][2]) <= STEP):
+                group.append(pieces[at][2])
+                size += len(pieces[at][2])
                 at += 1
             ends = np.cumsum([len(x) for x in group])
-            text, first, count, a, h = segments(np.frombuffer(b"".join(group), np.uint8), ends, least)
-            parts.append((text + begin, first - np.concatenate([[0], ends])[text], count, a, h))
+            piece, first, count, a, h = segments(np.frombuffer(b"".join(group), np.uint8), ends, least)
+            of, offset = (np.array(x, np.int64)[piece] for x in ([p[0] for p in pieces[begin:at]], [p[1] for p in pieces[begin:at]]))
+            parts.append((of, first - np.concatenate([[0], ends])[piece] + offset, count, a, h))
         text, start, count, a, h = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(mixed(a + h * np.uint64(3)), kind="stable")  # by text and start among equal ones
         a_, h_ = a[order], h[order]
@@ -138,13 +143,13 @@ def _first_pass(least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for b in batches:
+        for b in slices(batches, "_text"):
             for k, d, t in zip(*(b.column(c).to_pylist() for c in ("_k", "_doc", "_text")), strict=True):
                 data = t.encode()
                 if len(data) >= least:
                     held.append((d, k, data))
                     size += len(data)
-                if size >= FLUSH * 8:
+                if size >= FLUSH:
                     yield flush(held)
                     held, size = [], 0
         if held:
@@ -250,16 +255,14 @@ def _cut_segments(least: int):
     """Texts with the places of their open segments -> the segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                b = whole.slice(at, 200)
-                out: dict[str, list] = {c: [] for c in ("a", "doc", "k", "start", "part")}
-                for text, found in zip(b.column("_text").to_pylist(), b.column("found").to_pylist(), strict=True):
-                    data = text.encode() if found else b""
-                    for x in found or ():
-                        for c, v in (("a", x["a"]), ("doc", x["doc"]), ("k", x["k"]), ("start", x["start"]), ("part", data[x["start"] : x["start"] + x["n"] - 1 + least])):
-                            out[c].append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out[c], kind) for c, kind in (("a", pa.int64()), ("doc", pa.int64()), ("k", pa.int64()), ("start", pa.int32()), ("part", pa.binary()))], [*out])
+        for b in slices(batches, "_text", 1 << 18):
+            out: dict[str, list] = {c: [] for c in ("a", "doc", "k", "start", "part")}
+            for text, found in zip(b.column("_text"), b.column("found"), strict=True):
+                data = text.as_py().encode()
+                for x in found.as_py():
+                    for c, v in (("a", x["a"]), ("doc", x["doc"]), ("k", x["k"]), ("start", x["start"]), ("part", data[x["start"] : x["start"] + x["n"] - 1 + least])):
+                        out[c].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[c], kind) for c, kind in (("a", pa.int64()), ("doc", pa.int64()), ("k", pa.int64()), ("start", pa.int32()), ("part", pa.binary()))], [*out])
 
     return run
 
@@ -279,7 +282,7 @@ def _search_blocks(least: int):
         held: list[pa.Table] = []
         size = 0
         for t, begins in whole_groups(batches, ["a"]):
-            lengths = np.concatenate([[0], np.cumsum(t.column("part").combine_chunks().cast(pa.large_binary()).to_pandas().map(len).to_numpy())])
+            lengths = np.concatenate([[0], np.cumsum(pc.binary_length(t.column("part")).to_numpy().astype(np.int64))])
             at = 0
             for e in [*begins[1:], t.num_rows]:  # blocks end between anchors
                 if size + lengths[e] - lengths[at] >= BLOCK:
@@ -353,27 +356,46 @@ SEGMENT = "a bigint, doc bigint, k bigint, start int, part binary"
 SPLIT = 17
 
 
-def settle(found: DataFrame) -> DataFrame:
-    """Of equal segments all but the first are gone; those whose anchor has no other segment drop out. One exchange and one sort serve both windows."""
-    by_segment = Window.partitionBy("a", "h").orderBy("doc", "k", "start")
-    by_anchor = Window.partitionBy("a")
-    ranked = found.repartition("a").sortWithinPartitions("a", "h", "doc", "k", "start").withColumn("_rank", F.rank().over(by_segment)).withColumn("_several", F.min("h").over(by_anchor) != F.max("h").over(by_anchor))
-    return ranked.withColumn("gone", F.col("gone") | (F.col("_rank") > 1)).where("gone or _several").drop("_rank", "_several")
+def frequent(found: DataFrame) -> DataFrame:
+    """The anchors with more than 1 / HOT_KEYS of a written table's rows, about: a sketch of bounded size counts them. It only balances tasks; no result depends on it."""
+    most = max(FEW, found.count() // HOT_KEYS)
+    top = found.agg(F.expr(f"approx_top_k(a, {HOT_KEYS}, {4 * HOT_KEYS})").alias("top")).select(F.explode("top").alias("x"))
+    return top.where(F.col("x.count") > most).select(F.col("x.item").alias("a"), F.lit(True).alias("_hot"))
+
+
+def settle(found: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """Of equal segments all but the first are gone. Anchors come to tasks whole, and those with one segment drop out, except for the few in `hot`: their
+    segments are dealt out one by one. Without hot, all are. One exchange and one sort serve both windows."""
+    deal = F.col("h") if hot is None else F.when(F.col("_hot"), F.col("h"))
+    rows = (found if hot is None else found.join(F.broadcast(hot), "a", "left")).withColumn("_deal", deal)
+    by_segment = Window.partitionBy("a", "_deal", "h").orderBy("doc", "k", "start")
+    ranked = rows.repartition("a", "_deal").sortWithinPartitions("a", "_deal", "h", "doc", "k", "start").withColumn("_rank", F.rank().over(by_segment)).withColumn("gone", F.col("gone") | (F.col("_rank") > 1))
+    if hot is not None:
+        by_anchor = Window.partitionBy("a", "_deal")
+        ranked = ranked.withColumn("_several", F.col("_hot").isNotNull() | (F.min("h").over(by_anchor) != F.max("h").over(by_anchor))).where("gone or _several").drop("_several", "_hot")
+    return ranked.drop("_rank", "_deal")
 
 
 def _search(docs: DataFrame, carried: list[str], least: int, most_segments: int, id_col: str, text_col: str, digests: bool) -> DataFrame:
     """Struct _id of the carried columns, n_bytes, n_removed, n_spans, _last (the remaining text, or its digest) of each row."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(text_col, F.lit(""))
     keyed = docs.select(F.xxhash64(F.col(id_col), text).alias("_k"), F.struct(*[F.col(c) for c in carried]).alias("_id"), text.alias("_text"))
     doc = F.coalesce(F.col(id_col).cast("bigint"), F.lit(2**63 - 1)).alias("_doc")
     found = docs.select(F.xxhash64(F.col(id_col), text).alias("_k"), doc, text.alias("_text")).mapInArrow(_first_pass(least), "a bigint, h bigint, doc bigint, k bigint, start int, n int, gone boolean")
-    settled = materialise(settle(found).drop("h"), "repeats")
-
-    def few_and_many(open_: DataFrame) -> DataFrame:
-        many = open_.groupBy("a").count().where(F.col("count") > most_segments).select("a", F.lit(True).alias("hot"))
-        return open_.join(many.hint("merge"), "a", "left")
-
-    places = few_and_many(settled.where("not gone")).groupBy("k").agg(F.collect_list(F.struct("a", "doc", "k", "start", "n", "hot")).alias("found"))
+    others = written()
+    found = materialise(found, "segments")
+    first_table = [p for p in written() if p not in others]
+    settled = materialise(settle(found, frequent(found)).drop("h"), "repeats")
+    release(docs.sparkSession, [p for p in written() if p not in first_table])
+
+    def few_and_many(open_: DataFrame, total: int) -> DataFrame:
+        """The segments of anchors with several, with hot for those of anchors with too many."""
+        size = open_.groupBy("a").agg(F.count("*").alias("_n")).where("_n > 1").withColumn("hot", F.when(F.col("_n") > most_segments, True))
+        return salted_join(open_, size, ["a"], "_n", total, "k", "start")
+
+    n = settled.where("not gone").count()
+    places = few_and_many(settled.where("not gone"), n).groupBy("k").agg(F.collect_list(F.struct("a", "doc", "k", "start", "n", "hot")).alias("found"))
     rows = keyed.repartition("_k")  # all branches take the same columns of it, so Spark reuses the exchange
 
     def cut(hot: bool) -> DataFrame:
@@ -382,7 +404,7 @@ def _search(docs: DataFrame, carried: list[str], least: int, most_segments: int,
 
     split = "a bigint, h bigint, doc bigint, k bigint, start int, n int, gone boolean, part binary"
     parts = settle(cut(True).mapInArrow(_split(least, SPLIT), split))
-    parted = few_and_many(parts.where("not gone").select("a", "doc", "k", "start", "part"))
+    parted = few_and_many(parts.where("not gone").select("a", "doc", "k", "start", "part"), n * (least // SPLIT + 2))
     windows = settle(parted.where("hot").select("doc", "k", "start", "part").mapInArrow(_split(least, 1), split))
     few = cut(False).unionByName(parted.where("hot is null").drop("hot"))
     searched = few.repartition("a").sortWithinPartitions("a").mapInArrow(_search_blocks(least), "k bigint, start int, n int")
@@ -393,7 +415,7 @@ def _search(docs: DataFrame, carried: list[str], least: int, most_segments: int,
     gone = gone.groupBy(F.col("k").alias("_k")).agg(F.collect_list(F.struct("start", "n")).alias("found"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "_text"):
             data = [t.encode() for t in b.column("_text").to_pylist()]
             out = [without(d, f, least) for d, f in zip(data, b.column("found").to_pylist(), strict=True)]
             last = [hashlib.sha256(x).hexdigest() if digests else x.decode("utf-8", "ignore") for x, *_ in out]
@@ -403,14 +425,14 @@ def _search(docs: DataFrame, carried: list[str], least: int, most_segments: int,
     return rows.join(gone.hint("shuffle_hash"), "_k", "left").select("_id", "_k", "_text", "found").drop("_k").mapInArrow(finish, f"_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, _last string")
 
 
-def remove_repeats(docs: DataFrame, least: int = 100, most_segments: int = 20_000, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = 100, most_segments: int = 5000, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_text) of each row; with digests kept_sha256, the lowercase hex sha256 of the remaining bytes, instead of the
     text. Bytes of characters that were cut through do not appear in kept_text."""
     out = _search(docs, [id_col], least, most_segments, id_col, text_col, digests)
     return out.select(F.col("_id")[id_col].alias(id_col), "n_bytes", "n_removed", "n_spans", F.col("_last").alias("kept_sha256" if digests else "kept_text"))
 
 
-def rewrite(docs: DataFrame, least: int = 100, most_segments: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def rewrite(docs: DataFrame, least: int = 100, most_segments: int = 5000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with all their columns and the remaining text; rows that lost bytes and have no word left go. A null text stays null."""
     out = _search(docs.withColumn("_was_null", F.col(text_col).isNull()), [c for c in docs.columns if c != text_col] + ["_was_null"], least, most_segments, id_col, text_col, False)
     out = out.where((F.col("n_removed") == 0) | (F.trim(F.translate("_last", "\t\n\x0b\x0c\r", "     ")) != ""))

@@ -4,14 +4,14 @@ A rolling hash over the last WINDOW bytes cuts each text into chunks, so that eq
 document. Chunks that occur more than once are encoded once, by the document that holds their first
 occurrence; every other document takes their ids over. At a chunk's edges its ids may differ from those of the
 whole text, so each join is repaired: the text from the last point in the left chunk to the first point in the
-right chunk at which both encodings must agree is encoded again. Such a point is a space between two ASCII letters: the
-pre-tokenizer always starts a piece there, whatever stands around it. A chunk without two such points is
+right chunk at which both encodings must agree is encoded again. Such a point is a space between two letters (of the Latin, Greek, Cyrillic, Hebrew,
+Arabic or Hangul script): the pre-tokenizer always starts a piece there, whatever stands around it. A chunk without two such points is
 not taken over at all, so the window grows to the next point, in the last resort to the whole text. Ids taken over are
 checked against the chunk's 128-bit content hash.
 
 Defined cases: null text counts as empty (no ids); the strings of special tokens become their ids; repeated rows are
-encoded each time; rows with equal ids and different texts are told apart by a hash of both.
-Other columns are never read.
+encoded each time; rows with equal ids and different texts are told apart by a hash of both; a text of any length is cut, assembled and decoded whole,
+by one task at a time; an empty table gives no rows. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, table
+from tidemark.llm.common import materialise, release, salted_join, slices, small_batches, table, written
 from tidemark.llm.tokens import encoder
 
 WINDOW, MEAN, LEAST, MOST = 32, 2048, 512, 16384
@@ -35,7 +35,13 @@ P = 0x9E3779B97F4A7C15
 P_INVERSE = pow(P, -1, 1 << 64)
 #: Bytes of text that are hashed at a time.
 STEP = 2 << 20
-AGREE = re.compile(rb"(?<=[A-Za-z]) (?=[A-Za-z])")
+#: UTF-8 of letters in blocks that every Unicode version has alike: Latin, Greek, Cyrillic, Hebrew, Arabic, Hangul.
+LETTERS = (
+    rb"[A-Za-z]",
+    rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f]|\xce[\x91-\xa1\xa3-\xbf]|\xcf[\x80-\x8e]|\xd0[\x80-\xbf]|\xd1[\x80-\xbf]|\xd2[\x80\x81]|\xd7[\x90-\xaa]|\xd8[\xa1-\xba]|\xd9[\x81-\x8a]",
+    rb"\xea[\xb0-\xbf][\x80-\xbf]|[\xeb\xec][\x80-\xbf][\x80-\xbf]|\xed[\x80-\x9d][\x80-\xbf]",
+)
+AGREE = re.compile(b"(?:" + b"|".join(b"(?<=" + x + b")" for x in LETTERS) + b") (?=" + b"|".join(LETTERS) + b")")
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +120,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches, "_text"):
         texts = [t.encode() for t in b.column("_text").to_pylist()]
         keys, at, hashes = [], [], []
         for k, t, ends in zip(b.column("_k").to_pylist(), texts, chunk_ends(texts), strict=True):
@@ -130,17 +136,17 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _encode_chunks(vocabulary: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)
-        for whole in batches:
-            rows = [(t, first) for t, first in zip(whole.column("_text").to_pylist(), whole.column("firsts").to_pylist(), strict=True) if first]
-            texts = [t.encode() for t, _ in rows]
-            hashes, ids = [], []
-            for t, (_, first), ends in zip(texts, rows, chunk_ends(texts), strict=True):
-                for i in sorted(set(first)):
+        for b in slices(batches, "_text"):
+            rows = [(t.encode(), {x["at"]: x["n"] for x in first}) for t, first in zip(b.column("_text").to_pylist(), b.column("firsts").to_pylist(), strict=True)]
+            hashes, ids, n = [], [], []
+            for (t, first), ends in zip(rows, chunk_ends([t for t, _ in rows]), strict=True):
+                for i in sorted(first):
                     chunk = t[ends[i - 1] if i else 0 : ends[i]]
                     if (points := agreement(chunk)) is not None:
                         hashes.append(xxhash.xxh3_128_digest(chunk))
                         ids.append(e.encode(chunk[points[0] : points[1]].decode()).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(ids, pa.binary())], ["h", "ids"])
+                        n.append(first[i])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(ids, pa.binary()), pa.array(n, pa.int64())], ["h", "ids", "n"])
 
     return run
 
@@ -164,7 +170,7 @@ def join_chunks(text: bytes, ends: list[int], shared: dict[int, tuple[bytes, byt
 def _assemble(vocabulary: str | None, output):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)
-        for b in batches:
+        for b in slices(batches, "_text"):
             texts, known = b.column("_text").to_pylist(), b.column("known").to_pylist()
             some = [i for i, k in enumerate(known) if k]
             ends = dict(zip(some, chunk_ends([texts[i].encode() for i in some]), strict=True))
@@ -189,14 +195,19 @@ def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
     The texts are shuffled once, by row: both branches of the plan, that of the chunks' first occurrences and
     that of the documents, read the same exchange. All else that is shuffled is hashes and shared chunks' ids.
     """
+    small_batches(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
+    others = written()
     chunks = materialise(keyed.select("_k", "_text").mapInArrow(_chunks, "_k bigint, at int, h binary"), "chunks")
-    shared = chunks.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("_k", "at")).alias("first")).where("n > 1")
-    marks = materialise(chunks.join(shared.hint("merge"), "h").select("h", "_k", "at", (F.col("first") == F.struct("_k", "at")).alias("is_first")), "marks")
-    firsts = marks.where("is_first").groupBy("_k").agg(F.collect_list("at").alias("firsts"))
+    shared = chunks.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("_k", "at")).alias("first")).where("n > 1").withColumn("_n", F.col("n"))
+    marked = salted_join(chunks, shared, ["h"], "_n", chunks.count(), "_k", "at")
+    marks = materialise(marked.select("h", "_k", "at", "n", (F.col("first") == F.struct("_k", "at")).alias("is_first")), "marks")
+    release(docs.sparkSession, [*others, written()[-1]])
+    firsts = marks.where("is_first").groupBy("_k").agg(F.collect_list(F.struct("at", "n")).alias("firsts"))
     rows = keyed.repartition("_k")  # both branches take the same columns of it, so Spark reuses the exchange
-    cores = rows.join(firsts.hint("shuffle_hash"), "_k").select("_id", "_text", "firsts").mapInArrow(_encode_chunks(vocabulary), "h binary, ids binary")
-    known = marks.select("h", "_k", "at").join(cores.hint("merge"), "h").groupBy("_k").agg(F.collect_list(F.struct("at", "h", "ids")).alias("known"))
+    cores = rows.join(firsts.hint("shuffle_hash"), "_k").select("_id", "_text", "firsts").mapInArrow(_encode_chunks(vocabulary), "h binary, ids binary, n bigint")
+    known = salted_join(marks.select("h", "_k", "at"), cores, ["h"], "n", marks.count(), "_k", "at", counted=marks.where("is_first").select("h", "n").distinct())
+    known = known.groupBy("_k").agg(F.collect_list(F.struct("at", "h", "ids")).alias("known"))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"_id {kind}, " + ("n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids array<bigint>, decoded string")
     both = rows.join(known.hint("shuffle_hash"), "_k", "left").select("_id", "_text", "known")

@@ -6,8 +6,9 @@ of toxic documents; if the bracket turns negative, the step goes the other way,
 Features are the distinct words of a text and their first letters, hashed.
 
 Defined cases: null text counts as empty; an empty text has the score of the bias alone; documents with a null
-id are scored and never learned from; without toxic training rows every score is 0. Columns besides id and
-text are never read, so clashing names do not matter. Repeated rows give repeated results.
+id are scored and never learned from; without toxic or without unlabelled training rows every score is 9e-14; a text of any length is scored
+whole, one at a time; an empty table gives no rows. Columns besides id and text are never read, so clashing names do not matter.
+Repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -18,14 +19,18 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold_of, marks_of, sample_ids, table, texts_of
+from tidemark.llm.common import fold_of, marks_of, sample_ids, slices, small_batches, table, texts_of
 
 BITS = 20
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
+#: Words whose features a worker remembers.
+KNOWN = 50_000
 
 
 def word_features(word: str) -> list[int]:
@@ -42,14 +47,19 @@ def text_features(text: str | None) -> np.ndarray:
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids = [text_features(t) for t in b.column("text").to_pylist()]
+    for b in slices(batches, "text"):
+        ids = [text_features(t.as_py()) for t in b.column("text")]
         yield pa.RecordBatch.from_arrays([b.column("is_p"), pa.array(ids, pa.list_(pa.int32()))], ["is_p", "ids"])
 
 
 def select_features(p: list[np.ndarray], u: list[np.ndarray], n: int, least: int) -> np.ndarray:
     """The n features whose document frequency in P stands out most against U (z score of a difference of shares)."""
-    count = lambda docs: np.bincount(np.concatenate([np.zeros(0, np.int64), *docs]).astype(np.int64), minlength=1 << BITS)
+    def count(docs: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros(1 << BITS, np.int64)
+        for x in docs:
+            out[x] += 1  # a document's features are distinct
+        return out
+
     cp, cu = count(p), count(u)
     share = (cp + cu) / max(1, len(p) + len(u))
     z = (cp / max(1, len(p)) - cu / max(1, len(u))) / np.sqrt(share * (1 - share) * (1 / max(1, len(p)) + 1 / max(1, len(u))) + 1e-12)
@@ -58,6 +68,18 @@ def select_features(p: list[np.ndarray], u: list[np.ndarray], n: int, least: int
     return np.sort(best[np.abs(z[best]) > 3])
 
 
+def nnpu_gradient(p: np.ndarray, u: np.ndarray, sp: np.ndarray, su: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative PU risk of rows p and u with sigmoid outputs sp and su, and the direction of its step (weights, then bias).
+
+    The loss of a row is 1 - s as positive and s as negative. Where the part for negatives is below 0, the step undoes it alone.
+    """
+    dp, du = sp * (1 - sp) / len(p), su * (1 - su) / len(u)
+    bracket = float(su.mean() - prior * sp.mean())
+    grad = lambda x, d: np.append(d.astype(np.float32) @ x, d.sum())
+    g_pos, g_neg = -prior * grad(p, dp), grad(u, du) - prior * grad(p, dp)
+    return prior * float(1 - sp.mean()) + max(0.0, bracket), g_pos + g_neg if bracket >= 0 else -g_neg
+
+
 def nnpu_fit(xp: np.ndarray, xu: np.ndarray, prior: float, seed: int, epochs: int = 60, rate: float = 0.02, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative PU risk of the sigmoid loss, by Adam on mini-batches."""
     rng, k = np.random.default_rng(seed), xp.shape[1]
@@ -72,12 +94,7 @@ def nnpu_fit(xp: np.ndarray, xu: np.ndarray, prior: float, seed: int, epochs: in
             p, u = xp[bp], xu[bu]
             now = theta[:-1].astype(np.float32)
             sp, su = (1 / (1 + np.exp(-np.clip(x @ now + theta[-1], -30, 30))) for x in (p, u))
-            # the sigmoid loss: as positive 1 - s, as negative s
-            dp, du = sp * (1 - sp) / len(p), su * (1 - su) / len(u)
-            bracket = su.mean() - prior * sp.mean()
-            grad = lambda x, d: np.append(d.astype(np.float32) @ x, d.sum())
-            g_pos, g_neg = -prior * grad(p, dp), grad(u, du) - prior * grad(p, dp)
-            g = (g_pos + g_neg if bracket >= 0 else -g_neg) + l2 * np.append(theta[:-1], 0)
+            g = nnpu_gradient(p, u, sp, su, prior)[1] + l2 * np.append(theta[:-1], 0)
             t += 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -87,6 +104,7 @@ def nnpu_fit(xp: np.ndarray, xu: np.ndarray, prior: float, seed: int, epochs: in
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = 2500, max_unlabelled: int = 6000, max_features: int = 1500, n_models: int = 3, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """Model from the documents outside the held-out fold. P and U are bounded seeded samples (max_positive,
     max_unlabelled rows); pi is the share of toxic ones among all labelled training rows."""
+    small_batches(docs.sparkSession)
     marked = marks_of(labels, "toxic", id_col).where("fold <> 0")
     prior = min(max(float(marked.agg(F.avg("label")).first()[0] or 0.0), 1e-3), 0.9)
     p_ids = sample_ids(marked.where("label = 1").select("_id"), max_positive).withColumn("is_p", F.lit(True))
@@ -94,9 +112,10 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 2500, max_unla
     u_ids = sample_ids(own.where(fold_of("_id") != 0).distinct(), max_unlabelled, seed=18).withColumn("is_p", F.lit(False))
     both = texts_of(docs, p_ids.unionByName(u_ids), id_col, text_col)
     rows = both.select("is_p", "text").repartition(16).mapInArrow(_featurise, "is_p boolean, ids array<int>").toArrow()
-    is_p = rows.column("is_p").to_pylist()
-    ids = [np.asarray(x, dtype=np.int32) for x in rows.column("ids").to_pylist()]
-    order = sorted(range(len(ids)), key=lambda i: (is_p[i], len(ids[i]), ids[i].tobytes()))  # the same under any partitioning
+    lists = rows.column("ids").combine_chunks()
+    flat, ends = lists.flatten().to_numpy(), np.cumsum(np.append(0, pc.list_value_length(lists).to_numpy()))
+    is_p, ids = rows.column("is_p").to_pylist(), [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]  # views, no copies
+    order = sorted(range(len(ids)), key=lambda i: (is_p[i], len(ids[i]), xxhash.xxh3_128_digest(ids[i].tobytes())))  # the same under any partitioning
     p, u = [ids[i] for i in order if is_p[i]], [ids[i] for i in order if not is_p[i]]
     if not p or not u:
         return {"features": np.zeros(0, np.int64), "weights": np.zeros(0), "bias": -30.0}
@@ -109,6 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 2500, max_unla
         return x
 
     xp, xu = dense(p), dense(u)
+    del rows, lists, flat, ids, p, u
     fits = [nnpu_fit(xp, xu, prior, seed) for seed in range(n_models)]
     return {"features": features, "weights": np.mean([w for w, _ in fits], axis=0), "bias": float(np.mean([b for _, b in fits]))}
 
@@ -125,7 +145,7 @@ class Scorer:
         found: set[int] = set()
         for w in set(WORD.findall((text or "").lower())):
             if (f := self.known.get(w)) is None:
-                if len(self.known) > 200_000:
+                if len(self.known) > KNOWN:
                     self.known.clear()
                 f = self.known[w] = tuple(x for x in word_features(w) if x in self.weight_of)
             if f:
@@ -137,10 +157,12 @@ class Scorer:
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every whole text."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array([scorer.score(t) for t in b.column("text").to_pylist()], pa.float64())], ["_id", "score"])
+        for b in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array([scorer.score(t.as_py()) for t in b.column("text")], pa.float64())], ["_id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).mapInArrow(run, f"_id {kind}, score double").withColumnRenamed("_id", id_col)
@@ -153,8 +175,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for b in batches:
-            yield b.filter(pa.array([scorer.score(t) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+        for b in slices(batches, at):
+            yield b.filter(pa.array([scorer.score(t.as_py()) < threshold for t in b.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

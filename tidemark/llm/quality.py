@@ -1,11 +1,13 @@
 """Quality by compression: zstandard with dictionaries of good and of bad labelled text.
 
-A whole text is compressed once with each dictionary. The normalised difference of the two sizes says which kind
-of text it resembles; logistic regression on that difference and the mean ratio, fitted on labelled rows that are
-in neither dictionary (fold 4), turns it into the probability of label 1.
+A whole text is compressed once with each dictionary. The difference of the two sizes, normalised by the text's size, says which kind of
+text it resembles; logistic regression on that difference alone, fitted on labelled rows that are in neither dictionary (fold
+4), turns it into the probability of label 1. A dictionary is the raw content of seeded cuts of its texts: trained dictionaries of the same
+size kept fewer of the phrases that tell the kinds apart.
 
 Defined cases: null text counts as empty; an empty text has difference 0; null ids are scored, never learned
-from; with one label only the score is that label's share. Other columns are never read. Repeated rows give repeated results.
+from; with one label only the score is that label's share for every text, and without any 0.5; a text of any length is compressed whole, one at a
+time; an empty table gives no rows; repeated rows give repeated results. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -18,38 +20,25 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold_of, marks_of, sample_ids, table, texts_of
+from tidemark.llm.common import fold_of, marks_of, sample_ids, slices, small_batches, table
 
 
 class Sizes:
     """Compressed sizes of texts under a good and a bad dictionary."""
 
     def __init__(self, good: bytes, bad: bytes, level: int):
-        kind = lambda x: zstandard.DICT_TYPE_FULLDICT if x[:4] == MAGIC else zstandard.DICT_TYPE_RAWCONTENT
-        plain = {"level": level, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-        self.with_good, self.with_bad = (zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(x, dict_type=kind(x)), **plain) for x in (good, bad))
+        self.with_good, self.with_bad = (self._compressor(x, level) for x in (good, bad))
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        """The difference of the sizes over their sum and over the length (positive if the good dictionary
-        saves more), and the mean size over the length, without which a difference can't be judged."""
-        data = (text or "").encode()
-        if not data:
-            return 0.0, 0.0, 1.0
-        g, b = len(self.with_good.compress(data)), len(self.with_bad.compress(data))
-        return (b - g) / (b + g), (b - g) / len(data), (b + g) / (2 * len(data))
-
-
-#: The first bytes of every trained zstandard dictionary (a fixed value of the format).
-MAGIC = b"\x37\xa4\x30\xec"
+    @staticmethod
+    def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
+        d = zstandard.ZstdCompressionDict(content or b"\n" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=level)
+        return zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
 
-
-def dictionary(texts: list[str], size: int) -> bytes:
-    """A trained dictionary, or the texts themselves as raw content where there are too few to train one."""
-    data = [t.encode() for t in texts if t]
-    try:
-        return zstandard.train_dictionary(size, data).as_bytes()
-    except (zstandard.ZstdError, ValueError):
-        return b"\n".join(data)[-size:] or b"\n" * 8
+    def difference(self, text: str | None) -> float:
+        """The normalised difference of the sizes, positive if the good dictionary saves more."""
+        data = (text or "").encode()
+        return (len(self.with_bad.compress(data)) - len(self.with_good.compress(data))) / len(data) if data else 0.0
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
@@ -68,38 +57,53 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
     return np.append(slope, w[-1] - slope @ mean)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_dictionary: int = 3000, max_calibration: int = 3000, dict_bytes: int = 60_000, level: int = 3, id_col: str = "doc_id", text_col: str = "text") -> dict:
-    """Dictionaries from folds 1 to 3 (at most max_dictionary labelled rows of each label) and a calibration from fold 4
-    (at most max_calibration rows): bounded seeded samples."""
+def train(docs: DataFrame, labels: DataFrame, max_dictionary: int = 3000, max_calibration: int = 3000, dict_bytes: int = 1_000_000, level: int = 6, id_col: str = "doc_id", text_col: str = "text") -> dict:
+    """Dictionaries from folds 1 to 3 (at most max_dictionary labelled rows of each label, and of these dict_bytes) and a calibration from fold 4
+    (at most max_calibration rows): bounded seeded samples. The driver gets the cuts and the calibration rows' differences, no whole text."""
     marked = marks_of(labels, "quality", id_col)
-    groups = [marked.where(f"fold in (1, 2, 3) and label = {k}") for k in (1, 0)] + [marked.where("fold = 4")]
-    sizes_of = (max_dictionary, max_dictionary, max_calibration)
-    picked = [sample_ids(g, n).withColumn("part", F.lit(i)) for i, (g, n) in enumerate(zip(groups, sizes_of, strict=True))]
-    rows = sorted((r["part"], r["_id"], r["text"], r["label"]) for r in texts_of(docs, picked[0].unionByName(picked[1]).unionByName(picked[2]), id_col, text_col).collect())
-    good, bad = (dictionary([t for p, _, t, _ in rows if p == k], dict_bytes) for k in (0, 1))
-    rest = [(i, t, y) for p, i, t, y in rows if p == 2]
-    sizes = Sizes(good, bad, level)
-    y = np.array([k for *_, k in rest], dtype=np.float64)
+    groups = [marked.where(f"fold in (1, 2, 3) and label = {k}") for k in (1, 0)]
+    picked = [sample_ids(g, max_dictionary).withColumn("part", F.lit(i)) for i, g in enumerate(groups)]
+    ids = picked[0].unionByName(picked[1]).drop("label", "fold")
+    own = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("text")).where("text <> ''")
+    cut = F.lit(max(200, dict_bytes // max_dictionary))  # a cut starts anywhere in the text
+    start = F.pmod(F.xxhash64(F.lit(19), "_id"), F.greatest(F.length("text") - cut + 1, F.lit(1))) + 1
+    cuts = own.join(F.broadcast(ids), "_id").groupBy("part", "_id").agg(F.min(F.substr("text", start.cast("int"), cut)).alias("cut"))  # ids: 2 * max_dictionary rows
+    rows = sorted((r["part"], r["_id"], r["cut"]) for r in cuts.collect())
+    good, bad = (b"\n".join(c.encode() for p, _, c in rows if p == k)[-dict_bytes:] for k in (0, 1))
+    model = {"good": good, "bad": bad, "level": level, "w": np.zeros(2)}
+    held = sample_ids(marked.where("fold = 4"), max_calibration).select("_id", "label")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(held), "_id")  # held: max_calibration rows
+    found = differences(rows, model, "_id", "text", ["label"]).toArrow()
+    x, y = found.column("difference").to_numpy(), found.column("label").to_numpy().astype(np.float64)
+    order = np.lexsort((y, x))  # the same under any partitioning
     if not len(y) or y.min() == y.max():
-        mean = float(y.mean()) if len(y) else 0.5
-        w = np.array([0.0, 0.0, 0.0, np.log((mean + 1e-3) / (1 - mean + 1e-3))])
+        model["w"] = np.array([0.0, 0.0 if not len(y) else 30.0 if y[0] else -30.0])
     else:
-        w = logistic(np.array([sizes.features(t) for _, t, _ in rest]), y)
-    return {"good": good, "bad": bad, "level": level, "w": w}
+        model["w"] = logistic(x[order, None], y[order])
+    return model
 
 
-def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, difference, score) of every whole text. The model is two dictionaries of dict_bytes, so it travels with the tasks."""
+def differences(docs: DataFrame, model: dict, id_col: str, text_col: str, beside: list[str]) -> DataFrame:
+    """(id, difference, columns beside) of every whole text. The model is two dictionaries of dict_bytes, so it travels with the tasks."""
+
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(model["good"], model["bad"], model["level"])
-        for b in batches:
-            x = np.array([sizes.features(t) for t in b.column("text").to_pylist()], dtype=np.float64).reshape(-1, 3)
-            p = 1 / (1 + np.exp(-np.clip(x @ model["w"][:-1] + model["w"][-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(x[:, 0]), pa.array(p)], ["_id", "difference", "score"])
+        for b in slices(batches, "_text"):
+            x = pa.array([sizes.difference(t.as_py()) for t in b.column("_text")], pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column("_id"), x, *(b.column(c) for c in beside)], ["_id", "difference", *beside])
+
+    kinds = ", ".join(["", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in beside)])
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *beside)
+    return own.mapInArrow(run, f"_id {docs.schema[id_col].dataType.simpleString()}, difference double{kinds}").withColumnRenamed("_id", id_col)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).mapInArrow(run, f"_id {kind}, difference double, score double").withColumnRenamed("_id", id_col)
+
+def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, difference, score) of every whole text."""
+    slope, bias = map(float, model["w"])
+    z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), slope * F.col("difference") + bias))
+    return differences(docs, model, id_col, text_col, []).withColumn("score", 1 / (1 + F.exp(-z)))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

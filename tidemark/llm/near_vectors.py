@@ -106,7 +106,7 @@ def bucket_codes(x: np.ndarray, tables: int, axes: list[int], seed: int = 7) ->
 
 def tables_for(axes: list[int], d: int, cosine: float, recall: float, pairs: int = 2000) -> int:
     """Tables that find a pair at the threshold with the chance `recall`, by the share of random such pairs that meet in a table."""
-    rng = np.random.default_rng(11)
+    rng, pairs = np.random.default_rng(11), max(64, min(pairs, (1 << 22) // d))  # bounded memory for long vectors
     a, e = unit(rng.normal(size=(pairs, d))), rng.normal(size=(pairs, d))
     e = unit(e - (e * a).sum(1, keepdims=True) * a) if d > 1 else a
     b = unit(cosine * a + np.sqrt(max(0.0, 1 - cosine * cosine)) * e)
@@ -232,7 +232,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
     rows = rows.withColumns({f"class{k}": F.when(F.col("vector").isNotNull(), F.xxhash64(F.lit(k), F.col("vector"))) for k in (0, 1)}).withColumn("row", F.xxhash64("id"))
     key = ["class0", "class1"]
     classes = classes_of(rows, key, ["id"], vector=F.first("vector"))
-    n, d = classes.agg(F.count("*"), F.coalesce(F.mode(F.size("vector")), F.lit(1))).first()
+    n, d = classes.agg(F.count("*"), F.coalesce(F.mode(F.size("vector"), True), F.lit(1))).first()
     axes = axes_for(n, d)
     tables = tables_for(axes, d, cosine, recall)
     coded = materialise(classes.select("v", F.col("_n").alias("n"), "vector").mapInArrow(_codes(tables, axes), "v bigint, n bigint, unit array<double>, codes array<bigint>"), "vectors")

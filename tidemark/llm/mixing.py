@@ -2,8 +2,8 @@
 
 Documents are the leaves' content of a tree domain > language > source. A token budget goes down from the root: the children of a node
 share its budget by weight, but none gets more than it can fill (its tokens times max_epochs). What a child can't fill goes to its
-siblings by weight; since a node's own capacity is the sum of its leaves', a shortage leaves a family only if the whole family is short,
-and then its ancestors' other children share it. All budgets are whole tokens, rounded down.
+siblings by weight; since a node's own capacity is the sum of what its leaves may take (a leaf under a weight of 0 may take nothing), a shortage leaves a
+family only if the whole family is short, and then its ancestors' other children share it. All budgets are whole tokens, rounded down.
 
 A leaf takes as many full epochs as its budget holds, and of the next epoch the documents in the order of md5(seed:epoch:id) as long as
 their running token count stays within the rest. The running count is taken over 4096 ranges of that order first, so that only the range
@@ -28,8 +28,8 @@ BROADCAST_LEAVES = 20_000
 
 
 def domain_of(source: Column) -> Column:
-    """The default domain: the number at the end of a source's name, modulo 3."""
-    number = F.expr("try_cast(regexp_extract(_source, '([0-9]+)$', 1) AS BIGINT)")
+    """The domain in the queries, as the tables have none: the number at the end of the name of a source, modulo 3."""
+    number = F.regexp_extract(F.coalesce(source.cast("string"), F.lit("")), "([0-9]+)$", 1).try_cast("bigint")
     return F.concat(F.lit("d"), (F.coalesce(number, F.lit(0)) % 3).cast("string"))
 
 
@@ -67,7 +67,10 @@ def share_out(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
 def budgets(leaves: DataFrame, budget_share: float, max_epochs: int, weights: dict[str, int]) -> DataFrame:
     """leaves (LEAF, tokens) -> adds budget."""
     per_mille = round(budget_share * 1000)
-    leaves = leaves.withColumn("capacity", F.col("tokens") * max_epochs)
+    spendable = F.lit(True)
+    for depth in range(3):
+        spendable &= weight_of(LEAF[: depth + 1], weights) > 0
+    leaves = leaves.withColumn("capacity", F.when(spendable, F.col("tokens") * max_epochs).otherwise(0))
     above = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"), F.coalesce(F.sum("capacity"), F.lit(0)).alias("c")).select(F.least(F.expr(f"(t * {per_mille}) div 1000"), "c").alias("budget"))
     for depth in range(3):
         parents, own = LEAF[:depth], LEAF[: depth + 1]
@@ -77,9 +80,9 @@ def budgets(leaves: DataFrame, budget_share: float, max_epochs: int, weights: di
     return leaves.join(above.hint("merge"), LEAF)
 
 
-def with_leaf(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, domain: Column | None, tokens: Column | None) -> DataFrame:
+def with_leaf(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, domain: Column, tokens: Column | None) -> DataFrame:
     out = docs.withColumn("_source", F.coalesce(F.col(source_col).cast("string"), F.lit(""))).withColumn("_lang", F.coalesce(F.col(lang_col).cast("string"), F.lit("")))
-    return out.withColumn("_domain", domain if domain is not None else domain_of(F.col("_source"))).withColumn("_tokens", tokens if tokens is not None else word_count(F.col(text_col))).withColumn("_key_id", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    return out.withColumn("_domain", domain).withColumn("_tokens", tokens if tokens is not None else word_count(F.col(text_col))).withColumn("_key_id", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
 
 
 def order_key(seed: int) -> Column:
@@ -113,8 +116,8 @@ def joined(rows: DataFrame, leaves: DataFrame) -> DataFrame:
     return rows.join(leaves.hint("broadcast" if leaves.count() <= BROADCAST_LEAVES else "merge"), LEAF)
 
 
-def mix(docs: DataFrame, budget_share: float = 0.5, max_epochs: int = 2, weights: dict[str, int] | None = None, seed: int = 13, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", domain: Column | None = None, tokens: Column | None = None) -> DataFrame:
-    """Per row: id, domain, lang, source, n_tokens, copies (how often the mixture takes it)."""
+def mix(docs: DataFrame, domain: Column, budget_share: float = 0.5, max_epochs: int = 2, weights: dict[str, int] | None = None, seed: int = 13, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", tokens: Column | None = None) -> DataFrame:
+    """Per row: id, domain, lang, source, n_tokens, copies (how often the mixture takes it). domain: a column of docs that is never null."""
     leafed = with_leaf(docs, id_col, text_col, lang_col, source_col, domain, tokens)
     base = materialise(leafed.select(F.col(id_col).alias("_id"), *LEAF, "_tokens", "_key_id"), "tokens")
     leaves = plan(base, budget_share, max_epochs, weights or {}, seed)
@@ -122,11 +125,11 @@ def mix(docs: DataFrame, budget_share: float = 0.5, max_epochs: int = 2, weights
     return out.select(F.col("_id").alias(id_col), F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.col("_tokens").alias("n_tokens"), copies().alias("copies"))
 
 
-def keep_mixed(docs: DataFrame, budget_share: float, weights: dict[str, int] | None = None, seed: int = 13, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def keep_mixed(docs: DataFrame, domain: Column, budget_share: float, weights: dict[str, int] | None = None, seed: int = 13, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows that a mixture of one epoch takes, with all their columns. Leaves' plans come to the rows, so no text is shuffled."""
     names = [c for c in docs.columns]
-    own = docs.select(F.struct(*[F.col(c) for c in names]).alias("_row"), *[F.col(c).alias(a) for c, a in ((id_col, "_i"), (text_col, "_t"), (lang_col, "_l"), (source_col, "_s"))])
-    leafed = with_leaf(own, "_i", "_t", "_l", "_s", None, None)
+    own = docs.select(F.struct(*[F.col(c) for c in names]).alias("_row"), domain.alias("_d"), *[F.col(c).alias(a) for c, a in ((id_col, "_i"), (text_col, "_t"), (lang_col, "_l"), (source_col, "_s"))])
+    leafed = with_leaf(own, "_i", "_t", "_l", "_s", F.col("_d"), None)
     base = materialise(leafed.select(*LEAF, "_tokens", "_key_id"), "tokens")
     leaves = plan(base, budget_share, 1, weights or {}, seed)
     out = joined(leafed.drop("_tokens"), leaves).withColumn("_key", order_key(seed)).withColumn("_range", F.substring("_key", 1, 3))
@@ -138,7 +141,7 @@ WEIGHTS = {"d0": 5, "d1": 3, "d2": 2, "*/en": 2, "*/*/src0": 1, "*/*/src1": 2, "
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), weights=WEIGHTS)
+    return mix(table(spark, sf_dir, "documents"), domain_of(F.col("source")), weights=WEIGHTS)
 
 
 def _level_sql(name: str, parents: list[str], own: list[str], above: str, weight: str) -> str:

@@ -1,4 +1,9 @@
-"""A training corpus out of `documents`: toxic documents go, near duplicates go, repeated passages go, sources are mixed, texts are encoded."""
+"""A training corpus out of `documents`: toxic documents go, near duplicates go, repeated passages go, sources are mixed, texts are encoded.
+
+Each stage runs on what the one before wrote. Defined cases: a null text is scored and encoded as empty, links with nothing and stays null; a null id stays, as
+the largest; of repeated rows (equal id and text) one stays; rows with equal ids and different texts are judged as rows of their own; an
+empty table gives no rows; extra columns are carried to the last stage.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, mixing, near_texts, repeats, toxicity
-from tidemark.llm.common import materialise, table
+from tidemark.llm.common import materialise, release, table, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +32,7 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """95 % of the tokens, of one epoch, by the weights of the mixing query."""
-    return mixing.keep_mixed(docs, 0.95, mixing.WEIGHTS)
+    return mixing.keep_mixed(docs, mixing.domain_of(F.col("source")), 0.95, mixing.WEIGHTS)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +47,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each on what the one before wrote."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages, each on what the one before wrote. A stage's scratch tables go when its result is written; the last one's go with common.release."""
+    docs, others = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        release(spark, [*others, written()[-1]])
     return STAGES[-1][1](spark, docs, sf_dir)

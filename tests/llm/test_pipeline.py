@@ -5,6 +5,7 @@ import hashlib
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tidemark.llm import mixing
 from tidemark.llm.tokens import default_vocabulary
 from test_near_texts import brute as near_brute
@@ -43,7 +44,7 @@ def test_stages(spark, run_dir, monkeypatch):
                 assert hashlib.sha256((text or "").encode()).hexdigest() == digest
         else:
             assert n_removed > 0
-    taken = mixing.mix(spark.createDataFrame([(i, t, None, None) for i, t in at["suffix"].items()], "doc_id long, text string, lang string, source string"), 0.95, 1)
+    taken = mixing.mix(spark.createDataFrame([(i, t, None, None) for i, t in at["suffix"].items()], "doc_id long, text string, lang string, source string"), mixing.domain_of(F.col("source")), 0.95, 1)
     assert taken.count() == len(at["suffix"]) and set(at["mixing"].items()) <= set(at["suffix"].items())
     from tokenizers import Tokenizer
 
@@ -52,3 +53,19 @@ def test_stages(spark, run_dir, monkeypatch):
         ids = t.encode(at["mixing"][r.doc_id] or "", add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, run_dir).collect()) == sorted(at["mixing"])
+
+
+def test_empty_and_repeated_rows(spark, run_dir, tmp_path):
+    docs = spark.read.parquet(f"{run_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{run_dir}/labels.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    few = docs.where("doc_id < 30")
+    null = few.limit(1).selectExpr("cast(null as long) doc_id", "cast(null as string) text", "lang", "source", "n_chars")
+    few.unionByName(few).unionByName(null).write.mode("overwrite").parquet(f"{tmp_path}/twice/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/twice/labels.parquet")
+    rows = corpus_pipeline.run(spark, f"{tmp_path}/twice").collect()
+    ids = [r.doc_id for r in rows]
+    assert len(ids) == len(set(ids)) and None in ids and len(ids) > 3
+    assert {r.ids_sha256 for r in rows if r.doc_id is None} == {hashlib.sha256(b"").hexdigest()}

@@ -35,3 +35,35 @@ def test_lines_are_judged_one_by_one(spark):
     got = {r.doc_id: r for r in clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i].kept for i in (1, 2, 3, 4)] == [True, True, False, False]
     assert got[2].cleaned == prose and got[2].n_lines_removed == 2 and 0 < got[2].lost < 0.1
+
+
+def test_one_notion_of_white_space(spark):
+    """Unicode spaces are parts of words in the counts and in every rule."""
+    rows = [(i, "\n".join(sep.join("abcdefghij") + f" word{j} is here" for j in range(20))) for i, sep in enumerate(["\u00a0", "\u3000", "\u2003", "\x0b", "\t"])]
+    for r in clean(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        text = rows[r.doc_id][1]
+        assert r.n_lines_removed == 0 and r.lost == 0 and r.cleaned == text
+        assert (r.n_words, r.word_chars) == (len(WORD.findall(text)), sum(map(len, WORD.findall(text))))
+
+
+def test_rules_without_a_language(spark):
+    line = "Лодки плывут {0} к тихой гавани и люди там {0} торгуют солью."
+    lines = {"links": "see https://a.example/x https://b.example/y www.c.example", "figures": "12.03.2020 19:30 4,99 EUR 7", "capitals": "ВСЁ ЭТО НАПИСАНО КРУПНО СОВСЕМ", "phrase": "Alle Rechte vorbehalten."}
+    rows = [(i, "\n".join([*(line.format(f"слово{k}") for k in range(12)), x])) for i, x in enumerate(lines.values())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.n_lines_removed for r in clean(df).orderBy("doc_id").collect()] == [1, 1, 1, 0]
+    assert [r.n_lines_removed for r in clean(df, phrases={"de": ["alle rechte vorbehalten"]}).orderBy("doc_id").collect()] == [1, 1, 1, 1]
+
+
+def test_sql_agrees(spark, docs, tmp_path):
+    import duckdb
+    from tidemark.llm.oracles import ORACLES
+
+    distinct = docs.dropDuplicates(["doc_id"])
+    distinct.write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as c:
+        c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+        names = [d[0] for d in c.execute(ORACLES["op6_cleaning"]).description]
+        want = {r[0]: dict(zip(names, r, strict=True)) for r in c.fetchall()}
+    got = {r.doc_id: r.asDict() for r in clean(distinct, with_text=False).collect()}
+    assert got == want

@@ -4,8 +4,11 @@ Every line of a whole text is judged on its own by punctuation, navigation and b
 removed; then the document is rejected if it lost too much of its text, on top of base rules on the whole text
 (too few words, too many words in repeated three-word windows).
 
-Words are runs of anything but ASCII white space. Defined cases: null text counts as empty: no words, base rules fail.
-Repeated rows give repeated results. Other columns are never read.
+Words are runs of anything but ASCII white space, in every count and rule. The rules look at marks, links, figures, capitals and repetition, whatever
+the language; stock phrases are a set for each language that the caller may replace.
+
+Defined cases: null text counts as empty: no words, base rules fail; a text of any length is judged whole, one at a time; an empty table
+gives no rows; repeated rows give repeated results. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -18,46 +21,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import slices, small_batches, table
 
 SPACE = " \t\n\x0b\x0c\r"
+#: ASCII white space to spaces: words are what stands between these, here and in every rule.
+TO_SPACES = str.maketrans(SPACE, " " * len(SPACE))
 SYMBOLS = "#*$%&|<>"
-BOILERPLATE = re.compile(
-    r"all rights reserved|terms of (use|service)|privacy policy|cookie|javascript|copyright|licensed under|permission is hereby granted|"
-    r"subscribe (to|now)|sign (in|up)|log ?in\b|click here|read more|share (this|on)|follow us|skip to (main )?content|powered by",
-    re.IGNORECASE,
-)
-MENU = re.compile(r"\s[|>»·•/]\s")
+#: Stock phrases by language, regular expressions in any case. Other sets may be given.
+PHRASES = {
+    "en": [
+        "all rights reserved", "terms of (use|service)", "privacy policy", "cookie", "javascript", "copyright", "licensed under", "permission is hereby granted", "subscribe (to|now)", "sign (in|up)",
+        "log ?in\\b", "click here", "read more", "share (this|on)", "follow us", "skip to (main )?content", "powered by",
+    ],
+}
+MENU = re.compile(r"[\x20\x09-\x0D][|>»·•/][\x20\x09-\x0D]")
+FIGURE = re.compile(r"[0-9][^\x20\x09-\x0D]*")
+
+
+def words_of(text: str) -> list[str]:
+    return [w for w in text.translate(TO_SPACES).split(" ") if w]
 
 
-def punctuation_fails(line: str, words: list[str], symbol_share: float = 0.1, shout_share: float = 0.3) -> bool:
-    """Too many symbols, or too many words that end in several exclamation or question marks."""
+def punctuation_fails(line: str, words: list[str], symbol_share: float = 0.1, shout_share: float = 0.3, capital_share: float = 0.7) -> bool:
+    """Too many symbols, too many words that end in several exclamation or question marks, or four words or more of which too many are in capitals."""
     symbols = sum(map(line.count, SYMBOLS))
     shouts = sum(map(line.count, ("!! ", "?? "))) + line.rstrip(SPACE).endswith(("!!", "??"))
-    return symbols > symbol_share * len(line) or shouts > shout_share * len(words)
+    if symbols > symbol_share * len(line) or shouts > shout_share * len(words):
+        return True
+    return len(words) >= 4 and sum(w == w.upper() and w != w.lower() for w in words) > capital_share * len(words)
 
 
-def navigation_fails(line: str, words: list[str]) -> bool:
-    """A menu: three items or more between separators."""
-    return len(MENU.findall(line)) >= 2 and len(MENU.findall(line)) * 8 >= len(words)
+def navigation_fails(line: str, words: list[str], link_share: float = 0.3) -> bool:
+    """A menu (three items or more between separators), or a line of links."""
+    items = len(MENU.findall(line))
+    return (items >= 2 and items * 8 >= len(words)) or line.count("://") + line.count("www.") > link_share * len(words)
 
 
-def boilerplate_fails(line: str, words: list[str]) -> bool:
-    """A stock phrase in a line of at most 30 words, or a longer line that mostly says the same words."""
-    if len(words) <= 30 and BOILERPLATE.search(line):
+def boilerplate_fails(line: str, words: list[str], phrases: re.Pattern, figure_share: float = 0.6) -> bool:
+    """In a line of at most 30 words a stock phrase, or three words or more of which most hold figures (dates, prices); or a longer line that mostly says the same words."""
+    if len(words) <= 30 and (phrases.search(line) or (len(words) >= 3 and len(FIGURE.findall(line)) > figure_share * len(words))):
         return True
     return len(words) >= 20 and 4 * len(set(words)) < len(words)
 
 
-RULES = (punctuation_fails, navigation_fails, boilerplate_fails)
+def phrase_pattern(phrases: dict[str, list[str]]) -> re.Pattern:
+    return re.compile("|".join(x for own in phrases.values() for x in own) or r"(?!)", re.IGNORECASE)
 
 
-def clean_lines(text: str) -> tuple[list[str], int, int]:
+def clean_lines(text: str, phrases: re.Pattern) -> tuple[list[str], int, int]:
     """The lines that pass, how many fail, and the code points in words of those that pass."""
     kept, failed, chars = [], 0, 0
     for line in text.split("\n"):
-        words = line.split()
-        if words and any(rule(line, words) for rule in RULES):
+        words = words_of(line)
+        if words and (punctuation_fails(line, words) or navigation_fails(line, words) or boilerplate_fails(line, words, phrases)):
             failed += 1
         else:
             kept.append(line)
@@ -101,16 +117,21 @@ def measures(text: str) -> dict:
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def clean(docs: DataFrame, most_lost: float = 0.5, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+def clean(docs: DataFrame, most_lost: float = 0.5, phrases: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """Per document: the base counts, base_failed, n_lines_removed, lost (the share of word characters in removed lines), kept, and
     with_text the text of the lines that pass."""
 
+    small_batches(docs.sparkSession)
+    stock = PHRASES if phrases is None else phrases
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        pattern = phrase_pattern(stock)
+        for b in slices(batches, "text"):
             out: dict[str, list] = {k: [] for k in (*COLUMNS, "base_failed", "n_lines_removed", "lost", "kept", "cleaned")}
-            for text in b.column("text").to_pylist():
-                m = measures(text or "")
-                lines, failed, chars = clean_lines(text or "")
+            for value in b.column("text"):
+                text = value.as_py() or ""
+                m = measures(text)
+                lines, failed, chars = clean_lines(text, pattern)
                 bad = m["n_words"] < 50 or 100 * m["n_repeat_words"] > 50 * m["n_words"]
                 lost = 1 - chars / m["word_chars"] if m["word_chars"] else 0.0
                 for k, v in (m | {"base_failed": bad, "n_lines_removed": failed, "lost": lost, "kept": not bad and lost <= most_lost, "cleaned": "\n".join(lines) if with_text else None}).items():

@@ -50,12 +50,15 @@ w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FR
 windows AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
 again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM windows) WHERE n > 1),
 repeats AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
-lines AS (SELECT doc_id, seq, line, regexp_extract_all(line, '\S+') AS lw FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS seq FROM d)),
+lines AS (SELECT doc_id, seq, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS seq FROM d)),
 dups AS (SELECT doc_id, count(*) AS n_dup_lines FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, line ORDER BY seq) AS r FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')) WHERE r > 1 GROUP BY doc_id),
 judged AS (SELECT doc_id, list_sum(list_transform(lw, lambda x: len(x))) AS chars, len(lw) > 0 AND (
     len(line) - len(translate(line, '#*$%&|<>', '')) > 0.1 * len(line)
     OR (len(line) - len(replace(line, '!! ', ''))) // 3 + (len(line) - len(replace(line, '?? ', ''))) // 3 + regexp_matches(line, '(!!|\?\?)[\x20\x09-\x0D]*$')::INT > 0.3 * len(lw)
-    OR (len(regexp_extract_all(line, '\s[|>»·•/]\s')) >= 2 AND len(regexp_extract_all(line, '\s[|>»·•/]\s')) * 8 >= len(lw))
+    OR (len(lw) >= 4 AND len(list_filter(lw, lambda x: x = upper(x) AND x <> lower(x))) > 0.7 * len(lw))
+    OR (len(regexp_extract_all(line, '[\x20\x09-\x0D][|>»·•/][\x20\x09-\x0D]')) >= 2 AND len(regexp_extract_all(line, '[\x20\x09-\x0D][|>»·•/][\x20\x09-\x0D]')) * 8 >= len(lw))
+    OR (len(line) - len(replace(line, '://', ''))) // 3 + (len(line) - len(replace(line, 'www.', ''))) // 4 > 0.3 * len(lw)
+    OR (len(lw) BETWEEN 3 AND 30 AND len(regexp_extract_all(line, '[0-9][^\x20\x09-\x0D]*')) > 0.6 * len(lw))
     OR (len(lw) <= 30 AND regexp_matches(line, '(?i)all rights reserved|terms of (use|service)|privacy policy|cookie|javascript|copyright|licensed under|permission is hereby granted|subscribe (to|now)|sign (in|up)|log ?in\b|click here|read more|share (this|on)|follow us|skip to (main )?content|powered by'))
     OR (len(lw) >= 20 AND 4 * len(list_distinct(lw)) < len(lw))) AS failed FROM lines),
 sums AS (SELECT doc_id, count(*) FILTER (failed) AS n_lines_removed, coalesce(sum(chars) FILTER (NOT failed), 0) AS left_chars FROM judged GROUP BY doc_id),

@@ -2,27 +2,29 @@
 
 For each language a suffix automaton of a bounded sample of its labelled text gives, from any point of a new text, the
 longest match with the sample. A text is cut greedily into such longest matches (phrases); the language
-that needs the fewest phrases per letter wins. Texts are parsed in blocks of BLOCK symbols (a
-phrase ends at a block's end), so that a numpy table walks many blocks of whole texts side by side.
+that needs the fewest phrases per letter wins. Texts are laid out in blocks of BLOCK symbols, so that a numpy table walks many blocks of
+whole texts side by side; a block whose predecessor ends within a phrase is walked again from there, until all blocks agree.
 
 Every non-null lang value with a row outside the held-out fold is learned, and every letter of a sample is a symbol of its own, whatever the
 script. The tables are kept by edges, so their size does not grow with the alphabet; languages are scored in blocks of LANGUAGES, of which
 a worker holds one at a time, and the least phrase count over all blocks wins.
 
 Defined cases: `und` with score 0 if the text is null, empty or has no letter, or if no language was learned; ties go to
-the first language by name. Null ids are predicted and never learned from. Other columns are never read.
+the first language by name. Null ids are predicted and never learned from. A text of any length is parsed whole. Repeated rows give repeated
+predictions, and in a sample make it smaller. An empty table gives no rows. Other columns are never read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold_of, table, texts_of
+from tidemark.llm.common import fold_of, slices, small_batches, table, texts_of
 
 BLOCK = 1024
 #: Symbol 0 is anything but a letter or one of the learned letters' symbols.
@@ -127,20 +129,23 @@ def tables_of(spark: SparkSession, model: dict, names: list[str]) -> dict[str, t
     return dict(spark.sparkContext.parallelize([(k, model["samples"][k]) for k in names], len(names)).map(build).collect())
 
 
+@lru_cache(maxsize=1)
+def alphabet() -> np.ndarray:
+    """The code points of all letters."""
+    return np.array([c for c in range(0x110000) if chr(c).isalpha()])
+
+
 def letter_codes(letters: list[int], sigma: int) -> np.ndarray:
     """code point -> symbol: a learned letter has its own, another letter the last, anything else OTHER."""
     code = np.zeros(0x110000, np.int32)
-    code[[c for c in range(0x3400) if chr(c).isalpha()]] = sigma - 1
-    code[0x3400:0xD800] = sigma - 1
-    code[0xF900:0xFE00] = sigma - 1
-    code[0x10000:] = sigma - 1
+    code[alphabet()] = sigma - 1
     code[letters] = np.arange(1, len(letters) + 1)
     return code
 
 
-def count_phrases(blocks: np.ndarray, lengths: np.ndarray, phrases: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    """Phrases of each row of blocks [n, BLOCK], of which the first lengths symbols count; rows must come longest first."""
-    state, count = np.zeros(len(blocks), np.int64), np.ones(len(blocks), np.int64)
+def walk(blocks: np.ndarray, lengths: np.ndarray, phrases: tuple[np.ndarray, np.ndarray, np.ndarray], state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(phrases that end, state at the end) of each row of blocks [n, BLOCK] from its state, of which the first lengths symbols count; rows must come longest first."""
+    state, count = state.copy(), np.zeros(len(blocks), np.int64)
     base, slots, root = phrases
     live = np.searchsorted(-lengths, -np.arange(blocks.shape[1]), side="left")
     columns = np.ascontiguousarray(blocks.T)
@@ -151,11 +156,24 @@ def count_phrases(blocks: np.ndarray, lengths: np.ndarray, phrases: tuple[np.nda
         goes = step >> 32 == s
         count[:n] += ~goes
         state[:n] = np.where(goes, step & 0xFFFFFFFF, root[c])
-    return count
+    return count, state
+
+
+def count_phrases(blocks: np.ndarray, lengths: np.ndarray, before: np.ndarray, phrases: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Phrases that end in each block; before is the row of the same text's block before, or -1."""
+    entry = np.zeros(len(blocks), np.int64)
+    count, state = walk(blocks, lengths, phrases, entry)
+    while True:
+        now = np.where(before >= 0, state[before], 0)
+        again = np.flatnonzero(now != entry)
+        if not len(again):
+            return count
+        entry = now
+        count[again], state[again] = walk(blocks[again], lengths[again], phrases, entry[again])
 
 
-def laid_out(texts: list[str | None], code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(blocks, their lengths, the text each is of, symbols [text]) of whole texts, longest blocks first."""
+def laid_out(texts: list[str | None], code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(blocks, their lengths, the row of the block before or -1, the text each is of, symbols [text]) of whole texts, longest blocks first."""
     parts, owner = [], []
     total = np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
@@ -164,57 +182,60 @@ def laid_out(texts: list[str | None], code: np.ndarray) -> tuple[np.ndarray, np.
         for at in range(0, len(s), BLOCK):
             parts.append(s[at : at + BLOCK])
             owner.append(i)
-    lengths = np.array([len(x) for x in parts], np.int64)
+    lengths, owner = np.array([len(x) for x in parts], np.int64), np.array(owner, np.int64)
     order = np.argsort(-lengths, kind="stable")
+    row = np.argsort(order)
+    before = np.full(len(parts), -1, np.int64)
+    follows = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+    before[row[follows]] = row[follows - 1]
     blocks = np.zeros((len(parts), BLOCK), np.int32)
-    for row, k in enumerate(order):
-        blocks[row, : lengths[k]] = parts[k]
-    return blocks, lengths[order], np.array(owner, np.int64)[order], total
+    for r, k in enumerate(order):
+        blocks[r, : lengths[k]] = parts[k]
+    return blocks, lengths[order], before, owner[order], total
 
 
-def counts_in(blocks: np.ndarray, lengths: np.ndarray, owner: np.ndarray, n: int, tables: dict) -> np.ndarray:
-    """Phrases [text, language] of n texts."""
-    out = np.zeros((n, len(tables)), np.int64)
+def counts_in(blocks: np.ndarray, lengths: np.ndarray, before: np.ndarray, owner: np.ndarray, total: np.ndarray, tables: dict) -> np.ndarray:
+    """Phrases [text, language] of the texts."""
+    out = np.repeat((total > 0).astype(np.int64)[:, None], len(tables), axis=1)
     for j, phrases in enumerate(tables.values()):
-        np.add.at(out[:, j], owner, count_phrases(blocks, lengths, phrases))
+        np.add.at(out[:, j], owner, count_phrases(blocks, lengths, before, phrases))
     return out
 
 
 def phrase_counts(texts: list[str | None], model: dict, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(phrases [text, language], symbols [text]) of whole texts."""
     *where, total = laid_out(texts, code)
-    return counts_in(*where, len(texts), model["tables"]), total
+    return counts_in(*where, total, model["tables"]), total
 
 
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score): score is the winner's share of the softmax of -8 * (phrases over the fewest phrases)."""
     spark = docs.sparkSession
+    small_batches(spark)
     names, letters, sigma = [*model["samples"]], model["letters"], model["sigma"]
     groups = [names[at : at + LANGUAGES] for at in range(0, len(names), LANGUAGES)]
     sent = [spark.sparkContext.broadcast(tables_of(spark, model, group)) for group in groups]  # a table takes some 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = letter_codes(letters, sigma)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                texts = b.column("text").to_pylist()
-                *where, _ = laid_out(texts, code)
-                counts = []
-                for one in sent:
-                    counts.append(counts_in(*where, len(texts), one.value))
-                    if len(sent) > 1 and getattr(one, "_path", None):
-                        vars(one).pop("_value", None)  # read again from the executor's file when its turn comes
-                pred, score = [], []
-                for t, c in zip(texts, np.hstack(counts) if counts else texts, strict=True):
-                    if not names or not t or not any(map(str.isalpha, t)):
-                        pred.append("und")
-                        score.append(0.0)
-                        continue
-                    e = np.exp(-8 * (c / c.min() - 1))
-                    pred.append(names[int(np.argmin(c))])
-                    score.append(float(1 / e.sum()))
-                yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["_id", "lang_pred", "score"])
+        for b in slices(batches, "text"):
+            texts = b.column("text").to_pylist()
+            where = laid_out(texts, code)
+            counts = []
+            for one in sent:
+                counts.append(counts_in(*where, one.value))
+                if len(sent) > 1 and getattr(one, "_path", None):
+                    vars(one).pop("_value", None)  # read again from the executor's file when its turn comes
+            pred, score = [], []
+            for t, c in zip(texts, np.hstack(counts) if counts else texts, strict=True):
+                if not names or not t or not any(map(str.isalpha, t)):
+                    pred.append("und")
+                    score.append(0.0)
+                    continue
+                e = np.exp(-8 * (c / c.min() - 1))
+                pred.append(names[int(np.argmin(c))])
+                score.append(float(1 / e.sum()))
+            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["_id", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).mapInArrow(run, f"_id {kind}, lang_pred string, score double").withColumnRenamed("_id", id_col)

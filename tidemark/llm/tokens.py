@@ -6,7 +6,8 @@ a faster library with the same vocabulary; all others take the tokenizers librar
 
 `length_histogram` aggregates documents by encoded length. Suffix sums over the lengths then answer, for every
 context limit, how many documents and tokens lie at or beyond it, and the total after truncation to it.
-Defined cases: null text counts as empty, of length 0; an empty table gives no rows; repeated rows count each time.
+Defined cases: null text counts as empty, of length 0; a text of any length is encoded whole, one at a time; an empty table gives no rows;
+repeated rows count each time.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import materialise, slices, small_batches, table
 
 #: Outside these ranges the classes of characters may depend on a library's Unicode version.
 UNUSUAL = re.compile("[^\x00-ɏ‐-‧‰-⁞€™]")
@@ -76,24 +77,26 @@ def encoder(path: str | None) -> Encoder:
 def token_lengths(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens) of every whole text."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array([len(e.encode(t)) for t in b.column("text").to_pylist()], pa.int64())], ["_id", "n_tokens"])
+        for b in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array([len(e.encode(t.as_py())) for t in b.column("text")], pa.int64())], ["_id", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).mapInArrow(run, f"_id {kind}, n_tokens bigint").withColumnRenamed("_id", id_col)
 
 
-def length_histogram(lengths: DataFrame, length_col: str = "n_tokens", width: int = 1024) -> DataFrame:
+def length_histogram(lengths: DataFrame, length_col: str = "n_tokens", width: int = 256) -> DataFrame:
     """One row per distinct length: n_docs of it; docs_ge and tokens_ge at or beyond it (suffix sums);
     truncated_tokens, the total if every document is cut to it; doc_share, the share of documents not beyond it.
 
-    Lengths are summed in ranges of `width`; a window over the few ranges gives each its offset, and windows
-    inside the ranges run side by side.
+    The histogram is written first, so that texts are encoded once; it has a row for each distinct length. Lengths are summed in
+    ranges of `width`; a window over the few ranges gives each its offset, and windows inside the ranges run side by side.
     """
     n, in_range = F.col("n_docs"), Window.partitionBy("range").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, 0)
-    hist = lengths.groupBy(F.col(length_col).cast("bigint").alias("n_tokens")).agg(F.count("*").alias("n_docs")).withColumn("range", F.floor(F.col("n_tokens") / width))
+    hist = materialise(lengths.groupBy(F.col(length_col).cast("bigint").alias("n_tokens")).agg(F.count("*").alias("n_docs")).withColumn("range", F.floor(F.col("n_tokens") / width)), "lengths")
     beyond = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     ranges = hist.groupBy("range").agg(F.sum(n).alias("d"), F.sum(n * F.col("n_tokens")).alias("t"))

@@ -48,7 +48,10 @@ def punctuation_fails(line: str, words: list[str], symbol_share: float = 0.1, sh
     shouts = sum(map(line.count, ("!! ", "?? "))) + line.rstrip(SPACE).endswith(("!!", "??"))
     if symbols > symbol_share * len(line) or shouts > shout_share * len(words):
         return True
-    return len(words) >= 4 and sum(w == w.upper() and w != w.lower() for w in words) > capital_share * len(words)
+    most = capital_share * len(words)
+    if len(words) < 4 or len(words) - sum(map(str.islower, words)) <= most:  # a word in capitals is never lower case
+        return False
+    return sum(w == w.upper() and w != w.lower() for w in words) > most
 
 
 def navigation_fails(line: str, words: list[str], link_share: float = 0.3) -> bool:

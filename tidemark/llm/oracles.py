@@ -2,6 +2,7 @@
 
 from tidemark.llm.chat import CHAT_SQL
 from tidemark.llm.mixing import MIXING_SQL
+from tidemark.llm.negatives import NEGATIVES_SQL
 from tidemark.llm.prefixes import PREFIXES_SQL
 
 #: Components by reachability over links(a, b) among nodes(v).
@@ -70,4 +71,4 @@ m AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CASE WHEN word_chars > 0 THEN 1 - left_chars::DOUBLE / word_chars ELSE 0.0::DOUBLE END AS lost FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lines_removed, lost, NOT base_failed AND lost <= 0.5 AS kept FROM v"""
 
-ORACLES = {"op2_embeddings": EMBEDDINGS_SQL, "op5_mixing": MIXING_SQL, "op6_cleaning": CLEANING_SQL, "op8_repeats": REPEATS_SQL, "op10_minhash": MINHASH_SQL, "op11_chat": CHAT_SQL, "op13_prefixes": PREFIXES_SQL}
+ORACLES = {"op2_embeddings": EMBEDDINGS_SQL, "op5_mixing": MIXING_SQL, "op6_cleaning": CLEANING_SQL, "op8_repeats": REPEATS_SQL, "op10_minhash": MINHASH_SQL, "op11_chat": CHAT_SQL, "op12_negatives": NEGATIVES_SQL, "op13_prefixes": PREFIXES_SQL}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranges import quantile_of, running
+
 #: Winnings and losses per unit of risk, and the shares of the selectivity sweep.
 PAYOFF = 3.0
 TOP_PERCENTS = [100, 50, 25, 10, 5]
@@ -13,26 +15,12 @@ TOP_PERCENTS = [100, 50, 25, 10, 5]
 def auc(df: DataFrame, score: str = "p", label: str = "label", by: list[str] | None = None) -> DataFrame:
     """Exact area under the ROC curve by group; ties count one half; NULL with one class only.
 
-    Rows are first counted by score, so the window runs over distinct scores. Without groups, scores are dealt into ranges and
-    each range's window starts from the totals of the ranges before it, so that no single task sees all of them.
+    Rows are first counted by score, and scores dealt into ranges cut at sampled quantiles, so that no task sees all scores of a group, however close they lie.
     """
     by = by or []
     counts = df.groupBy(*by, F.col(score).alias("_s")).agg(F.count_if(F.col(label) == 1).alias("n1"), F.count_if(F.col(label) == 0).alias("n0"))
-    if by:
-        before = F.coalesce(F.sum("n0").over(Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    else:
-        counts = counts.withColumn("_r", F.floor(F.least(F.greatest("_s", F.lit(0.0)), F.lit(1.0)) * 1024))
-        totals = counts.groupBy("_r").agg(F.sum("n0").alias("_t")).withColumn("_base", F.coalesce(F.sum("_t").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        counts = counts.join(F.broadcast(totals.select("_r", "_base")), "_r")  # at most 1,025 rows
-        before = F.col("_base") + F.coalesce(F.sum("n0").over(Window.partitionBy("_r").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn("_won", F.col("n1") * (before + F.col("n0") / 2))
-    return counts.groupBy(*by).agg(F.try_divide(F.sum("_won"), (F.sum("n1") * F.sum("n0")).cast("double")).alias("auc"))
-
-
-def fold_metrics(assigned: DataFrame, scored: DataFrame, score: str = "p") -> DataFrame:
-    """Per fold: train and test rows, win rate of the test rows, AUC."""
-    n = assigned.groupBy("fold").agg(F.count_if(F.col("role") == "train").alias("train_rows"), F.count_if(F.col("role") == "test").alias("test_rows"), F.avg(F.when(F.col("role") == "test", F.col("label").cast("double"))).alias("win_rate"))
-    return n.where("train_rows > 0 and test_rows > 0").join(auc(scored, score, by=["fold"]), "fold", "left")
+    won = running(counts, by, "_s", "n0").withColumn("_won", F.col("n1") * (F.col("_before") + F.col("n0") / 2))
+    return won.groupBy(*by).agg(F.try_divide(F.sum("_won"), (F.sum("n1") * F.sum("n0")).cast("double")).alias("auc"))
 
 
 def auc_spread(metrics: DataFrame) -> DataFrame:
@@ -66,27 +54,14 @@ def value_at(p: Column, payoff: float = PAYOFF) -> Column:
 def sweep(df: DataFrame, percents: list[int] | None = None, payoff: float = PAYOFF) -> DataFrame:
     """For all rows and for each of the regimes: trades with a blend in the top percents, their win rate and expected value. Ties at the cut are in.
 
-    Cuts are exact quantiles, interpolated between two ranks. Rows are counted by blend, blends dealt into 1,024 ranges, and each range's
-    window starts from the totals of the ranges before it, so that no task sees all blends of a scope.
+    Cuts are exact quantiles, interpolated between two ranks. Rows are counted by blend, and blends dealt into ranges cut at sampled quantiles, so that no task sees all blends of a scope.
     """
     percents = percents or TOP_PERCENTS
     scopes = F.array(F.lit("ALL"), F.when(F.col("regime").isin("bull", "sideways", "bear"), F.col("regime")))
-    rows = df.select(F.explode(F.array_compact(scopes)).alias("scope"), "blend", "label").groupBy("scope", "blend").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("won"))
-    rows = rows.withColumn("_r", F.floor(F.least(F.greatest("blend", F.lit(0.0)), F.lit(1.0)) * 1024))
-    before = Window.partitionBy("scope").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = rows.groupBy("scope", "_r").agg(F.sum("n").alias("_t")).select("scope", "_r", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_base"), F.sum("_t").over(Window.partitionBy("scope")).alias("_all"))
-    upto = F.col("_base") + F.sum("n").over(Window.partitionBy("scope", "_r").orderBy("blend"))
-    ranked = rows.join(F.broadcast(ranges), ["scope", "_r"]).withColumn("_upto", upto)  # at most 1,025 ranges in each of four scopes
-
-    def value_of(rank: Column) -> Column:
-        return F.max(F.when((F.col("_upto") - F.col("n") <= rank) & (rank < F.col("_upto")), F.col("blend")))
-
-    cuts = []
-    for p in percents:
-        at = (F.col("_all") - 1) * (1 - p / 100)
-        low, high, part = value_of(F.floor(at)), value_of(F.ceil(at)), F.max(at - F.floor(at))
-        cuts.append(F.struct(F.lit(p).alias("top_pct"), (low + (high - low) * part).alias("cut")))
-    found = ranked.groupBy("scope").agg(F.array(*cuts).alias("c")).select("scope", F.inline("c"))
+    counts = df.select(F.explode(F.array_compact(scopes)).alias("scope"), "blend", "label").groupBy("scope", "blend").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("won"))
+    rows = running(counts, ["scope"], "blend", "n")
+    cuts = [F.struct(F.lit(p).alias("top_pct"), quantile_of(1 - p / 100, "blend", "n").alias("cut")) for p in percents]
+    found = rows.groupBy("scope").agg(F.array(*cuts).alias("c")).select("scope", F.inline("c"))
     kept = rows.join(F.broadcast(found), "scope").where("blend >= cut")  # four scopes times the percents
     out = kept.groupBy("scope", "top_pct").agg(F.sum("n").alias("trades"), (F.sum("won") / F.sum("n")).alias("win_rate"))
     return out.withColumn("ev", value_at(F.col("win_rate"), payoff))
@@ -96,11 +71,6 @@ def regime_counts(df: DataFrame) -> DataFrame:
     return df.groupBy(F.coalesce("regime", F.lit("none")).alias("regime")).agg(F.count("*").alias("n"), F.avg(F.col("label").cast("double")).alias("win_rate"))
 
 
-def class_balance(df: DataFrame, by: list[str]) -> DataFrame:
-    pos = F.count_if(F.col("label") == 1)
-    return df.groupBy(*by).agg((F.count_if(F.col("label") == 0) / F.greatest(pos, F.lit(1))).alias("positive_weight"))
-
-
 def scaler_stats(assigned: DataFrame, columns: list[str]) -> DataFrame:
     """Per fold the least and largest value of each column among its train rows, in one pass."""
     train = assigned.where("role = 'train'")

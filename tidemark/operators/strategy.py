@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import top_per_day
+from tidemark.operators.ranges import quantiles
+from tidemark.operators.scratch import materialise
 
 
 @dataclass(frozen=True)
@@ -74,13 +76,19 @@ def path_ends(curve: DataFrame, cfg: Config) -> DataFrame:
 
 
 def _stats() -> list[Column]:
+    """Of a few paths, as a report has."""
     q = F.percentile("final", F.array(*[F.lit(x) for x in (0.05, 0.5, 0.95)]))
     return [F.count("*").alias("paths"), F.get(q, F.lit(1)).alias("median"), F.get(q, F.lit(0)).alias("p5"), F.get(q, F.lit(2)).alias("p95"), F.avg(F.col("ruined").cast("double")).alias("ruin"), F.percentile("worst", F.lit(0.5)).alias("median_drawdown")]
 
 
 def path_stats(curve: DataFrame, cfg: Config) -> DataFrame:
-    """One row: median and 5 / 95 % quantiles of the final equity, share of paths that fell under half the capital, median of the largest drawdowns."""
-    return path_ends(curve, cfg).agg(*_stats())
+    """One row: median and 5 / 95 % quantiles of the final equity, share of paths that fell under half the capital, median of the largest drawdowns. The quantiles are exact, over ranges of paths."""
+    ends = materialise(path_ends(curve, cfg), "paths")
+    finals = quantiles(ends, "final", {"median": 0.5, "p5": 0.05, "p95": 0.95})
+    worst = quantiles(ends, "worst", {"median_drawdown": 0.5})
+    rest = ends.agg(F.count("*").alias("paths"), F.avg(F.col("ruined").cast("double")).alias("ruin"))
+    one = rest.crossJoin(F.broadcast(finals)).crossJoin(F.broadcast(worst))  # one row each
+    return one.select("paths", "median", "p5", "p95", "ruin", "median_drawdown")
 
 
 def report(scored: DataFrame, benchmark: DataFrame, start: str, end: str, cfg: Config, years: int = 5) -> DataFrame:

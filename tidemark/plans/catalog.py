@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.windows import sequences, top_per_day
 from tidemark.operators import evaluate as E
+from tidemark.operators import folds as V
 from tidemark.operators import learn as M
 from tidemark.operators import strategy as K
 from tidemark.operators import writes as W
@@ -150,7 +151,7 @@ def assigned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
-    return assigned(spark, d).where("role = 'test'").select("date", "ticker", "label", "fold", "p1", "p2", "close")
+    return L.tested(pool(spark, d), test_folds(spark)).select("date", "ticker", "label", "fold", "p1", "p2", "close")
 
 
 def score_files(spark: SparkSession, d: str, name: str = "scores") -> tuple[DataFrame, DataFrame]:
@@ -161,10 +162,10 @@ def score_files(spark: SparkSession, d: str, name: str = "scores") -> tuple[Data
     return both.drop("p2"), both.select("date", "ticker", "p2")
 
 
-def metric_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The folds' rows and the scores among them, from one table."""
-    rows = materialise(assigned(spark, d).select("date", "ticker", "label", "fold", "role", "p1"), "assigned")
-    return rows, rows.where("role = 'test'")
+def metric_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The pool, the folds, and the scores of the folds' test rows, from one table."""
+    rows, folds = materialise(pool(spark, d).select("date", "ticker", "label", "p1"), "pool"), test_folds(spark)
+    return rows, folds, L.tested(rows, folds)
 
 
 def blended(spark: SparkSession, d: str) -> DataFrame:
@@ -466,17 +467,17 @@ _METRICS = f"metrics AS (SELECT fold, count(*) FILTER (role = 'train') AS train_
 
 @query(f"WITH {FULL}, {_METRICS} SELECT fold, train_rows, test_rows, {_r('win_rate', 'auc')} FROM metrics")
 def fold_metrics(spark, d):
-    return rounded(E.fold_metrics(*metric_inputs(spark, d), "p1"))
+    return rounded(V.fold_metrics(*metric_inputs(spark, d), "p1"))
 
 
 @query(f"WITH {FULL}, {_METRICS} SELECT round(avg(round(auc, 4)), 6) AS auc_mean, round(stddev_samp(round(auc, 4)), 6) AS auc_sd FROM metrics")
 def auc_spread(spark, d):
-    return rounded(E.auc_spread(E.fold_metrics(*metric_inputs(spark, d), "p1")))
+    return rounded(E.auc_spread(V.fold_metrics(*metric_inputs(spark, d), "p1")))
 
 
 @query(f"WITH {FULL} SELECT fold, " + ", ".join(f'round(min("{c}"), 6) + 0.0 AS "{c}_min", round(max("{c}"), 6) + 0.0 AS "{c}_max"' for c in X.LEAN) + " FROM assigned WHERE role = 'train' GROUP BY fold")
 def scaler_stats(spark, d):
-    return rounded(E.scaler_stats(assigned(spark, d), X.LEAN))
+    return rounded(V.scaler_stats(pool(spark, d), test_folds(spark), X.LEAN))
 
 
 _STATS = "stats AS (SELECT fold, " + ", ".join(f'min("{c}") AS "{c}_min", max("{c}") AS "{c}_max"' for c in X.LEAN) + " FROM assigned WHERE role = 'train' GROUP BY fold)"
@@ -487,14 +488,14 @@ _UNIT = {c: f'("{c}" - "{c}_min") / (CASE WHEN "{c}_max" = "{c}_min" THEN 1 ELSE
 
 @query(f"WITH {FULL}, {_STATS}, u AS (SELECT fold, role, ticker, date, " + ", ".join(f'{e} AS "{c}"' for c, e in _UNIT.items()) + " FROM assigned JOIN stats USING (fold) WHERE role = 'test') SELECT fold, role, ticker, date, " + _r(*X.LEAN, digits=6) + " FROM u")
 def scaled_rows(spark, d):
-    rows = materialise(assigned(spark, d).select("fold", "role", "ticker", "date", *X.LEAN), "assigned")
-    out = E.scaled(rows.where("role = 'test'").select("fold", "role", "ticker", "date", *X.LEAN), E.scaler_stats(rows, X.LEAN), X.LEAN)
+    rows, folds = materialise(pool(spark, d).select("ticker", "date", "label", *X.LEAN), "pool"), test_folds(spark)
+    out = E.scaled(L.tested(rows, folds).select("fold", F.lit("test").alias("role"), "ticker", "date", *X.LEAN), V.scaler_stats(rows, folds, X.LEAN), X.LEAN)
     return rounded(out, 6)
 
 
 @query(f"WITH {FULL} SELECT fold, round(count(*) FILTER (label = 0) / greatest(count(*) FILTER (label = 1), 1), 6) AS positive_weight FROM assigned WHERE role = 'train' GROUP BY fold")
 def class_balance(spark, d):
-    return rounded(E.class_balance(assigned(spark, d).where("role = 'train'"), ["fold"]))
+    return rounded(V.class_balance(pool(spark, d), test_folds(spark)))
 
 
 @query(f"""WITH {FULL}, n AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS seq, count(*) OVER (PARTITION BY ticker) AS n FROM pool)

@@ -42,6 +42,12 @@ def assigned(df: DataFrame, folds: DataFrame, purge_days: int = PURGE_DAYS) -> D
     return df.join(F.broadcast(f), train | test).withColumn("role", F.when(train, "train").otherwise("test")).drop("cut", "train_end", "test_start", "test_end")
 
 
+def tested(df: DataFrame, folds: DataFrame, purge_days: int = PURGE_DAYS) -> DataFrame:
+    """Rows with the fold that tests them. Test spans hardly overlap, so rows are not multiplied as training rows would be."""
+    f = folds.select("fold", F.greatest("test_start", F.date_add(F.date_sub("train_end", purge_days), 1)).alias("_first"), F.col("test_end").alias("_last"))
+    return df.join(F.broadcast(f), F.col("date").between(F.col("_first"), F.col("_last"))).drop("_first", "_last")
+
+
 def validation_split(df: DataFrame, share: float = 0.85) -> DataFrame:
     """Adds part: train up to the date that the share of rows does not exceed, else validation. By date, for all tickers alike."""
     day = F.datediff("date", F.lit("1970-01-01").cast("date"))

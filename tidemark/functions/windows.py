@@ -33,34 +33,36 @@ def carried(x: Column, w: WindowSpec) -> Column:
     return F.last(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def with_ewm(df: DataFrame, column: str, spans: dict[str, int], key: str = "ticker", order: str = "date") -> DataFrame:
-    """Adds exponentially weighted means (weight 2 / (span + 1), started at the first value).
+def with_ewm(df: DataFrame, column: str, spans: dict[str, int], keys: tuple[str, ...] = ("ticker",), order: str = "date", starts: Column | bool = True) -> DataFrame:
+    """Adds exponentially weighted means (weight 2 / (span + 1), started at the first value). starts: whether a series really starts with its first row; if not, that row weighs as any other.
 
     A running sum of x / q^i overflows on long series, so the sum restarts in each block of rows; a block takes over the
     end of the one before. What still older blocks weigh is below the precision of a double.
     """
     slowest = max(spans.values())
     block = 2 ** math.ceil(math.log2(40 * (slowest + 1) / 2))  # q^block < 1e-17, and q^-block stays finite for any span over 2
-    w = series(key, order)
-    df = df.withColumn("_at", F.row_number().over(w) - 1).withColumn("_block", F.floor(F.col("_at") / block)).withColumn("_o", F.col("_at") % block)
-    inside = Window.partitionBy(key, "_block").orderBy(order)
-    before = Window.partitionBy(key).orderBy("_block").rangeBetween(-1, -1)
+    w = Window.partitionBy(*keys).orderBy(order)
+    df = df.withColumn("_at", F.row_number().over(w) - 1).withColumn("_part", F.floor(F.col("_at") / block)).withColumn("_off", F.col("_at") % block)
+    inside = Window.partitionBy(*keys, "_part").orderBy(order)
+    before = Window.partitionBy(*keys).orderBy("_part").rangeBetween(-1, -1)
     for name, span in spans.items():
         alpha = 2 / (span + 1)
         q = F.lit(1 - alpha)
-        weight = F.when(F.col("_at") == 0, 1.0).otherwise(alpha)
-        df = df.withColumn("_loc", F.pow(q, F.col("_o")) * F.sum(weight * F.col(column) * F.pow(q, -F.col("_o"))).over(inside))
+        weight = F.when((F.col("_at") == 0) & (F.lit(starts) if isinstance(starts, bool) else starts), 1.0).otherwise(alpha)
+        df = df.withColumn("_loc", F.pow(q, F.col("_off")) * F.sum(weight * F.col(column) * F.pow(q, -F.col("_off"))).over(inside))
         df = df.withColumn("_end", F.last("_loc").over(inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-        df = df.withColumn(name, F.col("_loc") + F.coalesce(F.pow(q, F.col("_o") + 1) * F.max("_end").over(before), F.lit(0.0)))
-    return df.drop("_at", "_block", "_o", "_loc", "_end")
+        df = df.withColumn(name, F.col("_loc") + F.coalesce(F.pow(q, F.col("_off") + 1) * F.max("_end").over(before), F.lit(0.0)))
+    return df.drop("_at", "_part", "_off", "_loc", "_end")
+
+
+def sequence_of(features: list[str], length: int, w: WindowSpec) -> Column:
+    return F.collect_list(F.array(*[F.col(c).cast("float") for c in features])).over(w.rowsBetween(-(length - 1), 0))
 
 
 def sequences(df: DataFrame, features: list[str], length: int, key: str = "ticker", order: str = "date") -> DataFrame:
     """Adds `sequence`, the last `length` rows of the features as an array of arrays, for series with more than `length` rows;
     a row's window ends at the row, and rows without a full window go."""
-    w = series(key, order)
-    window = F.collect_list(F.array(*[F.col(c).cast("float") for c in features])).over(w.rowsBetween(-(length - 1), 0))
-    out = df.withColumn("_n", F.count("*").over(Window.partitionBy(key))).withColumn("sequence", window)
+    out = df.withColumn("_n", F.count("*").over(Window.partitionBy(key))).withColumn("sequence", sequence_of(features, length, series(key, order)))
     return out.where((F.col("_n") > length) & (F.size("sequence") == length)).drop("_n")
 
 

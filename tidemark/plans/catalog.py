@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.blocks import sequences_in_blocks
 from tidemark.functions.windows import sequences, top_per_day
 from tidemark.operators import evaluate as E
 from tidemark.operators import folds as V
 from tidemark.operators import learn as M
+from tidemark.operators import stored as T
 from tidemark.operators import strategy as K
 from tidemark.operators import writes as W
 from tidemark.operators.scratch import materialise, new_path
@@ -21,6 +23,7 @@ from tidemark.sources import filings as I
 from tidemark.sources import market as S
 from tidemark.sources.schemas import SCORES
 from tidemark.streaming.append import append_stream
+from tidemark.streaming.windows import count_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -247,6 +250,16 @@ def form4_xml(spark, d):
     return I.form4_transactions(A.filings(spark, d), ["accession"])
 
 
+@query(f"WITH {FILINGS} SELECT accession, right(accession, 1) IN ('0', '5', '7') AS rejected, CASE WHEN right(accession, 1) IN ('0', '5', '7') THEN 0 ELSE count(*) END AS n, CASE WHEN right(accession, 1) IN ('0', '5', '7') THEN 0 ELSE sum(l_quantity) END AS shares FROM filings JOIN lineitem ON l_orderkey = o_orderkey GROUP BY accession")
+def form4_quarantine(spark, d):
+    """Some filings arrive cut in half, others are no XML: they are told apart from the good ones in one parse."""
+    last, xml = F.right("accession", F.lit(1)), F.col("xml")
+    broken = F.when(last.isin("0", "5"), F.substr(xml, F.lit(1), F.expr("cast(length(xml) div 2 as int)"))).when(last == "7", F.lit("Error 503 <")).otherwise(xml)
+    out = I.checked_filings(A.filings(spark, d).withColumn("xml", broken), ["accession"])
+    shares = F.aggregate("transactions", F.lit(0.0), lambda a, t: a + t["shares"])
+    return out.select("accession", "rejected", F.size("transactions").cast("bigint").alias("n"), shares.alias("shares"))
+
+
 @query("SELECT lpad(CAST(o_custkey AS VARCHAR), 6, '0') || '-' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS accession, lpad(CAST(o_custkey AS VARCHAR), 6, '0') || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS folder, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority || '.xml' END AS document FROM orders")
 def filing_index_xml(spark, d):
     o = A.read(spark, d, "orders")
@@ -360,6 +373,52 @@ def stream_append(spark, d):
     return spark.read.schema(f"{schema}, month string").parquet(f"{base}/target").agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
+@query(SQL["append_if_absent"])
+def stored_append(spark, d):
+    """A stored table that two runs append to, the second of them called twice."""
+    rows = A.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"), (F.col("l_shipdate") < "1999-01-01").alias("old"))
+    rows, path = rows.withColumn("part", F.pmod("key", F.lit(8))), new_path(spark, "stored")
+    for run in ("old", "not old", "not old"):
+        T.write_run(spark, path, rows.where(run).drop("old"), ["key", "line"], [F.col("price"), F.col("qty")], "part", run.replace(" ", "-"), "append")
+    return T.read_table(spark, path, "key bigint, line int, qty double, price double, part bigint").drop("part")
+
+
+@query(SQL["replace_upsert"])
+def stored_upsert(spark, d):
+    """Daily flow stored by year; a second run replaces the later rows and touches their years only."""
+    path = new_path(spark, "stored")
+    flow = I.daily_flow(A.filings(spark, d)).withColumn("year", F.year("date"))
+    newer = flow.where(f"date >= date'{SPLIT}'").withColumn("n_buys", F.col("n_buys") + 1)
+    for run, batch in (("first", flow), ("second", newer)):
+        T.write_run(spark, path, batch, ["ticker", "date"], [F.desc("n_buys"), F.col("n_sells")], "year", run)
+    return rounded(T.read_table(spark, path, "ticker string, date date, n_buys int, n_sells int, buy_value double, sell_value double, year int").drop("year"), 2)
+
+
+@query(f"""SELECT 'night' AS run_id, * FROM ({SQL["run_log"]})""")
+def stored_log(spark, d):
+    """The log after one incremental load that was called twice."""
+    path, bars = new_path(spark, "stored"), A.bars(spark, d).withColumn("year", F.year("date"))
+    landed = bars.where(f"date >= date'{OVERLAP}'").withColumn("close", F.when(~F.col("ticker").like("%3"), F.col("close")))
+    for _ in range(2):
+        added, _, report = W.incremental(A.stocks(spark, d), bars.where(f"date < date'{SPLIT}'"), landed, "ticker", [F.col("volume"), F.col("close")], F.col("close").isNull())
+        T.write_run(spark, path, added.select(*bars.columns), ["ticker", "date"], [F.col("volume"), F.col("close")], "year", "night", "append", W.run_log_row(report, "incremental", "2001-01-01 06:00:00", 61.26))
+    return T.read_log(spark, path)
+
+
+@query("""WITH w AS (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2)
+SELECT start, event_type, n, total FROM w WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""")
+def stream_windows(spark, d):
+    """Events land in three steps, each taken in by a new start of the stream: the second repeats the last hours of the first, the third brings all of the first again, too late to count."""
+    base, schema = new_path(spark, "stream"), "event_id bigint, ts timestamp, event_type string, value double"
+    events = A.read(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    t = [F.timestamp_seconds(F.lit(x)) for x in events.agg(F.expr("percentile_approx(unix_seconds(ts), array(0.33, 0.66), 1000)")).first()[0]]
+    steps = [F.col("ts") < t[0], F.col("ts").between(t[0] - F.expr("interval 6 hours"), t[1]), (F.col("ts") > t[1]) | (F.col("ts") < t[0])]
+    for step in steps:
+        events.where(step).write.mode("append").parquet(f"{base}/landing")
+        count_windows(spark, f"{base}/landing", f"{base}/target", f"{base}/offsets", schema, "ts", ["event_id"], ["event_type"], {"n": F.count("*"), "total": F.sum("value")})
+    return rounded(spark.read.schema("start timestamp, event_type string, n bigint, total double").parquet(f"{base}/target"), 4)
+
+
 # ---- insider flow --------------------------------------------------------------------------------------------------
 
 
@@ -410,6 +469,20 @@ def feature_table(spark, d):
     return rounded(feature_rows(spark, d).select("ticker", "date", "close", *X.WIDE))
 
 
+@query(SQL["feature_table"])
+def feature_table_stored(spark, d):
+    """The same features out of prices stored in buckets by ticker: no exchange of the bars."""
+    path = new_path(spark, "prices")
+    stored = T.write_bucketed(A.bars(spark, d), "prices_" + path[-32:], path, 16)
+    return rounded(X.feature_table(stored, context(spark, d), dealt=True).select("ticker", "date", "close", *X.WIDE))
+
+
+@query(SQL["feature_table"])
+def feature_table_blocks(spark, d):
+    """The same features with each series cut into blocks of a year."""
+    return rounded(X.feature_table_in_blocks(A.bars(spark, d), context(spark, d), 365).select("ticker", "date", "close", *X.WIDE))
+
+
 @query(f"WITH {BARS} SELECT date, open, high, low, close, volume FROM bars WHERE ticker = 'Brand#23'")
 def stock_prices(spark, d):
     return S.stock(A.bars(spark, d), "Brand#23")
@@ -427,6 +500,11 @@ def triple_barrier(spark, d):
     return L.triple_barrier(A.bars(spark, d)).select("ticker", "date", "close", "label")
 
 
+@query(SQL["triple_barrier"])
+def triple_barrier_blocks(spark, d):
+    return L.triple_barrier_in_blocks(A.bars(spark, d), 180).select("ticker", "date", "close", "label")
+
+
 @query(f"WITH {FULL} SELECT ticker, date, close, label FROM pool")
 def labelled_pool(spark, d):
     return pool(spark, d).select("ticker", "date", "close", "label")
@@ -502,8 +580,16 @@ def class_balance(spark, d):
 SELECT b.ticker, b.date, CAST(60 AS INTEGER) AS length, """ + ", ".join(f'round(sum(a."{c}"::FLOAT::DOUBLE * (a.seq - b.seq + 60)), 3) + 0.0 AS "{c}"' for c in X.LEAN) + """ FROM n b JOIN n a ON a.ticker = b.ticker AND a.seq BETWEEN b.seq - 59 AND b.seq WHERE b.seq >= 60 AND b.n > 60 GROUP BY b.ticker, b.date""", name="sequences")
 def sequence_windows(spark, d):
     """Each feature's values weighted by their place, so that every one of the 60 x 8 counts."""
-    out = sequences(pool(spark, d), X.LEAN, 60)
+    return _weighted(sequences(pool(spark, d), X.LEAN, 60))
+
+
+@query(SQL["sequences"])
+def sequences_blocks(spark, d):
+    """The same windows with each series cut into blocks of a year."""
+    return _weighted(sequences_in_blocks(pool(spark, d), X.LEAN, 60, 365))
+
 
+def _weighted(out: DataFrame) -> DataFrame:
     def weighted(k: int) -> Column:
         return F.aggregate(F.transform("sequence", lambda row, i: F.get(row, F.lit(k)).cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
 

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.blocks import block_series, decayed, ends, handed_on, numbered, with_halo, with_neighbours
 from tidemark.functions.windows import carried, change, pct_change, rolling, series, with_ewm
+from tidemark.operators.scratch import materialise
 
 #: The feature sets, and the small terms that keep denominators from zero.
 LEAN = ["Daily_Return", "SPY_Return", "Beta_20", "NATR_14", "VWAP_Dist", "BB_Width", "Vol_Surge", "EMA_9_Dist"]
@@ -23,6 +25,8 @@ VOLUME = ["Vol_Surge", "VWAP_Dist"]
 CONTEXT = ["SPY_Return", "Relative_Strength", "Market_Bullish", "Beta_20", "VIX_Level", "VIX_Change", "HYG_Return", "TNX_Change"]
 WIDE = [*RETURNS, *VOLATILITY, *DISTANCES, *EXPONENTIAL, *SCORES, "RSI_14", *BANDS, "NATR_14", *VOLUME, *CONTEXT]
 EPSILON, BETA_EPSILON = 1e-8, 1e-12
+#: Rows that the longest window looks at.
+REACH = 200
 CONTEXT_COLUMNS = ["spy", "vix", "hyg", "tnx"]
 
 
@@ -54,45 +58,78 @@ def _own() -> dict[str, Column]:
     return out
 
 
-def own_features(bars: DataFrame) -> DataFrame:
-    """Bars with the features that need no market context.
+#: Spans of the exponential means.
+SPANS = {"_e9": 9, "_e12": 12, "_e26": 26}
+
+
+def _own_over(df: DataFrame, w) -> DataFrame:
+    """Bars with exponential means -> the features that need no market context."""
+    close, previous = F.col("close"), F.lag("close").over(w)
+    df = df.withColumns({"Daily_Return": pct_change(close, 1, w), "_d": change(close, w), "_range": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - previous), F.abs(F.col("low") - previous))})
+    return df.withColumns(_rolled(w)).withColumns(_own())
+
+
+def own_features(bars: DataFrame, dealt: bool = False) -> DataFrame:
+    """Bars with the features that need no market context. dealt: they come by ticker already, from a bucketed table.
 
     Windows cost far more per byte than a scan, so the one exchange keeps the session's number of shuffle partitions instead of being joined to larger ones by size.
     """
-    w = series()
-    close = F.col("close")
     n = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df = with_ewm(bars.repartition(n, "ticker"), "close", {"_e9": 9, "_e12": 12, "_e26": 26})
-    previous = F.lag("close").over(w)
-    df = df.withColumns({"Daily_Return": pct_change(close, 1, w), "_d": change(close, w), "_range": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - previous), F.abs(F.col("low") - previous))})
-    df = df.withColumns(_rolled(w)).withColumns(_own())
+    df = _own_over(with_ewm(bars if dealt else bars.repartition(n, "ticker"), "close", SPANS), series())
     return df.drop(*[c for c in df.columns if c.startswith("_")])
 
 
-def market_context(df: DataFrame, context: DataFrame, strict_regime: bool = False) -> DataFrame:
-    """Adds the features of the market. context: one row per date (spy, vix, hyg, tnx), so its size is bounded by the calendar.
-
-    A value is carried forward over the instrument's own days. Until 200 of them are known the market counts as not bullish, or
-    with strict_regime as unknown.
-    """
+def with_context(df: DataFrame, context: DataFrame) -> DataFrame:
+    """Adds the day's values of the market. context: one row per date (spy, vix, hyg, tnx), so its size is bounded by the calendar."""
     missing = [c for c in CONTEXT_COLUMNS if c not in context.columns]
     if missing:
         raise ValueError(f"market context lacks {missing}")
-    w = series()
-    df = df.join(F.broadcast(context.select("date", *CONTEXT_COLUMNS)), "date", "left")
-    df = df.withColumns({c: carried(F.col(c), w) for c in CONTEXT_COLUMNS})
+    return df.join(F.broadcast(context.select("date", *CONTEXT_COLUMNS)), "date", "left")
+
+
+def _market_over(df: DataFrame, w, strict_regime: bool) -> DataFrame:
+    """Rows with own features and carried values of the market -> the features of the market."""
     df = df.withColumns({"SPY_Return": pct_change(F.col("spy"), 1, w), "VIX_Change": pct_change(F.col("vix"), 1, w), "HYG_Return": pct_change(F.col("hyg"), 1, w), "TNX_Change": change(F.col("tnx"), w), "VIX_Level": F.col("vix")})
     own, market = F.col("Daily_Return"), F.col("SPY_Return")
-    bullish = (F.col("spy") > rolling(F.avg, [F.col("spy")], 200, w)).cast("int")
+    bullish = (F.col("spy") > rolling(F.avg, [F.col("spy")], REACH, w)).cast("int")
     beta = rolling(F.covar_samp, [own, market], 20, w) / (rolling(F.var_samp, [market], 20, w) + BETA_EPSILON)
     df = df.withColumns({"Relative_Strength": own - market, "Market_Bullish": bullish if strict_regime else F.coalesce(bullish, F.lit(0)), "Beta_20": beta})
     return df.drop(*CONTEXT_COLUMNS)
 
 
-def feature_table(bars: DataFrame, context: DataFrame, ticker: str | None = None, strict_regime: bool = False) -> DataFrame:
-    """(ticker, date, bars, the thirty features), only whole rows. A single ticker's filter reaches the scan."""
+def market_context(df: DataFrame, context: DataFrame, strict_regime: bool = False) -> DataFrame:
+    """Adds the features of the market. A value is carried forward over the instrument's own days. Until 200 of them are known the market counts as not bullish, or
+    with strict_regime as unknown.
+    """
+    w = series()
+    df = with_context(df, context).withColumns({c: carried(F.col(c), w) for c in CONTEXT_COLUMNS})
+    return _market_over(df, w, strict_regime)
+
+
+def feature_table(bars: DataFrame, context: DataFrame, ticker: str | None = None, strict_regime: bool = False, dealt: bool = False) -> DataFrame:
+    """(ticker, date, bars, the thirty features), only whole rows. A single ticker's filter reaches the scan. dealt: as in own_features."""
     if ticker is not None:
         bars = bars.where(F.col("ticker") == ticker)
-    out = market_context(own_features(bars), context, strict_regime)
+    out = market_context(own_features(bars, dealt), context, strict_regime)
     columns = ["ticker", "date", "open", "high", "low", "close", "volume", *WIDE]
     return out.select(*columns).na.drop("any")
+
+
+def feature_table_in_blocks(bars: DataFrame, context: DataFrame, days: int = 1461, strict_regime: bool = False) -> DataFrame:
+    """The same table with each instrument's series cut into blocks of days, for series too long for a task.
+
+    Carried values and exponential means are first taken inside the blocks and handed on by a table of block ends; then each block gets the rows before it that its windows reach.
+    Two exchanges by (ticker, block) instead of one by ticker; the halo costs 200 rows a block.
+    """
+    w, keep = block_series(), {m: 1 - 2 / (span + 1) for m, span in SPANS.items()}
+    rows = numbered(with_context(bars.where("ticker is not null and date is not null"), context), days)
+    rows = with_ewm(rows, "close", SPANS, ("ticker", "_block"), starts=False).withColumns({c: carried(F.col(c), w) for c in CONTEXT_COLUMNS})
+    rows = materialise(rows, "blocks")
+    last = [F.max_by(m, "date").alias(f"_end_{m}") for m in SPANS] + [F.max_by(c, "date").alias(f"_last_{c}") for c in CONTEXT_COLUMNS]
+    table = with_neighbours(ends(rows, "ticker", F.min_by("close", "date").alias("_open"), *last), REACH, 0)
+    table = handed_on(decayed(table, keep, "_open"), CONTEXT_COLUMNS).select("ticker", "_block", "_n", "_later", "_earlier", *[f"_in_{c}" for c in [*SPANS, *CONTEXT_COLUMNS]])
+    rows = rows.join(table.hint("merge"), ["ticker", "_block"])
+    rows = rows.withColumns({m: F.col(m) + F.pow(F.lit(q), F.col("_o") + 1) * F.col(f"_in_{m}") for m, q in keep.items()} | {c: F.coalesce(c, f"_in_{c}") for c in CONTEXT_COLUMNS})
+    rows = with_halo(rows.drop(*[f"_in_{c}" for c in [*SPANS, *CONTEXT_COLUMNS]]), REACH, 0)
+    out = _market_over(_own_over(rows, w), w, strict_regime).where("_own")
+    return out.select("ticker", "date", "open", "high", "low", "close", "volume", *WIDE).na.drop("any")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemark.functions.blocks import block_series, in_blocks
 from tidemark.functions.windows import carried, rolling, series
 
 #: Take profit, stop loss, days held; calendar days purged before a fold's end; the regime's window and volatility bound.
@@ -13,11 +14,21 @@ PURGE_DAYS = 14
 REGIME_WINDOW, CALM = 200, 20.0
 
 
-def triple_barrier(df: DataFrame, take: float = TAKE, stop: float = STOP, hold: int = HOLD) -> DataFrame:
-    """Adds label: over the next `hold` rows of the ticker the first touch decides, 1 for take, 0 for stop, and 0 without any. NULL where fewer rows follow."""
-    ahead = F.collect_list("close").over(series().rowsBetween(1, hold))
+def barrier(take: float, stop: float, hold: int, w: WindowSpec) -> Column:
+    """Over the next `hold` rows the first touch decides, 1 for take, 0 for stop, and 0 without any. NULL where fewer rows follow."""
+    ahead = F.collect_list("close").over(w.rowsBetween(1, hold))
     first = F.get(F.filter(F.transform(ahead, lambda x: F.try_divide(x, F.col("close")) - 1), lambda r: (r <= stop) | (r >= take)), F.lit(0))
-    return df.withColumn("label", F.when(F.size(ahead) == hold, F.when(first <= stop, 0).when(first >= take, 1).otherwise(0)))
+    return F.when(F.size(ahead) == hold, F.when(first <= stop, 0).when(first >= take, 1).otherwise(0))
+
+
+def triple_barrier(df: DataFrame, take: float = TAKE, stop: float = STOP, hold: int = HOLD) -> DataFrame:
+    """Adds label, by the next rows of the ticker."""
+    return df.withColumn("label", barrier(take, stop, hold, series()))
+
+
+def triple_barrier_in_blocks(df: DataFrame, days: int = 1461, take: float = TAKE, stop: float = STOP, hold: int = HOLD) -> DataFrame:
+    """The same with each ticker's series cut into blocks of days that also hold the next rows."""
+    return in_blocks(df, days, ahead=hold).withColumn("label", barrier(take, stop, hold, block_series())).where("_own").drop("_block", "_own")
 
 
 def labelled(df: DataFrame, **barriers) -> DataFrame:

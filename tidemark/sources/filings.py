@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources import schemas
@@ -50,10 +50,8 @@ def field(x: Column) -> Column:
     return F.nullif(F.trim(F.coalesce(x["value"], x["_VALUE"]), F.lit(" \t\r\n")), F.lit(""))
 
 
-def form4_transactions(df: DataFrame, keys: list[str], text: str = "xml", outer: bool = False) -> DataFrame:
-    """keys with code, ad, shares, price of the non-derivative transactions that have a code. With outer, a filing without any gives one row of NULLs."""
-    doc = F.from_xml(F.col(text), schemas.FORM4_XML, {"ignoreNamespace": "true"})
-    found = F.filter(
+def _transactions(doc: Column) -> Column:
+    return F.filter(
         F.transform(
             doc["nonDerivativeTable"]["nonDerivativeTransaction"],
             lambda t: F.struct(
@@ -65,10 +63,29 @@ def form4_transactions(df: DataFrame, keys: list[str], text: str = "xml", outer:
         ),
         lambda t: t["code"].isNotNull(),
     )
+
+
+def form4_transactions(df: DataFrame, keys: list[str], text: str = "xml", outer: bool = False) -> DataFrame:
+    """keys with code, ad, shares, price of the non-derivative transactions that have a code. With outer, a filing without any gives one row of NULLs."""
+    found = _transactions(F.from_xml(F.col(text), schemas.FORM4_XML, {"ignoreNamespace": "true"}))
     burst = F.explode_outer(found) if outer else F.explode(found)
     return df.select(*keys, burst.alias("t")).select(*keys, "t.code", "t.ad", "t.shares", "t.price")
 
 
+def checked_filings(df: DataFrame, keys: list[str], text: str = "xml", counts: Observation | None = None) -> DataFrame:
+    """keys with rejected, xml (of rejected filings only, for a second look) and transactions, each text parsed once.
+
+    Rejected is what is no well-formed document, and a null text. A document without transactions is fine and has none. counts: gets the filings and the rejected ones as the rows pass.
+    """
+    schema = schemas.FORM4_XML.removesuffix(">") + ", _corrupt_record: STRING>"
+    doc = F.from_xml(F.col(text), schema, {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = df.select(*keys, text, doc.alias("_doc"))
+    bad = F.col("_doc").isNull() | F.col("_doc._corrupt_record").isNotNull()
+    none = F.array().cast("array<struct<code:string,ad:string,shares:double,price:double>>")
+    out = rows.select(*keys, bad.alias("rejected"), F.when(bad, F.col(text)).alias(text), F.when(bad, none).otherwise(F.coalesce(_transactions(F.col("_doc")), none)).alias("transactions"))
+    return out if counts is None else out.observe(counts, F.count(F.lit(1)).alias("filings"), F.count_if("rejected").alias("rejected"))
+
+
 def malformed(df: DataFrame, keys: list[str], text: str = "xml") -> DataFrame:
     """Filings whose XML gives no document: to be looked at."""
     doc = F.from_xml(F.col(text), schemas.FORM4_XML, {"ignoreNamespace": "true"})

@@ -19,12 +19,15 @@ def append_stream(spark: SparkSession, landing: str, target: str, checkpoint: st
     """
 
     def load(batch: DataFrame, _: int) -> None:
-        first, last = batch.agg(F.min(month_of(date)), F.max(month_of(date))).first()
-        if first is None:
-            return
-        stored = spark.read.schema(f"{schema}, month string").parquet(target).where(F.col("month").between(first, last))
-        order = [F.col(c) for c in batch.columns if c not in keys]
-        new_rows(stored, batch, keys, order).withColumn("month", month_of(date)).write.mode("append").partitionBy("month").parquet(target)
+        batch = batch.withColumn("month", month_of(date)).persist()  # read for its months and for its rows
+        try:
+            months = [r[0] for r in batch.select("month").where("month is not null").distinct().collect()]
+            if months:
+                stored = spark.read.schema(f"{schema}, month string").parquet(target).where(F.col("month").isin(months))
+                order = [F.col(c) for c in batch.columns if c not in keys]
+                new_rows(stored, batch, keys, order).write.mode("append").partitionBy("month").parquet(target)
+        finally:
+            batch.unpersist()
 
     source = spark.readStream.schema(schema).parquet(landing)
     source.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, release, salted_join, slices, small_batches, table, written
+from tidemark.llm.common import collapsed, copied, materialise, release, salted_join, second_hash, slices, small_batches, table, written
 from tidemark.llm.tokens import encoder
 
 WINDOW, MEAN, LEAST, MOST = 32, 2048, 512, 16384
@@ -116,7 +116,7 @@ def agreement(chunk: bytes) -> tuple[int, int] | None:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(text_col, F.lit(""))
-    return docs.select(F.xxhash64(F.col(id_col), text).alias("_k"), F.col(id_col).alias("_id"), text.alias("_text"))
+    return docs.select(F.xxhash64(F.col(id_col), text).alias("_k"), second_hash(docs, id_col, text).alias("_c"), F.col(id_col).alias("_id"), text.alias("_text"))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,11 +192,11 @@ def _digests(ids: pa.Array, encoded: list[np.ndarray], e) -> pa.RecordBatch:
 def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """(id, ids, decoded) of every whole text, or (id, n_tokens, ids_sha256, decoded_sha256) with digests.
 
-    The texts are shuffled once, by row: both branches of the plan, that of the chunks' first occurrences and
+    Repeated rows (equal id and text) are encoded once. The texts are shuffled once, by row: both branches of the plan, that of the chunks' first occurrences and
     that of the documents, read the same exchange. All else that is shuffled is hashes and shared chunks' ids.
     """
     small_batches(docs.sparkSession)
-    keyed = _keyed(docs, id_col, text_col)
+    keyed = collapsed(_keyed(docs, id_col, text_col), ["_k", "_c"]).select("_k", F.struct("_id", "_copies").alias("_id"), "_text")
     others = written()
     chunks = materialise(keyed.select("_k", "_text").mapInArrow(_chunks, "_k bigint, at int, h binary"), "chunks")
     shared = chunks.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("_k", "at")).alias("first")).where("n > 1").withColumn("_n", F.col("n"))
@@ -208,10 +208,11 @@ def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
     cores = rows.join(firsts.hint("shuffle_hash"), "_k").select("_id", "_text", "firsts").mapInArrow(_encode_chunks(vocabulary), "h binary, ids binary, n bigint")
     known = salted_join(marks.select("h", "_k", "at"), cores, ["h"], "n", marks.count(), "_k", "at", counted=marks.where("is_first").select("h", "n").distinct())
     known = known.groupBy("_k").agg(F.collect_list(F.struct("at", "h", "ids")).alias("known"))
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = keyed.schema["_id"].dataType.simpleString()
     schema = f"_id {kind}, " + ("n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids array<bigint>, decoded string")
     both = rows.join(known.hint("shuffle_hash"), "_k", "left").select("_id", "_text", "known")
-    return both.mapInArrow(_assemble(vocabulary, _digests if digests else _whole), schema).withColumnRenamed("_id", id_col)
+    out = both.mapInArrow(_assemble(vocabulary, _digests if digests else _whole), schema)
+    return copied(out.select(F.col("_id._id").alias(id_col), *[c for c in out.columns if c != "_id"], F.col("_id._copies").alias("_copies")))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.scratch import materialise, release, scratch, written
 
-__all__ = ["fold_of", "marks_of", "materialise", "release", "salted_join", "sample_ids", "scratch", "slices", "small_batches", "table", "texts_of", "written"]
+__all__ = ["collapsed", "copied", "fold_of", "has_repeats", "marks_of", "materialise", "release", "salted_join", "sample_ids", "scratch", "second_hash", "slices", "small_batches", "table", "texts_of", "written"]
 
 #: Bytes of an Arrow batch between the JVM and its workers, where the session sets none.
 BATCH = 4 << 20
@@ -67,6 +67,32 @@ def salted_join(large: DataFrame, small: DataFrame, keys: list[str], n: str, tot
     return dealt.join(copies.hint("merge"), [*keys, "_part"], how).drop("_part")
 
 
+def second_hash(df: DataFrame, *columns: str | Column) -> Column:
+    """A hash beside xxhash64 of the same columns, so that both together have 128 bits. Maps, which have no hash, go by their JSON."""
+    kinds = dict(df.dtypes)
+    return F.xxhash64(F.lit(1), *[F.to_json(F.struct(c)) if isinstance(c, str) and "map<" in kinds[c] else c for c in columns])
+
+
+def has_repeats(rows: DataFrame, *keys: str) -> bool:
+    """Whether any key has several rows. Counts are made before the shuffle, and only keys and counts are shuffled."""
+    return not rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").isEmpty()
+
+
+def collapsed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each key with the other columns of some row, and _copies, how many there are; so that what follows works once for rows that are given many times.
+
+    Where no key is repeated the rows stay as they are, and their columns are not grouped (and so not sorted by key).
+    """
+    if not has_repeats(rows, *keys):
+        return rows.withColumn("_copies", F.lit(1).cast("bigint"))
+    return rows.groupBy(*keys).agg(*[F.first(c).alias(c) for c in rows.columns if c not in keys], F.count("*").alias("_copies"))
+
+
+def copied(rows: DataFrame, copies: str = "_copies") -> DataFrame:
+    """As many rows as were collapsed into each."""
+    return rows.withColumn(copies, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(copies)))).drop(copies)
+
+
 def sample_ids(rows: DataFrame, n: int, seed: int = 17) -> DataFrame:
     """At most n distinct non-null `_id`s with what stands beside them, those of the smallest seeded hash: the same under any partitioning."""
     return rows.where(F.col("_id").isNotNull()).orderBy(F.xxhash64(F.lit(seed), F.col("_id")), "_id").limit(n)

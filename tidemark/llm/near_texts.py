@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, salted_join, slices, small_batches, table
+from tidemark.llm.common import has_repeats, materialise, salted_join, slices, small_batches, table
 from tidemark.llm.graph import cells, classes_of, component_ids, connected_components, whole_groups
 
 #: Words whose hashes a worker remembers, and elements of sets in a batch that leaves it.
@@ -244,7 +244,10 @@ def _judged(docs: DataFrame, width: int, similarity: float, coordinates: int, ma
 
     members = materialise(candidates.join(classes.select("v", F.col("_first.row").alias("row"), "n_shingles").hint("merge"), "v"), "members")
     places = cells(members, ["root"], most_elements, weight=F.col("n_shingles")).groupBy("row", "v", "root").agg(F.collect_list(F.struct("i", "j")).alias("places"))
-    texts = own.select("row", "text").join(places.hint("shuffle_hash"), "row").select("text", "v", "root", "places")
+    given = own.select("row", "text")
+    if has_repeats(rows, "row"):  # a set is compared once, however often its row is given
+        given = given.groupBy("row").agg(F.first("text").alias("text"))
+    texts = given.join(places.hint("shuffle_hash"), "row").select("text", "v", "root", "places")
     sets = texts.mapInArrow(_shingle_cells(width), "root bigint, i int, j int, v bigint, set array<bigint>").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "v")
     links = sets.mapInArrow(_links(round(100 * similarity)), "a bigint, b bigint")
     return component_ids(rows.drop("sig"), ["class", "n_shingles"], classes, links, "row")
@@ -262,9 +265,9 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, coordinat
     (equal id and text) one stays, also of those with the empty set, which otherwise all stay."""
     judged = _judged(docs, width, similarity, coordinates, matches, most_list, most_elements, id_col, text_col)
     stays = judged.where(F.col("class").isNull() | (F.col("row") == F.col("_first.row"))).select("row").distinct()
-    name = next(f"_row{i}" for i in range(len(docs.columns) + 1) if f"_row{i}" not in docs.columns)
-    rows = docs.withColumn(name, F.xxhash64(F.col(id_col), F.col(text_col)))
-    return rows.join(stays.withColumnRenamed("row", name).hint("shuffle_hash"), name, "left_semi").dropDuplicates([name]).drop(name)
+    name, more = [f"_row{i}" for i in range(len(docs.columns) + 2) if f"_row{i}" not in docs.columns][:2]
+    rows = docs.withColumns({name: F.xxhash64(F.col(id_col), F.col(text_col)), more: F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col))})  # rows are told apart by both
+    return rows.join(stays.withColumnRenamed("row", name).hint("shuffle_hash"), name, "left_semi").dropDuplicates([name, more]).drop(name, more)
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

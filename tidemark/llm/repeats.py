@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import P, powers
-from tidemark.llm.common import FEW, HOT_KEYS, materialise, release, salted_join, slices, small_batches, table, written
+from tidemark.llm.common import FEW, HOT_KEYS, collapsed, copied, materialise, release, salted_join, second_hash, slices, small_batches, table, written
 from tidemark.llm.graph import whole_groups
 
 GRAM = 32
@@ -380,9 +380,11 @@ def _search(docs: DataFrame, carried: list[str], least: int, most_segments: int,
     """Struct _id of the carried columns, n_bytes, n_removed, n_spans, _last (the remaining text, or its digest) of each row."""
     small_batches(docs.sparkSession)
     text = F.coalesce(text_col, F.lit(""))
-    keyed = docs.select(F.xxhash64(F.col(id_col), text).alias("_k"), F.struct(*[F.col(c) for c in carried]).alias("_id"), text.alias("_text"))
     doc = F.coalesce(F.col(id_col).cast("bigint"), F.lit(2**63 - 1)).alias("_doc")
-    found = docs.select(F.xxhash64(F.col(id_col), text).alias("_k"), doc, text.alias("_text")).mapInArrow(_first_pass(least), "a bigint, h bigint, doc bigint, k bigint, start int, n int, gone boolean")
+    keyed = docs.select(F.xxhash64(F.col(id_col), text).alias("_k"), second_hash(docs, *carried, text).alias("_c"), F.struct(*[F.col(c) for c in carried]).alias("_id"), doc, text.alias("_text"))
+    keyed = collapsed(keyed, ["_k", "_c"])  # rows that are equal in all that is carried are searched once
+    found = keyed.select("_k", "_doc", "_text").mapInArrow(_first_pass(least), "a bigint, h bigint, doc bigint, k bigint, start int, n int, gone boolean")
+    keyed = keyed.select("_k", F.struct("_id", "_copies").alias("_id"), "_text")
     others = written()
     found = materialise(found, "segments")
     first_table = [p for p in written() if p not in others]
@@ -422,7 +424,8 @@ def _search(docs: DataFrame, carried: list[str], least: int, most_segments: int,
             yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array([len(d) for d in data], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array(last, pa.string())], ["_id", "n_bytes", "n_removed", "n_spans", "_last"])
 
     kind = keyed.schema["_id"].dataType.simpleString()
-    return rows.join(gone.hint("shuffle_hash"), "_k", "left").select("_id", "_k", "_text", "found").drop("_k").mapInArrow(finish, f"_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, _last string")
+    out = rows.join(gone.hint("shuffle_hash"), "_k", "left").select("_id", "_k", "_text", "found").drop("_k").mapInArrow(finish, f"_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, _last string")
+    return copied(out.select(F.col("_id._id").alias("_id"), "n_bytes", "n_removed", "n_spans", "_last", F.col("_id._copies").alias("_copies")))
 
 
 def remove_repeats(docs: DataFrame, least: int = 100, most_segments: int = 5000, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:

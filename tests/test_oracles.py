@@ -9,7 +9,7 @@ from tidemark.plans.catalog import QUERIES, SQL
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
 #: One query of each kind; the others share their parts.
-CHOSEN = "bars_daily baseline_pivot universe_normalise vendor_normalise cik_map cik_lookup filings_json form4_xml filing_index_xml high_water append_if_absent upsert_universe replace_upsert incremental_load run_log table_summary stream_append insider_totals insider_pit ema_macd macro_context feature_table triple_barrier regimes auc_pooled stored_scores selectivity_sweep sequences path_draws backtest_report path_stats".split()
+CHOSEN = "bars_daily baseline_pivot universe_normalise vendor_normalise cik_map cik_lookup filings_json form4_xml filing_index_xml high_water append_if_absent upsert_universe replace_upsert incremental_load run_log table_summary stream_append insider_totals insider_pit ema_macd macro_context feature_table triple_barrier regimes auc_pooled stored_scores selectivity_sweep sequences path_draws backtest_report path_stats auc_by_fold fold_metrics class_balance scaler_stats feature_table_blocks feature_table_stored triple_barrier_blocks form4_quarantine stored_append stored_upsert stored_log stream_windows".split()
 
 
 def plain(v):

@@ -1,5 +1,8 @@
+import random
 import re
 
+import pytest
+from tidemark.llm import cleaning
 from tidemark.llm.cleaning import clean
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -67,3 +70,54 @@ def test_sql_agrees(spark, docs, tmp_path):
         want = {r[0]: dict(zip(names, r, strict=True)) for r in c.fetchall()}
     got = {r.doc_id: r.asDict() for r in clean(distinct, with_text=False).collect()}
     assert got == want
+
+
+def prose(rng, n):
+    return "\n".join(" ".join("".join(rng.choice("abdeiklmnorstuv") for _ in range(rng.randint(2, 7))) for _ in range(10)) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    """Three hundred texts, of which 80 end in one line and 80 in two of a language without phrases; sixty near copies; sixty equal texts."""
+    rng = random.Random(4)
+    own = [prose(rng, 9) for _ in range(300)]
+    texts = [f"{t}\n  Visi  teisės saugomos {i}" if i < 80 else f"{t}\nSkaityk toliau čia dabar\nPuslapis {i} iš {i + 10}" if i < 160 else t for i, t in enumerate(own)]
+    base = prose(rng, 12).split("\n")
+    for i in range(60):
+        lines = [*base]
+        lines[i % 12] += f" changed{'x' * i}"
+        texts.append("\n".join(lines))
+    return texts + [own[299]] * 60 + [None, "", "one line only stands here"]
+
+
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_stock_lines_are_learned(spark, corpus, monkeypatch, few):
+    monkeypatch.setattr(cleaning, "FEW_LINES", few)
+    df = spark.createDataFrame(list(enumerate(corpus)), "doc_id long, text string").repartition(7)
+    got = {r.doc_id: r for r in clean(df).collect()}
+    assert len(got) == len(corpus)
+    for i, text in enumerate(corpus):
+        gone = 1 if i < 80 else 2 if i < 160 else 0
+        lines = (text or "").split("\n")
+        assert got[i].n_lines_removed == gone
+        assert got[i].cleaned == "\n".join(lines[: len(lines) - gone])
+        assert got[i].kept == (got[i].n_words >= 50)
+        assert (got[i].lost > 0) == (gone > 0)
+    plain = {r.doc_id: r.asDict() for r in clean(df, with_text=False).collect()}
+    assert plain == {i: {k: v for k, v in r.asDict().items() if k != "cleaned"} for i, r in got.items()}
+    assert all(r.n_lines_removed == 0 for r in clean(df, contexts=None).collect())
+
+
+def test_sql_agrees_on_stock_lines(spark, corpus, tmp_path):
+    import duckdb
+    from tidemark.llm.oracles import ORACLES
+
+    df = spark.createDataFrame(list(enumerate(corpus)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as c:
+        c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+        names = [d[0] for d in c.execute(ORACLES["op6_cleaning"]).description]
+        want = {r[0]: dict(zip(names, r, strict=True)) for r in c.fetchall()}
+    got = {r.doc_id: r.asDict() for r in clean(df, with_text=False).collect()}
+    assert got == want
+    assert sum(r["n_lines_removed"] for r in want.values()) == 240

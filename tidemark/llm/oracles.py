@@ -55,7 +55,7 @@ again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY d
 repeats AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
 lines AS (SELECT doc_id, seq, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS seq FROM d)),
 dups AS (SELECT doc_id, count(*) AS n_dup_lines FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, line ORDER BY seq) AS r FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')) WHERE r > 1 GROUP BY doc_id),
-judged AS (SELECT doc_id, list_sum(list_transform(lw, lambda x: len(x))) AS chars, len(lw) > 0 AND (
+judged AS (SELECT doc_id, seq, lw, list_sum(list_transform(lw, lambda x: len(x))) AS chars, len(lw) > 0 AND (
     len(line) - len(translate(line, '#*$%&|<>', '')) > 0.1 * len(line)
     OR (len(line) - len(replace(line, '!! ', ''))) // 3 + (len(line) - len(replace(line, '?? ', ''))) // 3 + regexp_matches(line, '(!!|\?\?)[\x20\x09-\x0D]*$')::INT > 0.3 * len(lw)
     OR (len(lw) >= 4 AND len(list_filter(lw, lambda x: x = upper(x) AND x <> lower(x))) > 0.7 * len(lw))
@@ -64,7 +64,12 @@ judged AS (SELECT doc_id, list_sum(list_transform(lw, lambda x: len(x))) AS char
     OR (len(lw) BETWEEN 3 AND 30 AND len(regexp_extract_all(line, '[0-9][^\x20\x09-\x0D]*')) > 0.6 * len(lw))
     OR (len(lw) <= 30 AND regexp_matches(line, '(?i)all rights reserved|terms of (use|service)|privacy policy|cookie|javascript|copyright|licensed under|permission is hereby granted|subscribe (to|now)|sign (in|up)|log ?in\b|click here|read more|share (this|on)|follow us|skip to (main )?content|powered by'))
     OR (len(lw) >= 20 AND 4 * len(list_distinct(lw)) < len(lw))) AS failed FROM lines),
-sums AS (SELECT doc_id, count(*) FILTER (failed) AS n_lines_removed, coalesce(sum(chars) FILTER (NOT failed), 0) AS left_chars FROM judged GROUP BY doc_id),
+named AS (SELECT doc_id, chars, failed, len(lw) AS n, name, coalesce(lag(name, 3) OVER w, lag(name, 2) OVER w, lag(name) OVER w) AS before,
+  coalesce(lead(name, 3) OVER w, lead(name, 2) OVER w, lead(name) OVER w) AS after FROM (SELECT *, regexp_replace(array_to_string(lw, ' '), '[0-9]+', '0', 'g') AS name FROM judged WHERE len(lw) > 0) WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
+stock AS (SELECT name FROM named WHERE NOT failed AND n BETWEEN 3 AND 30 AND doc_id IN (SELECT min(doc_id) FROM d GROUP BY text) GROUP BY name
+  HAVING (count(DISTINCT before) >= 50 AND 100 * count(DISTINCT before) >= 80 * count(before)) OR (count(DISTINCT after) >= 50 AND 100 * count(DISTINCT after) >= 80 * count(after))),
+ruled AS (SELECT doc_id, chars, failed OR (n BETWEEN 3 AND 30 AND name IN (SELECT name FROM stock)) AS failed FROM named),
+sums AS (SELECT doc_id, count(*) FILTER (failed) AS n_lines_removed, coalesce(sum(chars) FILTER (NOT failed), 0) AS left_chars FROM ruled GROUP BY doc_id),
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: len(x))), 0)::BIGINT AS word_chars, (len(text) - len(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
   coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_lines_removed, 0)::BIGINT AS n_lines_removed, coalesce(left_chars, 0) AS left_chars
   FROM w LEFT JOIN dups USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN sums USING (doc_id)),

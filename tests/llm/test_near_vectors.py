@@ -65,6 +65,34 @@ def test_recall_and_work_as_the_table_grows():
     assert met[32_000] < 16**0.5 * met[2000]  # sixteen times the rows
 
 
+@pytest.mark.parametrize("d", [1, 2, 16, 64, 700])
+@pytest.mark.parametrize("cosine", [0.9, 0.99])
+def test_sketches_of_linked_vectors_are_near(d, cosine):
+    rng = np.random.default_rng(d)
+    a, e = near_vectors.unit(rng.normal(size=(20_000, d))), rng.normal(size=(20_000, d))
+    e = near_vectors.unit(e - (e * a).sum(1, keepdims=True) * a) if d > 1 else a
+    b = near_vectors.unit(cosine * a + np.sqrt(1 - cosine * cosine) * e)
+    differ = lambda x, y: np.bitwise_count((near_vectors.sketches(x) ^ near_vectors.sketches(y)).view(np.uint64)).sum(1)
+    most = near_vectors.most_differing(cosine)
+    assert (differ(a, b) <= most).all()
+    if d >= 64:
+        assert (differ(a[1:], a[:-1]) <= most).mean() < 0.0001
+
+
+def test_floats_are_compared_as_doubles(spark):
+    x = [v.astype(np.float32) for v in vectors(np.random.default_rng(6), 40)]
+    got = {kind: {(r.vec_id, r.n_links) for r in near_vectors.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")).collect()} for kind in ("float", "double")}
+    assert got["float"] == got["double"]
+
+
+def test_very_long_vectors(spark):
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=20_000)
+    rows = [(1, a.tolist()), (2, (a + 0.01 * rng.normal(size=len(a))).tolist()), (3, rng.normal(size=len(a)).tolist()), (4, a.tolist())]
+    got = near_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 2, 1), (2, 2, 1), (3, 0, 3), (4, 2, 1)]
+
+
 def test_small_and_large_buckets_agree(spark, monkeypatch):
     x = vectors(np.random.default_rng(5), 60)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")

@@ -7,6 +7,10 @@ home of one is among the probes of the other in any table, and linked if their c
 meets in several buckets is counted in the least of them, so links are counted inside the buckets and no pair leaves its task: out come counts
 and spanning edges. Buckets beyond a bound are split into cells of blocks that cover every pair.
 
+Before a bucket sees vectors it sees sketches of 256 signs, and only members with a partner whose sketch is near enough go on, so that a vector is
+sent to the buckets where it is likely to have links and not to all of its buckets. The bound on differing signs lies six standard deviations above what a pair at the threshold
+has, so fewer than one such pair in a million is lost, against one in 200 by the buckets themselves.
+
 A table has as many buckets as there are classes of equal vectors, or half as many, whatever their number, so the pairs compared grow little faster than
 the vectors. The number of tables follows from the recall asked for and the chance that a pair just at the threshold meets in one table, which
 is measured on random pairs (`tables_for`).
@@ -31,6 +35,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import materialise, salted_join, slices, small_batches, table
 from tidemark.llm.graph import cells, classes_of, component_ids, forest, whole_groups
 
+#: Signs of a sketch, the sides of random planes on which a vector lies; the columns of 64 that hold them.
+SIGNS = 256
+WORDS = [f"signs{k}" for k in range(SIGNS // 64)]
 #: Members of a bucket up to which its pairs are listed together with those of other buckets, and pairs held at a time.
 SMALL, PAIRS = 64, 20_000
 
@@ -115,12 +122,29 @@ def tables_for(axes: list[int], d: int, cosine: float, recall: float, pairs: int
     return max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - min(max(met, 1e-3), 1 - 1e-9)))))
 
 
-def numbers(x: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+def integers(x: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     """A list column whose lists all have one length, as a matrix."""
     x = x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
     return x.flatten().to_numpy().reshape(-1, width)
 
 
+def numbers(x: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """A list column whose lists all have one length, as a matrix of doubles."""
+    return integers(x, width).astype(np.float64, copy=False)
+
+
+def sketches(x: np.ndarray, seed: int = 13) -> np.ndarray:
+    """[row, word] numbers of 64 signs each."""
+    planes = np.random.default_rng([seed, x.shape[1]]).normal(size=(x.shape[1], SIGNS))
+    return np.packbits(x @ planes > 0, axis=1).view(np.int64)
+
+
+def most_differing(cosine: float) -> int:
+    """Signs in which a pair at this cosine may differ: each does with the chance angle / pi."""
+    p = np.arccos(np.clip(cosine, -1.0, 1.0)) / np.pi
+    return int(np.ceil(SIGNS * p + 6 * np.sqrt(SIGNS * p * (1 - p))))
+
+
 def _codes(tables: int, axes: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in slices(batches, "vector"):
@@ -129,8 +153,9 @@ def _codes(tables: int, axes: list[int]):
                 b = whole.filter(pc.equal(lengths, d))
                 u = unit(numbers(b.column("vector"), d))
                 codes = bucket_codes(u, tables, axes).reshape(len(u), -1)
-                lists = [pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], x.ravel()) for x in (u, codes)]
-                yield pa.RecordBatch.from_arrays([b.column("v"), b.column("n"), *lists], ["v", "n", "unit", "codes"])
+                lists = pa.ListArray.from_arrays(np.arange(len(u) + 1, dtype=np.int32) * codes.shape[1], codes.ravel())
+                signs = [pa.array(np.ascontiguousarray(s)) for s in sketches(u).T]
+                yield pa.RecordBatch.from_arrays([b.column("v"), b.column("n"), b.column("vector"), lists, *signs], ["v", "n", "vector", "codes", *WORDS])
 
     return run
 
@@ -158,8 +183,8 @@ def least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def near_pairs(x: np.ndarray, begin: np.ndarray, end: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows with at least this cosine inside groups of rows [begin, end), some groups at a time."""
+def pairs_in(begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows inside groups of rows [begin, end), some rows at a time."""
     row = np.concatenate([np.zeros(0, np.int64), *(np.arange(s, e) for s, e in zip(begin, end, strict=True))])
     after = np.repeat(end, end - begin) - row - 1
     total = np.cumsum(after)
@@ -169,15 +194,39 @@ def near_pairs(x: np.ndarray, begin: np.ndarray, end: np.ndarray, cosine: float)
         n = after[at:stop]
         p = np.repeat(row[at:stop], n)
         q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n)
+        yield p, q
+        at = stop
+
+
+def near_pairs(x: np.ndarray, begin: np.ndarray, end: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Those pairs with at least this cosine."""
+    for p, q in pairs_in(begin, end):
         near = np.einsum("ij,ij->i", x[p], x[q]) >= cosine
         yield p[near], q[near]
-        at = stop
+
+
+def _likely(most: int):
+    """Members of the cells, with sketches -> those with a partner in their cell whose sketch differs in at most so many signs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, begin in whole_groups(batches, ["bucket", "i", "j"]):
+            i, j, own, home = (t.column(c).to_numpy() for c in ("i", "j", "own", "home"))
+            words = [t.column(c).to_numpy().view(np.uint64) for c in WORDS]  # bits of a negative number would be counted without its sign
+            likely = np.zeros(t.num_rows, bool)
+            for p, q in pairs_in(begin, np.append(begin[1:], t.num_rows)):
+                near = sum(np.bitwise_count(x[p] ^ x[q]).astype(np.int16) for x in words) <= most
+                p, q = p[near], q[near]
+                fits = (home[p] | home[q]) & ((i[p] == j[p]) | (own[p] != own[q]))
+                likely[p[fits]] = likely[q[fits]] = True
+            yield from t.select(["bucket", "i", "j", "own", "v"]).filter(pa.array(likely)).combine_chunks().to_batches()
+
+    return run
 
 
 def _count(cosine: float, tables: int):
     def links_of(t: pa.Table, d: int) -> pa.RecordBatch:
         bucket, i, j, own, v, n = (t.column(c).to_numpy() for c in ("bucket", "i", "j", "own", "v", "n"))
-        x, codes = numbers(t.column("unit"), d), numbers(t.column("codes"), len(t.column("codes")[0])).reshape(len(v), tables, -1)
+        x, codes = unit(numbers(t.column("vector"), d)), integers(t.column("codes"), len(t.column("codes")[0])).reshape(len(v), tables, -1)
         begin = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
         end = np.append(begin[1:], len(v))
         home = (codes[:, :, 0] == bucket[:, None]).any(1)
@@ -214,7 +263,7 @@ def _count(cosine: float, tables: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, _ in whole_groups(batches, ["bucket", "i", "j"]):
-            lengths = pc.list_value_length(t.column("unit"))
+            lengths = pc.list_value_length(t.column("vector"))
             for d in pc.unique(lengths).to_pylist():
                 yield links_of(t.filter(pc.equal(lengths, d)), d)
 
@@ -228,21 +277,24 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
     x = F.col(vector_col).cast("array<double>")
     finite = lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))
     fine = F.coalesce(x.isNotNull() & F.forall(x, finite) & F.exists(x, lambda e: e != 0), F.lit(False))
-    rows = vectors.select(F.col(id_col).alias("id"), F.when(fine, x).alias("vector"))
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"  # floats stay floats on their way
+    rows = vectors.select(F.col(id_col).alias("id"), F.when(fine, F.col(vector_col).cast(kind)).alias("vector"))
     rows = rows.withColumns({f"class{k}": F.when(F.col("vector").isNotNull(), F.xxhash64(F.lit(k), F.col("vector"))) for k in (0, 1)}).withColumn("row", F.xxhash64("id"))
     key = ["class0", "class1"]
     classes = classes_of(rows, key, ["id"], vector=F.first("vector"))
     n, d = classes.agg(F.count("*"), F.coalesce(F.mode(F.size("vector"), True), F.lit(1))).first()
     axes = axes_for(n, d)
     tables = tables_for(axes, d, cosine, recall)
-    coded = materialise(classes.select("v", F.col("_n").alias("n"), "vector").mapInArrow(_codes(tables, axes), "v bigint, n bigint, unit array<double>, codes array<bigint>"), "vectors")
+    coded = materialise(classes.select("v", F.col("_n").alias("n"), "vector").mapInArrow(_codes(tables, axes), f"v bigint, n bigint, vector {kind}, codes array<bigint>, {', '.join(f'{c} bigint' for c in WORDS)}"), "vectors")
 
     posts = coded.select("v", F.explode(F.array_distinct("codes")).alias("bucket"), F.expr(f"transform(sequence(0, {tables - 1}), t -> codes[t * {len(axes) + 2}])").alias("homes"))
     posts = posts.select("v", "bucket", F.array_contains("homes", F.col("bucket")).alias("home"))
     meeting = posts.groupBy("bucket").agg(F.count("*").alias("_m"), F.max("home").alias("_home")).where("_m > 1 and _home")
-    together = materialise(salted_join(posts.select("v", "bucket"), meeting.drop("_home"), ["bucket"], "_m", n * tables * (len(axes) + 2), "v"), "buckets")
-    placed = cells(together, ["bucket"], most_bucket).select("bucket", "i", "j", "own", "v")
-    full = placed.join(coded.hint("merge"), "v").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "v").select("bucket", "i", "j", "own", "v", "n", "unit", "codes")
+    together = materialise(salted_join(posts, meeting.drop("_home"), ["bucket"], "_m", n * tables * (len(axes) + 2), "v"), "buckets")
+    dealt = lambda rows: rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "v")
+    placed = cells(together, ["bucket"], most_bucket).join(coded.select("v", *WORDS).hint("merge"), "v").select("bucket", "i", "j", "own", "v", "home", *WORDS)
+    likely = dealt(placed).mapInArrow(_likely(most_differing(cosine)), "bucket bigint, i int, j int, own int, v bigint")
+    full = dealt(likely.join(coded.select("v", "n", "vector", "codes").hint("merge"), "v").select("bucket", "i", "j", "own", "v", "n", "vector", "codes"))
     found = materialise(full.mapInArrow(_count(cosine, tables), "a bigint, b bigint, n_links bigint"), "links")
 
     links = found.where("b is null").groupBy(F.col("a").alias("v")).agg(F.sum("n_links").alias("_links"))

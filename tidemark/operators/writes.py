@@ -80,9 +80,9 @@ def run_log_row(report: DataFrame, mode: str, started: str, seconds: float) -> D
 
 
 def summary(stocks: DataFrame, prices: DataFrame, baselines: DataFrame) -> DataFrame:
-    """One row: tickers, price rows, first and last day, ready tickers, baseline rows. Each table is read once."""
+    """One row: tickers, price rows, first and last day, ready tickers, baseline rows. Each table is read once; the sides that are broadcast have one row."""
     p = prices.agg(F.count_distinct("ticker").alias("tickers"), F.count("*").alias("price_rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
-    return p.crossJoin(stocks.agg(F.count_if("ml_ready").alias("ready"))).crossJoin(baselines.agg(F.count("*").alias("baseline_rows")))
+    return p.crossJoin(F.broadcast(stocks.agg(F.count_if("ml_ready").alias("ready")))).crossJoin(F.broadcast(baselines.agg(F.count("*").alias("baseline_rows"))))
 
 
 def write_scores(df: DataFrame, path: str, csv: bool = False) -> None:

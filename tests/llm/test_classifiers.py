@@ -189,6 +189,9 @@ def test_language(corpus):
     odd = {r.doc_id: r.lang_pred for r in rows if r.doc_id is not None and r.doc_id >= 900}
     assert odd == {900: "und", 901: "und", 902: "und"}
     assert {r.lang_pred for r in language.predict(docs, language.train(docs.limit(0))).collect()} == {"und"}
+    empty = language.predict(docs.limit(0), language.train(docs))
+    assert empty.count() == 0 and empty.columns == ["doc_id", "lang_pred", "score"]
+    assert language.predict(docs.limit(0), language.train(docs.limit(0))).count() == 0
 
 
 def test_many_languages_and_scripts(spark):

@@ -12,6 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.scratch import materialise, release, written
 from tidemark.operators.writes import append_if_absent, replace_rows
 
 
@@ -35,12 +36,18 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stage(stored: DataFrame, batch: DataFrame, path: str, keys: list[str], order: list[Column], by: str, how: str, run_id: str) -> None:
-    """Write what the touched partitions will hold. The list of these partitions comes to the driver; it is as long as the batch has partitions, not rows."""
+    """Write what the touched partitions will hold. The list of these partitions comes to the driver; it is as long as the batch has partitions, not rows.
+
+    The batch is computed once: its partitions and its rows are taken from a copy.
+    """
+    others = written()
+    batch = materialise(batch, "batch")
     touched = [r[0] for r in batch.select(by).distinct().collect()]
     merge = {"replace": replace_rows, "append": append_if_absent}[how]
     held = F.col(by).isin([t for t in touched if t is not None]) | (F.lit(None in touched) & F.col(by).isNull())
     content = merge(stored.where(held), batch, keys, order)
     content.write.mode("overwrite").partitionBy(by).parquet(f"{path}/stage/{run_id}")
+    release(batch.sparkSession, others)
 
 
 def swap(spark: SparkSession, path: str, schema: str, by: str, run_id: str) -> None:

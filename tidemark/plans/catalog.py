@@ -387,7 +387,7 @@ def stored_append(spark, d):
 def stored_upsert(spark, d):
     """Daily flow stored by year; a second run replaces the later rows and touches their years only."""
     path = new_path(spark, "stored")
-    flow = I.daily_flow(A.filings(spark, d)).withColumn("year", F.year("date"))
+    flow = materialise(I.daily_flow(A.filings(spark, d)).withColumn("year", F.year("date")), "flow")
     newer = flow.where(f"date >= date'{SPLIT}'").withColumn("n_buys", F.col("n_buys") + 1)
     for run, batch in (("first", flow), ("second", newer)):
         T.write_run(spark, path, batch, ["ticker", "date"], [F.desc("n_buys"), F.col("n_sells")], "year", run)

@@ -25,6 +25,11 @@ def counted(spark, monkeypatch, name):
     return lambda: seen.value / rows
 
 
+def test_replace_upsert_parses_each_filing_once(spark, monkeypatch):
+    times = counted(spark, monkeypatch, "filings")
+    assert catalog.QUERIES["replace_upsert"](spark, DATA).count() > 0 and times() == 1
+
+
 def test_stored_upsert_parses_each_filing_once(spark, monkeypatch):
     times = counted(spark, monkeypatch, "filings")
     assert catalog.QUERIES["stored_upsert"](spark, DATA).count() > 0 and times() == 1

@@ -314,7 +314,7 @@ def source_counts(spark, d):
 
 @query(f"WITH {FILINGS} SELECT ticker, date, CASE WHEN date >= DATE '{SPLIT}' THEN n_buys + 1 ELSE n_buys END AS n_buys, n_sells, {_r('buy_value', 'sell_value', digits=2)} FROM flow")
 def replace_upsert(spark, d):
-    flow = I.daily_flow(A.filings(spark, d))
+    flow = materialise(I.daily_flow(A.filings(spark, d)), "flow")
     newer = flow.where(f"date >= date'{SPLIT}'").withColumn("n_buys", F.col("n_buys") + 1)
     return rounded(W.replace_rows(flow, newer, ["ticker", "date"], [F.desc("n_buys"), F.col("n_sells")]), 2)
 

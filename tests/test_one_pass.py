@@ -48,3 +48,8 @@ def test_a_run_computes_its_batch_once(spark, tmp_path):
     T.write_run(spark, str(tmp_path), batch, ["k"], [F.col("x")], "part", "r1")
     assert seen.value == 9 and T.written() == before
     assert T.read_table(spark, str(tmp_path), "k int, x string, part int").count() == 9
+
+
+def test_calibrated_scores_make_their_bars_once(spark, monkeypatch):
+    times = counted(spark, monkeypatch, "bars")
+    assert catalog.QUERIES["calibrated_scores"](spark, DATA).count() > 0 and times() == 1

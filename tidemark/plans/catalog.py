@@ -735,7 +735,7 @@ def walk_forward_sequence(spark, d):
 
 @query()
 def calibrated_scores(spark, d):
-    s = scores(spark, d)
+    s = materialise(scores(spark, d), "scores")
     model = M.fit_logistic(s.where("fold <= 2"), ["p1"])
     return M.apply_logistic(model, s.where("fold > 2"), ["p1"], "c1").select("date", "ticker", "label", "fold", "p1", "c1")
 

@@ -42,7 +42,7 @@ def stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ticker, filing_date, accession, form, xml): each order with lines is a filing of its customer, each line a transaction."""
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
-    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
     code = lambda x: F.when(x["l_returnflag"] == "A", "P").when(x["l_returnflag"] == "R", "S").otherwise("M")
     transaction = lambda x: F.concat(
         F.lit("<nonDerivativeTransaction><transactionCoding><transactionCode>"), code(x), F.lit("</transactionCode></transactionCoding><transactionAmounts><transactionShares><value> "),

@@ -45,31 +45,37 @@ def primary_document(df: DataFrame, accession: str = "accession", text: str = "p
 
 
 def field(x: Column) -> Column:
-    """The text of a field, the last if it is repeated."""
-    x = F.try_element_at(x, F.lit(-1))
+    """The text of a field."""
     return F.nullif(F.trim(F.coalesce(x["value"], x["_VALUE"]), F.lit(" \t\r\n")), F.lit(""))
 
 
+def _entries(doc: Column) -> Column:
+    return doc["nonDerivativeTable"]["nonDerivativeTransaction"]
+
+
+def _code(t: Column) -> Column:
+    return field(t["transactionCoding"]["transactionCode"])
+
+
+def _amount(t: Column, name: str) -> Column:
+    return lenient_double(field(t["transactionAmounts"][name]))
+
+
+def _values(t: Column) -> list[Column]:
+    ad = field(t["transactionAmounts"]["transactionAcquiredDisposedCode"])
+    return [_code(t).alias("code"), ad.alias("ad"), _amount(t, "transactionShares").alias("shares"), _amount(t, "transactionPricePerShare").alias("price")]
+
+
 def _transactions(doc: Column) -> Column:
-    return F.filter(
-        F.transform(
-            doc["nonDerivativeTable"]["nonDerivativeTransaction"],
-            lambda t: F.struct(
-                field(t["transactionCoding"]["transactionCode"]).alias("code"),
-                field(t["transactionAmounts"]["transactionAcquiredDisposedCode"]).alias("ad"),
-                lenient_double(field(t["transactionAmounts"]["transactionShares"])).alias("shares"),
-                lenient_double(field(t["transactionAmounts"]["transactionPricePerShare"])).alias("price"),
-            ),
-        ),
-        lambda t: t["code"].isNotNull(),
-    )
+    return F.filter(F.transform(_entries(doc), lambda t: F.struct(*_values(t))), lambda t: t["code"].isNotNull())
 
 
 def form4_transactions(df: DataFrame, keys: list[str], text: str = "xml", outer: bool = False) -> DataFrame:
     """keys with code, ad, shares, price of the non-derivative transactions that have a code. With outer, a filing without any gives one row of NULLs."""
-    found = _transactions(F.from_xml(F.col(text), schemas.FORM4_XML, {"ignoreNamespace": "true"}))
-    burst = F.explode_outer(found) if outer else F.explode(found)
-    return df.select(*keys, burst.alias("t")).select(*keys, "t.code", "t.ad", "t.shares", "t.price")
+    doc, t = F.from_xml(F.col(text), schemas.FORM4_XML, {"ignoreNamespace": "true"}), F.col("t")
+    if outer:
+        return df.select(*keys, F.explode_outer(_transactions(doc)).alias("t")).select(*keys, "t.code", "t.ad", "t.shares", "t.price")
+    return df.select(*keys, F.explode(_entries(doc)).alias("t")).where(_code(t).isNotNull()).select(*keys, *_values(t))
 
 
 def checked_filings(df: DataFrame, keys: list[str], text: str = "xml", counts: Observation | None = None) -> DataFrame:
@@ -92,15 +98,20 @@ def malformed(df: DataFrame, keys: list[str], text: str = "xml") -> DataFrame:
     return df.where(doc["nonDerivativeTable"].isNull()).select(*keys, text)
 
 
+def _flow_rows(filings: DataFrame, text: str) -> DataFrame:
+    """(ticker, date, code, value, first) of every transaction; a filing without any gives one row of NULLs. first: one row of each filing."""
+    doc, t = F.from_xml(F.col(text), schemas.FORM4_FLOW, {"ignoreNamespace": "true"}), F.col("t")
+    rows = filings.select("ticker", F.col("filing_date").alias("date"), F.posexplode_outer(_entries(doc)).alias("at", "t"))
+    return rows.select("ticker", "date", _code(t).alias("code"), (_amount(t, "transactionShares") * _amount(t, "transactionPricePerShare")).alias("value"), (F.coalesce("at", F.lit(0)) == 0).alias("first"))
+
+
 def daily_flow(filings: DataFrame, text: str = "xml") -> DataFrame:
     """(ticker, date, n_buys, n_sells, buy_value, sell_value) by filing date. A filing without purchases or sales gives a day of zeros."""
-    t = form4_transactions(filings, ["ticker", "filing_date"], text, outer=True)
-    value = F.col("shares") * F.col("price")
     aggs = []
     for name, code in (("buy", "P"), ("sell", "S")):
         own = F.col("code") == code
-        aggs += [F.count_if(own).cast("int").alias(f"n_{name}s"), F.coalesce(F.sum(F.when(own, value)), F.lit(0.0)).alias(f"{name}_value")]
-    return t.groupBy("ticker", F.col("filing_date").alias("date")).agg(*aggs).select("ticker", "date", "n_buys", "n_sells", "buy_value", "sell_value")
+        aggs += [F.count_if(own).cast("int").alias(f"n_{name}s"), F.coalesce(F.sum(F.when(own, F.col("value"))), F.lit(0.0)).alias(f"{name}_value")]
+    return _flow_rows(filings, text).groupBy("ticker", "date").agg(*aggs).select("ticker", "date", "n_buys", "n_sells", "buy_value", "sell_value")
 
 
 def flow_totals(filings: DataFrame, flow: DataFrame) -> DataFrame:

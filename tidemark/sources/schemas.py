@@ -8,13 +8,18 @@ INSIDER_FLOW = "ticker STRING, date DATE, n_buys INT, n_sells INT, buy_value DOU
 RUN_LOG = "run_at TIMESTAMP, mode STRING, stocks_updated INT, rows_added BIGINT, errors INT, duration_sec DOUBLE, status STRING"
 SCORES = "date DATE, ticker STRING, label BYTE, fold INT, p DOUBLE"
 FOLDS = "fold INT, train_end DATE, test_start DATE, test_end DATE"
-#: One filing document: a field's text stands in a <value> child or in the field itself, and a field may be repeated.
-_FIELD = "ARRAY<STRUCT<value: STRING, _VALUE: STRING>>"
-FORM4_XML = (
-    "STRUCT<nonDerivativeTable: STRUCT<nonDerivativeTransaction: ARRAY<STRUCT<"
-    f"transactionCoding: STRUCT<transactionCode: {_FIELD}>, "
-    f"transactionAmounts: STRUCT<transactionShares: {_FIELD}, transactionPricePerShare: {_FIELD}, transactionAcquiredDisposedCode: {_FIELD}>>>>>"
-)
+#: One filing document: a field's text stands in a <value> child or in the field itself; of a repeated field the last counts.
+_FIELD = "STRUCT<value: STRING, _VALUE: STRING>"
+
+
+def _form4(amounts: list[str]) -> str:
+    fields = ", ".join(f"{x}: {_FIELD}" for x in amounts)
+    return f"STRUCT<nonDerivativeTable: STRUCT<nonDerivativeTransaction: ARRAY<STRUCT<transactionCoding: STRUCT<transactionCode: {_FIELD}>, transactionAmounts: STRUCT<{fields}>>>>>"
+
+
+FORM4_XML = _form4(["transactionShares", "transactionPricePerShare", "transactionAcquiredDisposedCode"])
+#: What daily flow needs of it: a field that is not asked for is passed over, which costs less.
+FORM4_FLOW = _form4(["transactionShares", "transactionPricePerShare"])
 CIK_MAP = "MAP<STRING, STRUCT<cik_str: BIGINT, ticker: STRING, title: STRING>>"
 FILINGS_JSON = "STRUCT<filings: STRUCT<recent: STRUCT<form: ARRAY<STRING>, filingDate: ARRAY<STRING>, accessionNumber: ARRAY<STRING>>>>"
 FILING_INDEX = "STRUCT<directory: STRUCT<item: ARRAY<STRUCT<name: STRING>>>>"

@@ -55,11 +55,27 @@ def test_calibrated_scores_make_their_bars_once(spark, monkeypatch):
     assert catalog.QUERIES["calibrated_scores"](spark, DATA).count() > 0 and times() == 1
 
 
+def test_insider_totals_take_one_pass(spark, monkeypatch):
+    times = counted(spark, monkeypatch, "filings")
+    assert catalog.QUERIES["insider_totals"](spark, DATA).count() > 0 and times() == 1
+
+
 def _filing(*leaves):
     t = "".join(f"<nonDerivativeTransaction><transactionCoding>{c}</transactionCoding><transactionAmounts>{a}</transactionAmounts></nonDerivativeTransaction>" for c, a in leaves)
     return f"<ownershipDocument><nonDerivativeTable>{t}</nonDerivativeTable></ownershipDocument>"
 
 
+def test_totals_in_one_pass_are_those_of_the_flow(spark):
+    """Filings without a transaction, a code, a day, a ticker or a document count as before."""
+    code = lambda c: f"<transactionCode>{c}</transactionCode>"
+    texts = [_filing(), _filing((code("P"), ""), (code("S"), ""), (code("P"), "")), _filing(("", ""), (code(" "), "")), None, "<broken", _filing((code("M"), ""))]
+    r = random.Random(3)
+    rows = [(r.choice(["A", "B", "C", None]), r.choice(["2024-01-02", "2024-01-03", None]), r.choice(texts)) for _ in range(60)] + [("D", "2024-01-02", None)]
+    df = spark.createDataFrame(rows, "ticker string, d string, xml string").select("ticker", F.col("d").cast("date").alias("filing_date"), "xml")
+    shown = lambda x: sorted(map(str, x.select("ticker", "n_filings", "n_days", "n_buys").collect()))
+    assert shown(I.filing_totals(df)) == shown(I.flow_totals(df, I.daily_flow(df)))
+
+
 def test_fields_of_odd_documents(spark):
     """A field is one struct: of repeated ones the last counts, wherever its text stands. Entries are taken apart after the explode, and flow leaves out what it doesn't need."""
     shares = lambda *x: "".join(f"<transactionShares>{y}</transactionShares>" for y in x)

@@ -429,8 +429,7 @@ def insider_daily(spark, d):
 
 @query(f"WITH {FILINGS}, n AS (SELECT ticker, count(*) AS n_filings FROM filings GROUP BY ticker) SELECT ticker, n_filings, count(*) AS n_days, sum(n_buys)::BIGINT AS n_buys FROM n JOIN flow USING (ticker) GROUP BY ALL")
 def insider_totals(spark, d):
-    f = A.filings(spark, d)
-    return I.flow_totals(f, I.daily_flow(f))
+    return I.filing_totals(A.filings(spark, d))
 
 
 @query(f"""WITH {FILINGS}, days AS (SELECT DISTINCT 'C' || o_custkey AS ticker, CAST(o_orderdate AS DATE) + 3 AS date FROM orders)

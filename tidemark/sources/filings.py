@@ -121,6 +121,13 @@ def flow_totals(filings: DataFrame, flow: DataFrame) -> DataFrame:
     return n.join(days.hint("merge"), "ticker", "left").na.fill(0)
 
 
+def filing_totals(filings: DataFrame, text: str = "xml") -> DataFrame:
+    """flow_totals of filings and their own daily flow, in one pass over the filings. As there, filings without a ticker have no days."""
+    days = _flow_rows(filings, text).groupBy("ticker", "date").agg(F.count_if("first").alias("n"), F.count_if(F.col("code") == "P").alias("b"))
+    known = lambda x: F.when(F.col("ticker").isNotNull(), x).otherwise(F.lit(0)).cast("bigint")
+    return days.groupBy("ticker").agg(F.sum("n").alias("n_filings"), F.count("*").alias("d"), F.sum("b").alias("b")).select("ticker", "n_filings", known(F.col("d")).alias("n_days"), known(F.col("b")).alias("n_buys"))
+
+
 def point_in_time(prices: DataFrame, flow: DataFrame) -> DataFrame:
     """Prices with the flow last filed on or before the day: both tables in one ordered pass, without a range join."""
     values = ["n_buys", "n_sells", "buy_value", "sell_value"]

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources import schemas
 
+#: Names count without their prefix. Attributes are no text: of <x VALUE="1">2</x> the text is 2.
+XML = {"ignoreNamespace": "true", "excludeAttribute": "true"}
+
 
 def lenient_double(x: Column) -> Column:
     """0.0 where the text is missing or no number."""
@@ -44,38 +50,78 @@ def primary_document(df: DataFrame, accession: str = "accession", text: str = "p
     return df.select(F.col(accession), F.replace(F.col(accession), F.lit("-"), F.lit("")).alias("folder"), first.alias("document"))
 
 
+def _trimmed(x: Column) -> Column:
+    return F.nullif(F.trim(x, F.lit(" \t\r\n")), F.lit(""))
+
+
 def field(x: Column) -> Column:
     """The text of a field."""
-    return F.nullif(F.trim(F.coalesce(x["value"], x["_VALUE"]), F.lit(" \t\r\n")), F.lit(""))
+    return _trimmed(F.coalesce(x["value"], x["_VALUE"]))
+
+
+def _text(t: Column, group: str, name: str) -> Column:
+    """A field of a transaction that the full schema has read."""
+    return field(t[group][name])
+
+
+def _either_text(t: Column, group: str, name: str) -> Column:
+    """The same of one of _either's transactions. In a plain document a field's inner XML has no other markup than one <value>."""
+    plain, full = t["plain"][group][name], t["full"][group][name]
+    return _trimmed(F.coalesce(F.replace(F.replace(plain, F.lit("<value>"), F.lit("")), F.lit("</value>"), F.lit("")), full["value"], full["_VALUE"]))
 
 
 def _entries(doc: Column) -> Column:
     return doc["nonDerivativeTable"]["nonDerivativeTransaction"]
 
 
-def _code(t: Column) -> Column:
-    return field(t["transactionCoding"]["transactionCode"])
+def _code(t: Column, text=_text) -> Column:
+    return text(t, "transactionCoding", "transactionCode")
 
 
-def _amount(t: Column, name: str) -> Column:
-    return lenient_double(field(t["transactionAmounts"][name]))
+def _amount(t: Column, name: str, text=_text) -> Column:
+    return lenient_double(text(t, "transactionAmounts", name))
 
 
-def _values(t: Column) -> list[Column]:
-    ad = field(t["transactionAmounts"]["transactionAcquiredDisposedCode"])
-    return [_code(t).alias("code"), ad.alias("ad"), _amount(t, "transactionShares").alias("shares"), _amount(t, "transactionPricePerShare").alias("price")]
+def _values(t: Column, text=_text) -> list[Column]:
+    ad = text(t, "transactionAmounts", "transactionAcquiredDisposedCode")
+    return [_code(t, text).alias("code"), ad.alias("ad"), _amount(t, "transactionShares", text).alias("shares"), _amount(t, "transactionPricePerShare", text).alias("price")]
 
 
 def _transactions(doc: Column) -> Column:
     return F.filter(F.transform(_entries(doc), lambda t: F.struct(*_values(t))), lambda t: t["code"].isNotNull())
 
 
+def _is_plain(entries: Column, fields: dict[str, list[str]]) -> Column:
+    """Whether every transaction has its groups by their own names, and in every field a text, or one <value> and nothing else."""
+    one = F.lit(r"^\s*(?:<value>[^<]*</value>\s*|[^<]*)$")
+    odd = lambda t: reduce(or_, [t[g].isNull() for g in fields] + [~F.rlike(t[g][x], one) for g, names in fields.items() for x in names])
+    return ~F.coalesce(F.exists(entries, odd), F.lit(False))
+
+
+def _parsed(df: DataFrame, keys: list[str | Column], text: str, fields: dict[str, list[str]]) -> DataFrame:
+    """keys with _plain and _full, of which one holds the transactions: plain documents are read with the cheap schema, all others, and those that it can't read, with the full one."""
+    # a "<" in a field may be text there, and a text may be cut in pieces; a declaration at the start does no harm
+    has = lambda x: F.contains(F.col(text), F.lit(x))
+    literal = has("&lt") | has("&#") | has("<!") | (has("<?") & (F.locate("<?", text, 2) > 0))
+    rows = df.select(*keys, F.col(text).alias("_text"), F.when(~literal, _entries(F.from_xml(F.col(text), schemas.form4_plain(fields), XML))).alias("_plain"))
+    rows = rows.withColumn("_plain", F.when(_is_plain(F.col("_plain"), fields), F.col("_plain")))
+    return rows.withColumn("_full", F.when(F.col("_plain").isNull(), _entries(F.from_xml(F.col("_text"), schemas.form4(fields), XML))))
+
+
+def _either(rows: DataFrame) -> Column:
+    """(plain, full) of each transaction, to be exploded as it is: as a column, Spark would make it twice to drop empty ones beforehand."""
+    return F.arrays_zip(*[F.coalesce(x, F.array().cast(rows.schema[x].dataType)).alias(x[1:]) for x in ("_plain", "_full")])
+
+
 def form4_transactions(df: DataFrame, keys: list[str], text: str = "xml", outer: bool = False) -> DataFrame:
     """keys with code, ad, shares, price of the non-derivative transactions that have a code. With outer, a filing without any gives one row of NULLs."""
-    doc, t = F.from_xml(F.col(text), schemas.FORM4_XML, {"ignoreNamespace": "true"}), F.col("t")
     if outer:
+        doc = F.from_xml(F.col(text), schemas.FORM4_XML, XML)
         return df.select(*keys, F.explode_outer(_transactions(doc)).alias("t")).select(*keys, "t.code", "t.ad", "t.shares", "t.price")
-    return df.select(*keys, F.explode(_entries(doc)).alias("t")).where(_code(t).isNotNull()).select(*keys, *_values(t))
+    t = F.col("t")
+    parsed = _parsed(df, keys, text, schemas.FORM4_FIELDS)
+    rows = parsed.select(*keys, F.explode(_either(parsed)).alias("t"))
+    return rows.where(_code(t, _either_text).isNotNull()).select(*keys, *_values(t, _either_text))
 
 
 def checked_filings(df: DataFrame, keys: list[str], text: str = "xml", counts: Observation | None = None) -> DataFrame:
@@ -84,7 +130,7 @@ def checked_filings(df: DataFrame, keys: list[str], text: str = "xml", counts: O
     Rejected is what is no well-formed document, and a null text. A document without transactions is fine and has none. counts: gets the filings and the rejected ones as the rows pass.
     """
     schema = schemas.FORM4_XML.removesuffix(">") + ", _corrupt_record: STRING>"
-    doc = F.from_xml(F.col(text), schema, {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    doc = F.from_xml(F.col(text), schema, XML | {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     rows = df.select(*keys, text, doc.alias("_doc"))
     bad = F.col("_doc").isNull() | F.col("_doc._corrupt_record").isNotNull()
     none = F.array().cast("array<struct<code:string,ad:string,shares:double,price:double>>")
@@ -94,15 +140,17 @@ def checked_filings(df: DataFrame, keys: list[str], text: str = "xml", counts: O
 
 def malformed(df: DataFrame, keys: list[str], text: str = "xml") -> DataFrame:
     """Filings whose XML gives no document: to be looked at."""
-    doc = F.from_xml(F.col(text), schemas.FORM4_XML, {"ignoreNamespace": "true"})
+    doc = F.from_xml(F.col(text), schemas.FORM4_XML, XML)
     return df.where(doc["nonDerivativeTable"].isNull()).select(*keys, text)
 
 
 def _flow_rows(filings: DataFrame, text: str) -> DataFrame:
     """(ticker, date, code, value, first) of every transaction; a filing without any gives one row of NULLs. first: one row of each filing."""
-    doc, t = F.from_xml(F.col(text), schemas.FORM4_FLOW, {"ignoreNamespace": "true"}), F.col("t")
-    rows = filings.select("ticker", F.col("filing_date").alias("date"), F.posexplode_outer(_entries(doc)).alias("at", "t"))
-    return rows.select("ticker", "date", _code(t).alias("code"), (_amount(t, "transactionShares") * _amount(t, "transactionPricePerShare")).alias("value"), (F.coalesce("at", F.lit(0)) == 0).alias("first"))
+    t, keys = F.col("t"), ["ticker", F.col("filing_date").alias("date")]
+    parsed = _parsed(filings, keys, text, schemas.FLOW_FIELDS)
+    rows = parsed.select("ticker", "date", F.posexplode_outer(_either(parsed)).alias("at", "t"))
+    value = _amount(t, "transactionShares", _either_text) * _amount(t, "transactionPricePerShare", _either_text)
+    return rows.select("ticker", "date", _code(t, _either_text).alias("code"), value.alias("value"), (F.coalesce("at", F.lit(0)) == 0).alias("first"))
 
 
 def daily_flow(filings: DataFrame, text: str = "xml") -> DataFrame:
